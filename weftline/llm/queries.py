@@ -6,18 +6,50 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, secrets
+from . import ann, bpe, fingerprint, html_text, language_id, line_dedup, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc_mod(n: int):
+    """crc32 of doc_id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_viterbi_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_crc_mod(3) == 1, F.lit(False)))
+    model = language_id.fit(language_id.training_rows(docs, ~F.col("held_out")))
+    named = language_id.identify(docs.withColumn("row", F.struct("doc_id", "held_out")), model, key="row")
+    return named.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op4_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return packing.pack_documents(_table(spark, sf_dir, "documents"), file.read())
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labels of rows whose crc32(doc_id as text) mod 5 is not 0."""
+    kept = F.crc32(F.col("lk").cast("string").cast("binary")) % 5 != 0
+    return toxicity.fit(toxicity.training_rows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), kept))
+
+
+def op6_word_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(_crc_mod(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"), secrets.ledger_for_run(spark))
     spans = F.coalesce("spans", F.array().cast(secrets.SPAN))
@@ -66,14 +98,37 @@ def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.number_collisions(docs, rows, {"fingerprint": "form_sha", "edited_fingerprint": "edited_form_sha"}).drop("form_sha", "edited_form_sha")
 
 
+def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES = {
+    "op1_line_blocks": op1_line_blocks,
+    "op3_viterbi_spans": op3_viterbi_spans,
     "op4_rank_queue_bpe": op4_rank_queue_bpe,
+    "op5_pattern_packing": op5_pattern_packing,
+    "op6_word_cnn": op6_word_cnn,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_line_runs": op8_line_runs,
     "op9_canonical_digest": op9_canonical_digest,
+    "op10_one_bit_codes": op10_one_bit_codes,
 }
 
 ORACLES = {
+    "op10_one_bit_codes": """
+        WITH v AS (
+          SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+        WHERE rank <= 20
+    """,
     "op8_line_runs": r"""
         WITH lines AS (
           SELECT doc_id, t.pos, t.line,
