@@ -20,141 +20,198 @@ from pyspark.sql import DataFrame
 
 BITS = 6
 WORD = (1 << BITS) - 1
+SHIFT = 18  # ranks are below 2**SHIFT
 NONE = -1
 
 
 class RankBitmap:
-    """Set of ranks below 2**18: a bit for each rank, and over it a bit for each word that is not zero, twice."""
+    """Set of ranks: a bit for each rank, and over it a bit for each word that is not zero, twice."""
 
     def __init__(self):
-        self.low, self.mid, self.top = {}, {}, 0
+        self.low, self.mid, self.top = [0] * (1 << 2 * BITS), [0] * (1 << BITS), 0
 
     def add(self, rank: int) -> None:
         a, b = rank >> BITS, rank >> 2 * BITS
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & WORD)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & WORD)
+        self.low[a] |= 1 << (rank & WORD)
+        self.mid[b] |= 1 << (a & WORD)
         self.top |= 1 << b
 
-    def remove(self, rank: int) -> None:
-        a, b = rank >> BITS, rank >> 2 * BITS
-        self.low[a] &= ~(1 << (rank & WORD))
-        if not self.low[a]:
-            self.mid[b] &= ~(1 << (a & WORD))
-            if not self.mid[b]:
-                self.top &= ~(1 << b)
-
-    def first(self) -> int:
-        """The least rank, or NONE."""
+    def pop(self) -> int:
+        """Takes out the least rank; NONE if there is none."""
         if not self.top:
             return NONE
         b = (self.top & -self.top).bit_length() - 1
         a = b << BITS | (self.mid[b] & -self.mid[b]).bit_length() - 1
-        return a << BITS | (self.low[a] & -self.low[a]).bit_length() - 1
+        bit = self.low[a] & -self.low[a]
+        self.low[a] ^= bit
+        if not self.low[a]:
+            self.mid[b] &= ~(1 << (a & WORD))
+            if not self.mid[b]:
+                self.top &= ~(1 << b)
+        return a << BITS | bit.bit_length() - 1
 
 
 class BytePairEncoder:
-    """Encodes and decodes with ranks (token bytes to id); pattern splits a text into pre-tokens."""
+    """Encodes and decodes with ranks (token bytes to id); pattern splits a text into pre-tokens.
 
-    CACHED = 250_000  # entries of the cache of short pieces; it is emptied when full
-    LONGEST_CACHED = 48
+    Pre-tokens that are not in the cache go through the queue together, as one long list with breaks between them: no
+    pair spans a break, so each comes out as it would alone, and a rank's bucket serves all of them at once."""
+
+    CACHED = 700_000  # entries of a cache of short pieces; it is emptied when it has more
+    LONGEST_CACHED = 40
+    TOGETHER = 1 << 20  # bytes that go through the queue together, but for longer pre-tokens
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if ranks and max(ranks.values()) >= 1 << SHIFT:
+            raise ValueError(f"ranks must be below {1 << SHIFT}")
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.bytes = [ranks.get(bytes([i]), NONE) for i in range(256)]
+        self.pairs: dict[int, int] = {}  # two ids to the rank of their pair, as far as met
         self.pattern = regex.compile(pattern)
         # A space that has white space before it and none or an end after it can join a longer run.
         self.joined = regex.compile(r"\s (?!\S)")
-        self.cache: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        if not piece:
-            return []
-        if piece in ranks:
-            return [ranks[piece]]
-        n = len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
+        self.spaced: dict[str, bytes] = {}  # by a text without its leading space
+        self.bare: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each of several pre-tokens."""
+        ids: list[int] = []
+        ends: list[int] = []
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            ids += [self.bytes[b] for b in piece] if whole is None else [whole]
+            ends.append(len(ids))
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for end in ends:  # breaks
+            if end:
+                after[end - 1] = NONE
+            if end < n:
+                before[end] = NONE
         rank_at = [NONE] * n  # rank of the pair that begins at a position
         buckets: dict[int, list[int]] = {}
-        queue = RankBitmap()
-
-        def note(i: int) -> int:
+        queue, pairs, ranks, tokens = RankBitmap(), self.pairs, self.ranks, self.tokens
+        for i in range(n):
             j = after[i]
-            rank = ranks.get(part[i] + part[j], NONE) if j < n else NONE
-            rank_at[i] = rank
-            if rank != NONE:
-                held = buckets.get(rank)
-                if held is None:
+            if j < 0:
+                continue
+            pair = ids[i] << SHIFT | ids[j]
+            rank = pairs.get(pair)
+            if rank is None:
+                rank = pairs[pair] = ranks.get(tokens[ids[i]] + tokens[ids[j]], NONE)
+            if rank >= 0:
+                rank_at[i] = rank
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
                     buckets[rank] = [i]
                     queue.add(rank)
-                else:
-                    held.append(i)
-            return rank
-
-        for i in range(n - 1):
-            note(i)
-        while (rank := queue.first()) != NONE:
-            queue.remove(rank)
+        while (rank := queue.pop()) >= 0:
             held = buckets.pop(rank)
             held.sort()  # the leftmost pair of a rank goes first
             for k, i in enumerate(held):
                 if rank_at[i] != rank:
                     continue  # stale
                 j = after[i]
-                part[i] += part[j]
+                ids[i] = rank
                 rank_at[j] = NONE
-                after[i] = after[j]
-                if after[j] < n:
-                    before[after[j]] = i
-                made = [note(i)]
-                if before[i] >= 0:
-                    made.append(note(before[i]))
-                if any(NONE < r < rank for r in made):  # a lower rank goes before the rest of this bucket
+                ids[j] = NONE
+                follow = after[i] = after[j]
+                if follow >= 0:
+                    before[follow] = i
+                lower = False
+                for left, right in ((i, follow), (before[i], i)):
+                    if left < 0 or right < 0:
+                        if left >= 0:
+                            rank_at[left] = NONE
+                        continue
+                    pair = ids[left] << SHIFT | ids[right]
+                    new = pairs.get(pair)
+                    if new is None:
+                        new = pairs[pair] = ranks.get(tokens[ids[left]] + tokens[ids[right]], NONE)
+                    rank_at[left] = new
+                    if new >= 0:
+                        lower |= new < rank
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            buckets[new] = [left]
+                            queue.add(new)
+                if lower:  # a lower rank goes before the rest of this bucket
                     if rest := held[k + 1 :]:
                         buckets[rank] = rest
                         queue.add(rank)
                     break
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[part[i]])
-            i = after[i]
-        return ids
-
-    def _pieces(self, text: str) -> bytes:
-        ids = [x for piece in self.pattern.findall(text) for x in self.merge(piece.encode())]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _cached(self, text: str) -> bytes:
-        packed = self.cache.get(text)
-        if packed is None:
-            packed = self._pieces(text)
-            if len(text) <= self.LONGEST_CACHED:
-                if len(self.cache) >= self.CACHED:
-                    self.cache.clear()
-                self.cache[text] = packed
-        return packed
-
-    def encode_packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers.
+        if len(pairs) > 4_000_000:
+            pairs.clear()
+        out, start = [], 0
+        for end in ends:
+            out.append([x for x in ids[start:end] if x >= 0])
+            start = end
+        return out
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens."""
+        out: dict[str, bytes] = {}
+        group: list[str] = []
+        held = 0
+        for i, piece in enumerate(ordered := list(pieces)):
+            group.append(piece)
+            held += len(piece)
+            if held >= self.TOGETHER or i + 1 == len(ordered):
+                for one, ids in zip(group, self.merge([p.encode() for p in group])):
+                    out[one] = pack(f"<{len(ids)}I", *ids)
+                group, held = [], 0
+        return out
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers.
 
         A pre-token never has a space inside, and where no space has white space on both sides a space begins one.
         Such texts are split at spaces, so that frequent words come from the cache; others go through the pattern."""
-        if self.joined.search(text):
-            return b"".join([self._cached(piece) for piece in self.pattern.findall(text)])
-        head, *rest = text.split(" ")
-        packed = [self._cached(head)]
-        get = self.cache.get
-        for word in rest:
-            word = " " + word
-            packed.append(get(word) or self._cached(word))
-        return b"".join(packed)
+        for cache in (self.spaced, self.bare):
+            if len(cache) > self.CACHED:
+                cache.clear()
+        spaced, bare, find = self.spaced, self.bare, self.pattern.findall
+        split: list[tuple[list[str], list[str]]] = []  # pre-tokens without, words with a space before them
+        unknown: dict[str, list[str]] = {}
+        pieces: set[str] = set()
+        for text in texts:
+            if self.joined.search(text):
+                split.append((find(text), []))
+            else:
+                head, *words = text.split(" ")
+                split.append((find(head), words))
+                for word in set(words):
+                    if word not in spaced and word not in unknown:
+                        unknown[word] = find(" " + word)
+            pieces.update(p for p in split[-1][0] if p not in bare)
+        for word, parts in unknown.items():
+            pieces.update(p for p in parts if p not in bare and not (p[0] == " " and p[1:] in spaced))
+        learned = self._learn(pieces)
+
+        def known(piece: str) -> bytes:
+            packed = learned.get(piece)
+            if packed is None:
+                packed = bare.get(piece)
+            return spaced[piece[1:]] if packed is None else packed
+
+        fresh = {word: b"".join(map(known, parts)) for word, parts in unknown.items()}
+        out = []
+        for heads, words in split:
+            packed = [known(p) for p in heads]
+            packed += [spaced[w] if w in spaced else fresh[w] for w in words]
+            out.append(b"".join(packed))
+        spaced.update((w, b) for w, b in fresh.items() if len(w) < self.LONGEST_CACHED)
+        bare.update((p, b) for p, b in learned.items() if p[0] != " " and len(p) < self.LONGEST_CACHED)
+        spaced.update((p[1:], b) for p, b in learned.items() if p[0] == " " and len(p) < self.LONGEST_CACHED)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+        return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -181,13 +238,12 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: s
     return _per_text(docs, ranks, pattern, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digest)
 
 
-def _whole(encoder: BytePairEncoder, text: str) -> tuple:
-    ids = encoder.encode(text)
+def _whole(encoder: BytePairEncoder, packed: bytes) -> tuple:
+    ids = np.frombuffer(packed, "<u4").tolist()
     return ids, encoder.decode(ids)
 
 
-def _digest(encoder: BytePairEncoder, text: str) -> tuple:
-    packed = encoder.encode_packed(text)
+def _digest(encoder: BytePairEncoder, packed: bytes) -> tuple:
     decoded = encoder.decode(np.frombuffer(packed, "<u4").tolist())
     return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
@@ -204,7 +260,9 @@ def _per_text(docs, ranks, pattern, key, text, columns, of) -> DataFrame:
             _ENCODERS[version] = BytePairEncoder(*shared.value)
         encoder = _ENCODERS[version]
         for pdf in batches:
-            rows = [of(encoder, t if isinstance(t, str) else "") for t in pdf["t"]]
-            yield pd.DataFrame([(k, *r) for k, r in zip(pdf["k"], rows)], columns=[key, *names])
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                packed = encoder.encode_packed([t if isinstance(t, str) else "" for t in part["t"]])
+                yield pd.DataFrame([(k, *of(encoder, p)) for k, p in zip(part["k"], packed)], columns=[key, *names])
 
     return docs.selectExpr(f"`{key}` as k", f"`{text}` as t").mapInPandas(run, f"`{key}` {kind}, {columns}")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, html_text, language_id, line_dedup, packing, secrets, toxicity
+from . import ann, bpe, fingerprint, html_text, language_id, line_dedup, ngram_join, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op3_viterbi_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_crc_mod(3) == 1, F.lit(False)))
     model = language_id.fit(language_id.training_rows(docs, ~F.col("held_out")))
@@ -104,6 +109,7 @@ def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_blocks": op1_line_blocks,
+    "op2_adaptive_prefix_join": op2_adaptive_prefix_join,
     "op3_viterbi_spans": op3_viterbi_spans,
     "op4_rank_queue_bpe": op4_rank_queue_bpe,
     "op5_pattern_packing": op5_pattern_packing,
@@ -119,8 +125,8 @@ ORACLES = {
         WITH v AS (
           SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-            AND len(list_filter(embedding, x -> x <> 0)) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), scored AS (
           SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
