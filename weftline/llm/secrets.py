@@ -98,6 +98,38 @@ def scan_secrets(docs: DataFrame, ledger_path: str, rules=RULES, key: str = "doc
     return paths.join(ledger.select("blob", "spans"), "blob", "left").select(key, "blob", "spans")
 
 
+MARK = "[secret]"
+
+
+def redact(docs: DataFrame, ledger_path: str, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in whose texts each stretch of spans is replaced by MARK.
+
+    Null texts stay null. The blobs are scanned as in scan_secrets()."""
+    spark = docs.sparkSession
+    scan_unseen(docs, open_ledger(spark, ledger_path), rules, key, text).write.mode("append").parquet(ledger_path)
+    found = spark.read.schema(LEDGER).parquet(ledger_path).filter((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0))
+    found = found.select(F.col("blob").alias("_blob"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"))
+
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_covered(t, s, e) for t, s, e in zip(texts, starts, ends)], dtype="object")
+
+    joined = docs.join(found.hint("shuffle_hash"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_blob"), "left")
+    clean = F.when(F.col("_starts").isNull(), F.col(text)).otherwise(cover(text, "_starts", "_ends"))
+    return joined.withColumn(text, clean).select(*docs.columns)
+
+
+def _covered(text: str | None, starts, ends) -> str | None:
+    if text is None or starts is None:
+        return text
+    out, at = [], 0
+    for start, end in sorted(zip(starts, ends)):
+        if start >= at:
+            out += [text[at:start], MARK]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def ledger_for_run(spark: SparkSession) -> str:
     """A new ledger's path in the shared folder."""
     return new_path(spark, "secret-ledger")

@@ -14,7 +14,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 6, (1, 2, 3)
@@ -242,20 +242,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, include: Column, most: int
     return [(r["t"], int(r["label"])) for r in sorted(rows, key=lambda r: (r["k"], r["t"]))]
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep=()) -> DataFrame:
-    """(key, *keep, score double, predicted int) of every row of docs. Null and empty texts have the score of a text
-    without words. Repeated rows stay; no rows give no rows. The model's size is fixed, and it is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [key, *keep]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names)) + ", score double, predicted int"
+def scorer(spark: SparkSession, model: Model):
+    """A pandas UDF from texts to scores. The model's size is fixed, and it is broadcast."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, hasher = shared.value, Hasher()
-        for pdf in batches:
-            scores = [score_words(model, hasher, words_of(t) if isinstance(t, str) else []) for t in pdf.pop("t")]
-            yield pdf.assign(score=scores, predicted=[int(s >= 0.5) for s in scores])
+        for texts in batches:
+            yield pd.Series([score_words(model, hasher, words_of(t)) for t in texts], dtype="float64")
 
-    rows = docs.select(F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    out = rows.mapInPandas(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "score", "predicted")
+    return run
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score double, predicted int) of every row of docs. Null and empty texts have the score of a text without
+    words. Repeated rows stay; no rows give no rows. There is no shuffle."""
+    scored = docs.select(key, scorer(docs.sparkSession, model)(F.col(text)).alias("score"))
+    return scored.select(key, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_civil(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score below 0.5."""
+    return docs.filter(scorer(docs.sparkSession, model)(F.col(text)) < 0.5)
