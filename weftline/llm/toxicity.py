@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 6, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 6, 6, (1, 2, 3)
 MOST_ROWS = 12_000  # labelled rows that a model is fitted on: about a quarter of them of label 1
 CHUNK = 4096  # words that go through the filters at once
 EPOCHS, RATE = 6, 0.01
@@ -108,17 +108,21 @@ def raw_score(model: Model, ids: np.ndarray) -> float:
     return float(features @ model.out + model.out_bias)
 
 
-def _prior_embedding(data: list[tuple[np.ndarray, int]], rng: np.random.Generator) -> np.ndarray:
-    """Embeddings to start from. The first two dimensions say by how much a word's share of documents of label 1, or of
-    label 0, surely exceeds that label's share of all documents: the lower ends of Wilson intervals. The others are
-    small and random."""
-    counts = np.zeros((2, BUCKETS))
-    for ids, label in data:
-        counts[label, np.unique(ids)] += 1
+def _prior_embedding(rows: list[tuple[str, int]], hasher: "Hasher", rng: np.random.Generator) -> np.ndarray:
+    """Embeddings to start from. The first two dimensions say by how much a word's share of lines of label 1, or of
+    label 0, surely exceeds that label's share of all lines: the lower ends of Wilson intervals. The others are small
+    and random. A line that several documents of a label share counts once, so that copies don't add up."""
+    counts, seen, lines = np.zeros((2, BUCKETS)), set(), [0, 0]
+    for text, label in rows:
+        for line in text.split("\n"):
+            if (line, label) not in seen:
+                seen.add((line, label))
+                lines[label] += 1
+                counts[label, np.unique(hasher(words_of(line)))] += 1
     n, z2 = counts.sum(axis=0), 2.7
-    table = rng.standard_normal((BUCKETS, DIM)) * 0.02
+    table = rng.standard_normal((BUCKETS, DIM), dtype=np.float32) * np.float32(0.02)
     for dim, label in ((0, 1), (1, 0)):
-        usual = sum(y == label for _, y in data) / max(1, len(data))
+        usual = lines[label] / max(1, sum(lines))
         p = counts[label] / np.maximum(n, 1)
         low = (p + z2 / 2 / np.maximum(n, 1) - np.sqrt(z2 * (p * (1 - p) + z2 / 4 / np.maximum(n, 1)) / np.maximum(n, 1))) / (1 + z2 / np.maximum(n, 1))
         table[:, dim] = np.where(n > 0, 4 * np.maximum(low - usual, 0), 0)
@@ -141,7 +145,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> Model:
     for w, f in zip(WIDTHS, filters):
         f[::DIM, :half] += 1 / w
     model = Model(
-        _prior_embedding([(ids, label) for ids, label, _, part in data if part > 1], rng),
+        _prior_embedding([row for row, d in zip(rows, data) if d[3] > 1], hasher, rng),
         filters,
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
         np.tile(np.r_[np.full(half, 1 / half), np.zeros(FILTERS - half)], len(WIDTHS)).astype(np.float32),
