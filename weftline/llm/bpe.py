@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from struct import pack
 
@@ -22,6 +23,8 @@ BITS = 6
 WORD = (1 << BITS) - 1
 SHIFT = 18  # ranks are below 2**SHIFT
 NONE = -1
+#: What BytePairEncoder.joined, which is slower, needs at least.
+_LOOSE = re.compile(r" (?:\s|\Z)")
 
 
 class RankBitmap:
@@ -180,7 +183,7 @@ class BytePairEncoder:
         unknown: dict[str, list[str]] = {}
         pieces: set[str] = set()
         for text in texts:
-            if self.joined.search(text):
+            if _LOOSE.search(text) and self.joined.search(text):
                 split.append((find(text), []))
             else:
                 head, *words = text.split(" ")
