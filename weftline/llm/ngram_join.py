@@ -8,7 +8,7 @@ candidates if their prefixes share as many shingles as the smaller m.
 
 Equal sets are one class from the start. Classes that meet under a shingle are first compared with one pivot of that
 shingle; only those that are still in different components are then paired with each other, if the parities of
-their sets (256 bits, a bound on the size of the symmetric difference) allow a link. Every pair that could link is
+their sets (1024 bits, a bound on the size of the symmetric difference) allow a link. Every pair that could link is
 either verified on whole sets or already connected, so components are exact, and dense groups don't make all pairs.
 """
 
@@ -29,6 +29,9 @@ WORDS = 5
 PERCENT = 80  # of the union that the intersection needs
 FREQUENT = 1 << 18  # shingles whose frequency the order knows, at most; others count as rare, which costs no link
 MOST_MATCHES = 24
+PARITY = 16  # words of 64 bits of a set's parity; joins hold it folded to FOLDED words
+FOLDED = 4
+SMALL = 20_000  # wanted sets up to which their keys are broadcast; beyond, they are shuffled
 VERIFY_COST = 30.0  # of a pair, in units of a prefix row
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -61,8 +64,8 @@ def set_id(hashes: np.ndarray, seed: int) -> int:
 
 
 def parity(hashes: np.ndarray) -> list[int]:
-    """Four signed 64-bit words: for each of 256 buckets of shingles, whether the set has an odd number of them."""
-    bits = np.bincount((hashes >> np.uint64(7)).astype(np.int64) & 255, minlength=256) & 1
+    """PARITY signed 64-bit words: for each bucket of shingles, whether the set has an odd number of them."""
+    bits = np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (64 * PARITY - 1), minlength=64 * PARITY) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -71,16 +74,34 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """(prefix, matches, rare): the prefix of a set, how many shared shingles it asks for, and how many are not known.
+class Frequent:
+    """Frequent shingles in ascending order with their counts, and a bitmap that most other shingles fail."""
 
-    known, counts: frequent shingles in ascending order and how many documents have each, about."""
-    frequency = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        frequency = np.where(known[at] == hashes, counts[at], 0)
-    order = np.lexsort((hashes, frequency))
+    BITS = 1 << 23
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray):
+        self.known, self.counts = known, counts
+        self.some = np.zeros(self.BITS, bool)
+        self.some[(known & np.uint64(self.BITS - 1)).astype(np.int64)] = True
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """How many documents have each shingle, about; 0 where that is not known."""
+        out = np.zeros(len(hashes), np.int64)
+        maybe = np.flatnonzero(self.some[(hashes & np.uint64(self.BITS - 1)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
+            out[maybe] = np.where(self.known[at] == hashes[maybe], self.counts[at], 0)
+        return out
+
+
+def prefix(hashes: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, int, int]:
+    """(prefix, matches, rare): the prefix of a set, how many shared shingles it asks for, and how many are not known."""
+    frequency = frequent.of(hashes)
     n, base = len(hashes), len(hashes) - least_overlap(len(hashes))
+    rare = int((frequency == 0).sum())
+    if rare > base:  # a prefix of rare shingles: hashes are in order, and more matches would only cost more
+        return hashes[frequency == 0][: base + 1], 1, rare
+    order = np.lexsort((hashes, frequency))
     cost = np.cumsum(frequency[order])
     best, matches = None, 1
     for m in range(1, min(MOST_MATCHES, n - base) + 1):
@@ -89,7 +110,7 @@ def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> tuple[n
         if best is not None and total >= best:
             break
         best, matches = total, m
-    return hashes[order[: base + matches]], matches, int((frequency == 0).sum())
+    return hashes[order[: base + matches]], matches, rare
 
 
 def links(x: np.ndarray, y: np.ndarray) -> bool:
@@ -101,28 +122,29 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
-    """Rows of two kinds from one pass: (k, n, node) for each row of docs, and (token, docs) for shingles that several
-    different sets of a batch have."""
+    """Rows of two kinds from one pass: (k, n, node, parity) for each row of docs, and (token, docs) for shingles that
+    several different sets of a batch have."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            nodes, sizes, sets = [], [], {}
+            nodes, sizes, parities, sets = [], [], [], {}
             for t in pdf["t"]:
                 hashes = shingles(t)
                 node = set_id(hashes, seed)
                 nodes.append(node)
                 sizes.append(len(hashes))
+                parities.append(parity(hashes))
                 sets[node] = hashes
-            yield pd.DataFrame({"k": pdf["k"], "n": np.array(sizes, np.int64), "node": np.array(nodes, np.int64), "token": None, "docs": None})
+            yield pd.DataFrame({"k": pdf["k"], "n": np.array(sizes, np.int64), "node": np.array(nodes, np.int64), "parity": parities, "token": None, "docs": None})
             tokens = np.concatenate(list(sets.values())) if sets else np.empty(0, np.uint64)
             token, docs_with = np.unique(tokens, return_counts=True)
             token, docs_with = token[docs_with > 1].view(np.int64), docs_with[docs_with > 1]
             if len(token):
-                yield pd.DataFrame({"k": None, "n": None, "node": None, "token": token, "docs": docs_with})
+                yield pd.DataFrame({"k": None, "n": None, "node": None, "parity": None, "token": token, "docs": docs_with})
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"k {kind}, n long, node long, token long, docs long")
+    return rows.mapInPandas(run, f"k {kind}, n long, node long, parity array<long>, token long, docs long")
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +162,7 @@ def _prefixes(docs: DataFrame, text: str, seed: int, known: np.ndarray, counts:
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = shared.value
+        frequent = Frequent(*shared.value)
         seen: set[int] = set()  # copies within a task give rows once
         for pdf in batches:
             tokens, nodes, infos, lengths = [], [], [], []
@@ -150,7 +172,7 @@ def _prefixes(docs: DataFrame, text: str, seed: int, known: np.ndarray, counts:
                 if not len(hashes) or node in seen:
                     continue
                 seen.add(node)
-                head, matches, rare = prefix(hashes, known, counts)
+                head, matches, rare = prefix(hashes, frequent)
                 tokens.append(head)
                 lengths.append(len(head))
                 nodes.append(node)
@@ -169,35 +191,48 @@ def _size(info: Column) -> Column:
     return info.bitwiseAND(F.lit((1 << 34) - 1))
 
 
-def _possible(x: str, y: str) -> Column:
-    """Whether sizes (nx, ny) and parities (p0x..p3x and the like) allow two sets to link."""
-    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+def _room(nx: Column, ny: Column) -> Column:
+    """How large the symmetric difference of linked sets of these sizes can be; negative if the sizes forbid a link."""
     both = nx + ny
     # intersection >= 0.8 union means intersection >= 4/9 of the sum of sizes, rounded up
     room = both - 2 * F.floor((PERCENT * both + 99 + PERCENT) / (100 + PERCENT))
-    apart = sum((F.bit_count(F.col(f"p{i}{x}").bitwiseXOR(F.col(f"p{i}{y}"))) for i in range(4)), F.lit(0))
-    return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & (apart <= room)
+    return F.when(100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny), room).otherwise(-1)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two parities differ: the symmetric difference is no smaller."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+
+
+def _folded(parities: Column) -> list[Column]:
+    """A parity of fewer buckets, as columns f0 and so on."""
+    out = []
+    for i in range(FOLDED):
+        word = F.get(parities, F.lit(i))
+        for j in range(i + FOLDED, PARITY, FOLDED):
+            word = word.bitwiseXOR(F.get(parities, F.lit(j)))
+        out.append(word.alias(f"f{i}"))
+    return out
 
 
 def _texts(docs: DataFrame, key: str, text: str, seed: int, wanted: DataFrame) -> DataFrame:
-    """(node, n, p0..p3, text) of the sets of wanted (node, k): k is the key of one row that has the set."""
-    wanted = wanted.select("node", F.col("k").alias("one")).hint("shuffle_hash")
+    """(node, text) of the sets of wanted (node, k): k is the key of one row that has the set."""
+    wanted = wanted.select("node", F.col("k").alias("one"))
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted.hint("shuffle_hash")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(wanted, F.col("k").eqNullSafe(F.col("one")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # rows of one key come to one task
+        seen: set[int] = set()
         for pdf in batches:
-            out = []
+            keep = []
             for node, t in zip(pdf["node"], pdf["t"]):
-                if node in seen:
-                    continue
-                hashes = shingles(t)
-                if set_id(hashes, seed) == node:  # a key that is repeated can bring other texts
+                # A key that is repeated can bring other texts, or this one again.
+                keep.append(node not in seen and set_id(shingles(t), seed) == node)
+                if keep[-1]:
                     seen.add(node)
-                    out.append((node, len(hashes), *parity(hashes), t))
-            yield pd.DataFrame(out, columns=["node", "n", "p0", "p1", "p2", "p3", "text"])
+            yield pdf.loc[keep, ["node", "t"]].rename(columns={"t": "text"})
 
-    return rows.select("node", "t").mapInPandas(run, "node long, n long, p0 long, p1 long, p2 long, p3 long, text string")
+    return rows.select("node", "t").mapInPandas(run, "node long, text string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -219,12 +254,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long")
 
 
-def _candidates(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (a, b, ia, ib, shared) that share enough prefix shingles and whose sets could link."""
-    enough = rows.filter(F.col("shared") >= F.least(_matches(F.col("ia")), _matches(F.col("ib"))))
+def _candidates(rows: DataFrame, meta: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (a, b, ia, ib, shared) that share enough prefix shingles, whose sets could link by
+    size and parity, and that are not tested yet."""
+    pairs = rows.filter((F.col("shared") >= F.least(_matches(F.col("ia")), _matches(F.col("ib")))) & (_room(_size(F.col("ia")), _size(F.col("ib"))) >= 0))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        enough = enough.join(meta.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}{end}") for c in ("n", "p0", "p1", "p2", "p3")]), end)
-    return enough.filter(_possible("a", "b")).select("a", "b").distinct()
+        pairs = pairs.join(meta.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
+    return pairs.filter(_apart(F.col("pa"), F.col("pb")) <= _room(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,12 +280,14 @@ def _similar(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     """similar(), and the seed of its ids."""
     for seed in range(1, 9):  # another seed in the unlikely case that two sets get one id
         sets = materialize(_sets(docs, key, text, seed), "sets")
-        members = sets.filter("node is not null").select("k", "n", "node")
+        members = sets.filter("node is not null").select("k", "n", "node", "parity")
         sizes = members.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
         if sizes.filter("least <> most").isEmpty():
             break
     classes = materialize(members.filter("n > 0").groupBy("node").agg(F.min("k").alias("k")), "classes")
-    linked = _linked(docs, key, text, seed, classes, _frequent(sets))
+    meta = members.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    members = members.drop("parity")
+    linked = _linked(docs, key, text, seed, classes, meta, _frequent(sets))
     if linked is None:
         named = classes.select("node", F.col("k").alias("component"))
     else:
@@ -258,7 +299,7 @@ def _similar(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     return out.select(F.col("k").alias(key), "n", "node", component.alias("component")), seed
 
 
-def _linked(docs: DataFrame, key: str, text: str, seed: int, classes: DataFrame, frequent) -> DataFrame | None:
+def _linked(docs: DataFrame, key: str, text: str, seed: int, classes: DataFrame, meta: DataFrame, frequent) -> DataFrame | None:
     """(node, comp) of the classes that have links; None if there are none."""
     rows = _prefixes(docs, text, seed, *frequent)
     # Rows of shingles that are in the prefixes of several sets. Copies within a task give rows once, and the aggregate
@@ -268,27 +309,38 @@ def _linked(docs: DataFrame, key: str, text: str, seed: int, classes: DataFrame,
     met = materialize(rows.join(alike, F.col("token") == F.col("tk")).select("token", "node", "info").distinct(), "met")
     if met.isEmpty():
         return None
-    wanted = classes.join(met.select("node").distinct(), "node", "left_semi")
-    texts = materialize(_texts(docs, key, text, seed, wanted), "texts")
-    meta = texts.drop("text").distinct()
-    # Pivot of a shingle: of the sets with the fewest rare shingles, the one with the least id.
-    first = met.groupBy("token").agg(F.min(F.struct("info", "node")).alias("first")).select(F.col("token").alias("tk"), "first")
-    star = met.join(first, F.col("token") == F.col("tk")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.info").alias("ia"), F.col("info").alias("ib"))
-    star = star.filter("a <> b").groupBy("a", "b", "ia", "ib").agg(F.count(F.lit(1)).alias("shared"))
-    found = materialize(_verified(_candidates(star, meta), texts), "links")
-    labels = components(found)
-    for turn in (1, 2, 3):
-        mixed = _mixed(met, labels)
-        if mixed.isEmpty():
-            break
-        more = _star(mixed, meta, turn) if turn < 3 else _all_pairs(mixed, meta)
-        more = materialize(_verified(more, texts), "links")
-        if not more.isEmpty():
-            found = materialize(found.unionByName(more), "links")
+    meta = materialize(meta.join(met.select("node").distinct(), "node", "left_semi"), "meta")
+    labels, found, tested = None, None, None
+    for turn in (0, 1, 2):
+        if turn == 0:
+            pairs = _first_star(met)
+        else:
+            mixed = _mixed(met, labels)
+            if mixed.isEmpty():
+                break
+            pairs = _star(mixed) if turn == 1 else _all_pairs(mixed, meta)
+        pairs = materialize(_candidates(pairs, meta, tested), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not pairs.isEmpty():
+            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            wanted = materialize(classes.join(ends, "node", "left_semi"), "wanted")
+            texts = materialize(_texts(docs, key, text, seed, wanted), "texts")
+            more = materialize(_verified(pairs, texts), "links")
+            found = more if found is None else found.unionByName(more)
             labels = components(found)
+        elif labels is None:
+            labels = components(pairs)
     return labels
 
 
+def _first_star(met: DataFrame) -> DataFrame:
+    """(a, b, ia, ib, shared): pairs of each shingle's pivot with the others. The pivot is, of the sets with the fewest
+    rare shingles, the one with the least id: the text that copies were made from rather than one of the copies."""
+    first = met.groupBy("token").agg(F.min(F.struct("info", "node")).alias("first")).select(F.col("token").alias("tk"), "first")
+    star = met.join(first, F.col("token") == F.col("tk")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.info").alias("ia"), F.col("info").alias("ib"))
+    return star.filter("a <> b").groupBy("a", "b", "ia", "ib").agg(F.count(F.lit(1)).alias("shared"))
+
+
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of met, with comp, under shingles that sets of several components have."""
     rows = met.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -296,28 +348,28 @@ def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(rows.join(several.select(F.col("token").alias("tk")), F.col("token") == F.col("tk"), "left_semi"), "mixed")
 
 
-def _star(mixed: DataFrame, meta: DataFrame, turn: int) -> DataFrame:
-    """Candidates among pairs of another pivot of each shingle with the sets of other components."""
-    draw = F.xxhash64("node", F.lit(turn))
+def _star(mixed: DataFrame) -> DataFrame:
+    """(a, b, ia, ib, shared): pairs of another pivot of each shingle with the sets of other components."""
+    draw = F.xxhash64("node", F.lit(1))
     pivots = mixed.groupBy("token").agg(F.min(draw).alias("least")).select(F.col("token").alias("tk"), "least")
     pivots = mixed.join(pivots, (F.col("token") == F.col("tk")) & (draw == F.col("least")))
     pivots = pivots.select("tk", F.col("node").alias("a"), F.col("info").alias("ia"), F.col("comp").alias("ca"))
     star = mixed.join(pivots, F.col("token") == F.col("tk")).filter("comp <> ca")
-    star = star.groupBy("a", F.col("node").alias("b"), "ia", F.col("info").alias("ib")).agg(F.count(F.lit(1)).alias("shared"))
-    return _candidates(star, meta)
+    return star.groupBy("a", F.col("node").alias("b"), "ia", F.col("info").alias("ib")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _all_pairs(mixed: DataFrame, meta: DataFrame) -> DataFrame:
-    """Candidates among all pairs of sets of different components that share shingles, as far as their sizes and
-    parities let them link; those conditions are part of the join, so other pairs never become rows."""
-    rows = mixed.select("token", "node", "info", "comp").join(meta, "node")
-    names = ["node", "info", "comp", "n", "p0", "p1", "p2", "p3"]
-    one = rows.select("token", *[F.col(c).alias(f"{c}a") for c in names])
-    two = rows.select(F.col("token").alias("tk"), *[F.col(c).alias(f"{c}b") for c in names])
-    condition = (F.col("token") == F.col("tk")) & (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & _possible("a", "b")
-    pairs = one.join(two, condition).groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "infoa", "infob").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.filter(F.col("shared") >= F.least(_matches(F.col("infoa")), _matches(F.col("infob"))))
-    return pairs.select("a", "b").distinct()
+    """(a, b, ia, ib, shared): all pairs of sets of different components that share shingles, as far as their sizes and
+    folded parities let them link; those conditions are part of the join, so other pairs never become rows."""
+    folded = [f"f{i}" for i in range(FOLDED)]
+    rows = mixed.select("token", "node", "info", "comp").join(meta.select("node", *_folded(F.col("parity"))), "node")
+    one = rows.select("token", *[F.col(c).alias(f"{c}a") for c in ("node", "info", "comp", *folded)])
+    two = rows.select(F.col("token").alias("tk"), *[F.col(c).alias(f"{c}b") for c in ("node", "info", "comp", *folded)])
+    apart = sum((F.bit_count(F.col(f"{f}a").bitwiseXOR(F.col(f"{f}b"))) for f in folded), F.lit(0))
+    condition = (F.col("token") == F.col("tk")) & (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb"))
+    condition = condition & (apart <= _room(_size(F.col("infoa")), _size(F.col("infob"))))
+    pairs = one.join(two, condition)
+    return pairs.groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), F.col("infoa").alias("ia"), F.col("infob").alias("ib")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
