@@ -9,9 +9,11 @@ labels every word; runs of one label are spans.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -47,10 +49,25 @@ def script_of(word: str) -> str:
     return "other"
 
 
+class _Buckets(dict):
+    """Buckets of n-grams, kept once they are known; there are few different ones."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[gram] = at = crc32(gram.encode()) % BUCKETS
+        return at
+
+
+_BUCKET = _Buckets()
+
+
 def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams of 1 to 4 characters, its ends marked, and of the whole word."""
-    marked = f"<{word}>"
-    out = [crc32(marked[i : i + n].encode()) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+    """Buckets of a word's n-grams of 1 to 3 characters, its ends marked, and of the whole word."""
+    marked, bucket = f"<{word}>", _BUCKET
+    out = [bucket[c] for c in marked]
+    out += [bucket[a + b] for a, b in zip(marked, marked[1:])]
+    out += [bucket[a + b + c] for a, b, c in zip(marked, marked[1:], marked[2:])]
     out.append(crc32(f"={word}".encode()) % BUCKETS)
     return out
 
@@ -64,10 +81,17 @@ class Model:
     allowed: dict[str, np.ndarray]
     prior: np.ndarray
 
-    def word_score(self, word: str) -> np.ndarray:
-        score = self.table[grams(word)].mean(axis=0) * min(len(word), 8)
-        mask = self.allowed.get(script_of(word))
-        return score if mask is None else np.where(mask, score, -60.0)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean log probability of its n-grams, longer words weighing more, in the languages
+        that its script allows."""
+        each = [grams(w) for w in words]
+        sizes = np.array([len(g) for g in each])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        total = np.add.reduceat(self.table[np.fromiter(chain.from_iterable(each), np.int64, sizes.sum())], starts, axis=0)
+        scores = total / sizes[:, None] * np.minimum([len(w) for w in words], 8)[:, None]
+        everywhere = np.ones(len(self.languages), bool)
+        allowed = np.array([self.allowed.get(script_of(w), everywhere) for w in words])
+        return np.where(allowed, scores, -60.0)
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -131,7 +155,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 class Labeller:
     """Labels texts with a model; keeps word scores in a cache of bounded size."""
 
-    CACHED = 200_000
+    CACHED = 500_000
+    AT_ONCE = 20_000
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
@@ -140,15 +165,18 @@ class Labeller:
 
     def _places(self, words: list[str]) -> list[int]:
         """Rows of self.rows that hold the words' scores."""
-        missing = {w for w in words if w not in self.cache}
+        missing = dict.fromkeys(w for w in words if w not in self.cache)
         if len(self.cache) + len(missing) > self.CACHED:
             self.cache.clear()
-            missing = set(words)
+            missing = dict.fromkeys(words)
             if len(missing) > len(self.rows):
                 self.rows = np.zeros((len(missing), self.rows.shape[1]), np.float32)
-        for w in missing:
-            self.rows[len(self.cache)] = self.model.word_score(w)
-            self.cache[w] = len(self.cache)
+        new = list(missing)
+        for at in range(0, len(new), self.AT_ONCE):
+            some = new[at : at + self.AT_ONCE]
+            first = len(self.cache)
+            self.rows[first : first + len(some)] = self.model.word_scores(some)
+            self.cache.update(zip(some, range(first, first + len(some))))
         return [self.cache[w] for w in words]
 
     def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,11 +188,12 @@ class Labeller:
 
 
 def _slices(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[int]]:
-    """Places of the texts in groups of about `most` characters, so that memory stays bounded."""
+    """Places of the texts in groups of about `most` characters, so that memory stays bounded; texts of like lengths
+    are together, because a group takes as many steps as its longest text has words."""
     group, held = [], 0
-    for i, t in enumerate(texts):
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i] or "")):
         group.append(i)
-        held += len(t or "")
+        held += len(texts[i] or "")
         if held >= most:
             yield group
             group, held = [], 0
@@ -226,6 +255,7 @@ def training_rows(docs: DataFrame, include: Column, most: int = MOST_ROWS, key:
     return [(r["t"], r["l"]) for r in rows.filter(F.col("h") < limit).select("h", "t", "l").collect()]
 
 
+_LABELLERS: dict[str, Labeller] = {}
 _SCHEMA_ONE = "lang_pred string, score double"
 
 
@@ -235,11 +265,15 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     A text that is null or has no letter is `und` with score 0. Repeated rows stay; no rows give no rows. The model has
     a fixed number of buckets for each language and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    version = uuid.uuid4().hex
     kind = dict(docs.dtypes)[key]
     schema = f"k {kind}, {_SCHEMA_ONE}" + (", spans array<struct<start:int,end:int,lang:string>>" if with_spans else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(shared.value)
+        if version not in _LABELLERS:  # a worker keeps its labeller, and the cache in it, for later tasks
+            _LABELLERS.clear()
+            _LABELLERS[version] = Labeller(shared.value)
+        labeller = _LABELLERS[version]
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["t"]]
             langs, shares = summarize(labeller, texts)
