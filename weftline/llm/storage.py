@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,23 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, whose table goes when this process ends with its session still up."""
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+@atexit.register
+def clean() -> None:
+    """Delete the tables written so far; no plan may read them any more."""
+    session = SparkSession.getActiveSession() if _PATHS else None
+    if session is not None and session.sparkContext._jsc is not None:
+        for path in _PATHS:
+            remove(session, path)
+        _PATHS.clear()
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
