@@ -43,6 +43,20 @@ def test_html_without_a_mark_takes_dense_runs():
     assert text.count("\n") == 5 and text.startswith("Long sentence number 0") and "(c)" not in text
 
 
+def test_html_marks_are_weight_only():
+    body = [f"{'Long sentence number %d of the text. ' % i * 4}".strip() for i in range(6)]
+    real = "".join(f"<p>{x}</p>" for x in body)
+    teaser = "<article><h3>Other story</h3><p>Read what else is new.</p></article>"
+    assert html_text.main_text(f"<body><div>{real}</div><div>{teaser * 3}</div></body>") == "\n".join(body)
+    assert html_text.main_text(f"<body>{teaser}<div>{real}</div></body>").endswith("\n".join(body))
+    comments = f"<section class=comments><article class=comment><p>{body[0]}</p></article><article><p>{body[1]}</p></article></section>"
+    assert html_text.main_text(f"<body><div>{real}</div>{comments}</body>") == "\n".join(body)
+    assert html_text.main_text(f"<body><article>{real}</article>{comments}</body>") == "\n".join(body)
+    named = f"<article class='post has-sidebar'><h2 id='related-work'>Related work</h2><div id='related-work-text'>{real}</div><p>Last.</p></article>"
+    assert html_text.main_text(named) == "Related work\n" + "\n".join(body) + "\nLast."
+    assert html_text.main_text(f"<div id=page><div class=ad>buy<article>{real}</article></div>") == "\n".join(body)
+
+
 def test_html_odd_pages(spark):
     assert html_text.main_text(None) == "" == html_text.main_text("")
     assert html_text.main_text("<div class=ad>buy<article><p>a &lt;b&gt;") == "a <b>"

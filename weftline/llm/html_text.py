@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of the page, and each line has the length of its text; lines of menus,
-notices, forms and the like, by their tags, roles and names, count as empty. The sums of lengths over windows of WINDOW
-lines rise at a surge point where the article begins and fall to nothing at a dive point after its end. The text
-between those points is kept. A page that marks its article (article, main) has its lines outside that mark counted as
-empty; on other pages lines that are mostly links are too, and only runs that reach a share of the largest sum stay.
+notices, forms and the like, by their tags, roles and names, count as empty, as do lines that are mostly links. The sums
+of lengths over windows of WINDOW lines rise at a surge point where the article begins and fall to nothing at a dive point
+after its end; a run also ends where a mark (article, main) begins or ends. The runs that reach a share of the largest sum
+are kept. A mark is only extra weight in this: MARK times for a page's one mark or a large one, and as many times less for
+one of several that are small beside the text outside, such as teasers.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-SURGE = 0.2  # of the largest window sum: what a run of lines must reach on a page without a mark
-LINKS = 0.5  # share of a line's characters in links from which it counts as empty on such a page
+SURGE = 0.2  # of the largest window sum: what a run of lines must reach
+LINKS = 0.5  # share of a line's characters in links from which it counts as empty, or as 1 / MARK of its length in a mark
+MARK = 3  # weight of a mark
 #: Elements whose text is never read, blocks, elements outside any article, and void elements.
 RAW = frozenset("script style noscript template svg textarea title iframe object canvas math select".split())
 BLOCKS = frozenset(
@@ -37,21 +39,37 @@ NAMES = frozenset(
     " breadcrumbs footer sidebar aside widget share sharing social related recommended recommendations comment comments"
     " commentlist replies disqus respond login search pagination pager toc skip".split()
 )
+#: Words beside names in a name of one part: "comment-list" is one, "related-work" and "has-sidebar" are none.
+PARTS = frozenset("area block body bottom box container content entry form holder inner item items left list main outer panel post posts right section slot thread top wrap wrapper".split())
+HEADS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: Elements that their parent's end tag closes as well.
+OPTIONAL = frozenset("p li dd dt td th tr tbody thead tfoot option".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\b(hidden)\b")
 _TOKENS = re.compile(r"[a-z0-9]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _named(value: str, strict: bool) -> bool:
+    """Whether a class or id names a part outside the article: by any token or, if strict, by a word of nothing else."""
+    if not strict:
+        return not NAMES.isdisjoint(_TOKENS.findall(value))
+    for word in value.split():
+        tokens = _TOKENS.findall(word)
+        if not NAMES.isdisjoint(tokens) and all(t in NAMES or t in PARTS or t.isdigit() for t in tokens):
+            return True
+    return False
+
+
 def _outside(tag: str, attributes: str, in_mark: bool) -> bool:
     """Whether an element is none of the article's by its tag, role, name or style."""
     if tag in OUTSIDE or (tag == "header" and not in_mark):
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes.strip() or tag in ("html", "body"):
         return False
     for m in _ATTR.finditer(attributes):
         name, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(_TOKENS.findall(value)):
+        if name in ("class", "id") and tag not in HEADS and _named(value, in_mark or tag in MARKS):
             return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -60,12 +78,25 @@ def _outside(tag: str, attributes: str, in_mark: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's lines: (text, characters in links, whether it is outside by its element, whether it is in a mark)."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements that matter: (tag, whether outside)
+class _Element:
+    """An open element that matters; `closed` tells whether it had its end tag, or a parent's if that is enough."""
+
+    __slots__ = ("tag", "outside", "mark", "nth", "closed")
+
+    def __init__(self, tag: str, outside: bool, mark: bool, nth: int):
+        self.tag, self.outside, self.mark, self.nth, self.closed = tag, outside, mark, nth, False
+
+
+def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+    """The page's lines: (text, characters in links, whether it is outside by its elements, outermost mark or 0).
+
+    An outside element hides the marks in it, unless it is never closed."""
+    out: list[tuple[str, int, bool, int, tuple[_Element, ...]]] = []
+    stack: list[_Element] = []
+    parents: list[_Element] = []  # outside elements around marks, which hide these if they turn out to be closed
     parts: list[str] = []
-    linked, links, outside, marks, at = 0, 0, 0, 0, 0
+    over: tuple[_Element, ...] = ()  # those of them that are open
+    linked, links, outside, at, nth, mark, marks = 0, 0, 0, 0, 0, 0, 0
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -79,16 +110,24 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         line = " ".join("".join(parts).split())
         if line:
-            out.append((line, linked, outside > 0, marks > 0))
+            out.append((line, linked, outside > 0, mark, over))
         parts.clear()
         linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal outside, marks
+    def pop(to: int, closed: bool) -> None:
+        nonlocal outside, mark, over
         while len(stack) > to:
-            tag, was_outside = stack.pop()
-            outside -= was_outside
-            marks -= tag in MARKS
+            e = stack.pop()
+            e.closed = closed and (len(stack) == to or e.tag in OPTIONAL)
+            if not e.closed and e.tag not in OPTIONAL:  # which of the two was left open nobody can tell
+                for x in parents:
+                    if x.nth > e.nth and x.tag == e.tag:
+                        x.closed = False
+            outside -= e.outside
+            if e.mark:
+                mark = 0
+                outside += len(over)  # text after the mark is outside as before it
+                over = ()
 
     n, find = len(html), _TAG.search
     while m := find(html, at):
@@ -101,8 +140,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             if tag in BLOCKS:
                 end_line()
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
+                if stack[i].tag == tag:
+                    pop(i, True)
                     break
             if tag == "a":
                 links = max(0, links - 1)
@@ -114,25 +153,29 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCKS:
             end_line()
             links = 0  # no link goes on over blocks
-            if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                pop(len(stack) - 1)
+            if stack and stack[-1].tag == "p":  # a block ends an open paragraph
+                pop(len(stack) - 1, True)
         elif tag == "br":
             parts.append(" ")
         if tag == "a":
             links += 1
-        elif tag in MARKS:
-            while outside and stack:  # an element that was never closed does not hide the article
-                pop(len(stack) - 1)
-            marks += 1
-            stack.append((tag, False))
         elif tag not in VOID:
-            is_outside = _outside(tag, m[3], marks > 0)
+            is_outside = _outside(tag, m[3], mark > 0)
             if is_outside or tag in BLOCKS:
-                stack.append((tag, is_outside))
+                nth += 1
+                begins = tag in MARKS and not mark
+                if begins:
+                    marks += 1
+                    mark = marks
+                    over = tuple(e for e in stack if e.outside)
+                    parents += [e for e in over if e not in parents[-len(over) :]]
+                    outside = 0
+                stack.append(_Element(tag, is_outside, begins, nth))
                 outside += is_outside
     text(html[at:])
     end_line()
-    return out
+    pop(0, False)
+    return [(line, linked, hidden or any(e.closed for e in above), mark) for line, linked, hidden, mark, above in out]
 
 
 def window_sums(lengths: list[int]) -> list[int]:
@@ -142,25 +185,40 @@ def window_sums(lengths: list[int]) -> list[int]:
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line feeds; empty for null, empty pages and pages without an article."""
-    lines = lines_of(html) if html else []
-    marked = any(in_mark and not outside for _, _, outside, in_mark in lines)
-    lengths = []
-    for line, linked, outside, in_mark in lines:
-        empty = outside or (not in_mark if marked else linked >= LINKS * len(line))
-        lengths.append(0 if empty else len(line))
-    sums = window_sums(lengths)
-    largest = max(sums, default=0)
-    kept, start = [], 0
-    while start < len(sums):
-        if not sums[start]:
-            start += 1
-            continue
-        end = start  # a run of windows with text: from the surge to the dive
-        while end < len(sums) and sums[end]:
-            end += 1
-        if marked or max(sums[start:end]) >= SURGE * largest:
-            kept += [lines[i][0] for i in range(start, end) if lengths[i]]
-        start = end
+    # Parts of a mark that are outside leave no gap in it.
+    lines = [x for x in (lines_of(html) if html else []) if not (x[2] and x[3])]
+    lengths: list[float] = []
+    held: dict[int, int] = {}  # text of each mark, of none under 0
+    for line, linked, outside, mark in lines:
+        links = linked >= LINKS * len(line)
+        length = 0 if outside else (len(line) / MARK if mark else 0) if links else len(line)
+        lengths.append(length)
+        held[mark] = held.get(mark, 0) + (len(line) if length else 0)
+    free = held.pop(0, 0)
+    weights = {mark: MARK if len(held) == 1 or 2 * n >= free else 1 / MARK for mark, n in held.items()}
+    runs = []  # (mark, largest sum, lines): from a surge to a dive
+    start = 0
+    while start < len(lines):
+        mark, stop = lines[start][3], start
+        while stop < len(lines) and lines[stop][3] == mark:
+            stop += 1
+        sums = window_sums(lengths[start:stop])
+        at = 0
+        while at < len(sums):
+            end = at
+            while end < len(sums) and sums[end]:
+                end += 1
+            if end > at:
+                runs.append((mark, max(sums[at:end]), [lines[start + i][0] for i in range(at, end) if lengths[start + i]]))
+            at = end + 1
+        start = stop
+    plain = max((top for _, top, _ in runs), default=0)
+    weighted = max((top * weights.get(mark, 1) for mark, top, _ in runs), default=0)
+    kept: list[str] = []
+    for mark, top, texts in runs:
+        # A mark is held against sums as they are, the text outside against sums with the weights of marks.
+        if top * weights[mark] >= SURGE * plain if mark else top >= SURGE * weighted:
+            kept += texts
     return "\n".join(kept)
 
 
