@@ -120,3 +120,16 @@ def test_budget_ends_a_page_but_not_a_site(spark):
     rows = [("s", 1, 1, "a" * 40), ("s", 1, 2, "b" * 80), ("s", 1, 3, "c" * 10), ("s", 2, 1, "d" * 50), ("s", 2, 2, "e" * 20), ("t", 9, 1, "f" * 100)]
     got = sorted(tuple(r) for r in within_budget(spark.createDataFrame(rows, "site string, page_id long, ord int, text string"), 100).collect())
     assert got == [("s", 1, 1, 40), ("s", 2, 1, 50), ("t", 9, 1, 100)]
+
+
+def test_page_checks_read_the_page_table(spark, tmp_path):
+    from weftline.plans.audit_queries import HTML
+
+    HTML.df(spark).drop("site").write.parquet(str(tmp_path / "pages.parquet"))
+    expected = sorted(tuple(r) for r in QUERIES["page_check_findings"](spark, SF).collect())
+    assert sorted(tuple(r) for r in QUERIES["site_check_findings"](spark, str(tmp_path)).collect()) == expected and len(expected) == 18
+    found = QUERIES["page_check_gates"](spark, str(tmp_path)).filter("gate = 'finding'").select("site", "check_id", "severity").collect()
+    assert sorted(tuple(r) for r in found) == expected
+    sites = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("count(DISTINCT regexp_extract(url, '//([^/]*)', 1))").first()[0]
+    assert QUERIES["page_check_gates"](spark, SF).count() == 11 * sites
+    assert sorted(r.parse_ok for r in QUERIES["site_jsonld_blocks"](spark, str(tmp_path)).collect()) == [False, True, True]

@@ -231,8 +231,8 @@ def hidden_instances(html: Column) -> Column:
 
 
 def hidden_text(pages: DataFrame) -> DataFrame:
-    """REP-HIDDEN-TEXT-SUSPECT. pages: (site, url, html, words)."""
-    hit = (hidden_instances(F.col("html")) >= 2) & (F.col("words") < 300)
+    """REP-HIDDEN-TEXT-SUSPECT. pages: (site, url, hidden, words); hidden: of hidden_instances()."""
+    hit = (F.col("hidden") >= 2) & (F.col("words") < 300)
     site = pages.groupBy("site").agg(F.count_if(hit).alias("n"), _urls(hit).alias("pages"))
     return result(site, "REP-HIDDEN-TEXT-SUSPECT", F.when(F.col("n") >= 2, FOUND).otherwise(PASSED), "medium", "medium", F.format_string("%d pages", "n"), F.col("pages"))
 

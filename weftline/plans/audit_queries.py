@@ -1,4 +1,5 @@
-"""Queries for what the driver's pages do not hold: robots files, probes, headers and results, given as small tables.
+"""Checks of the pages themselves, and queries for what the driver's pages do not hold: robots files, probes, headers and
+results, given as small tables.
 
 Both engines read the same inline rows, in which nulls stand for what was not observed."""
 
@@ -268,32 +269,35 @@ HTML = Inline("html_pages", "page_id long, site string, url string, html string"
 ))
 
 
-def measured(spark: SparkSession) -> DataFrame:
-    """The fixture pages, parsed, with what the checks ask for."""
-    raw = HTML.df(spark)
-    parsed = parse_pages(raw).drop("url").join(raw, "page_id")
-    facts = F.size(F.filter("state_strings", texts.fact_like))
+def measured(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, site, url, html), parsed whole, with what the checks ask for: a small row for each page."""
+    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site", "html"), whole=True)
+    prices = F.regexp_extract_all("visible_text", F.lit(claim_functions.PATTERNS[0][1]), F.lit(0))
+    shown = F.lower("visible_text")
+    tokens = claim_functions.fact_tokens(F.coalesce("meta_description", F.lit("")))
+    links = F.transform("links", lambda x: urls.path(x["href"]))
     return parsed.select(
-        "*", facts.alias("state_facts"), texts.word_count(F.col("visible_text")).alias("words"), F.coalesce(F.length("html"), F.lit(0)).alias("raw_chars"), F.size("images").alias("n_images"),
+        "page_id", "site", "url", "title", "noscript_js", "empty_root", "grid_candidates", "tables", "overlay", "has_viewport", "jsonld", "details", "details_open", "images_unsized", "render_blocking",
+        F.size(F.filter("state_strings", texts.fact_like)).alias("state_facts"), texts.word_count(F.col("visible_text")).alias("words"), F.coalesce(F.length("html"), F.lit(0)).alias("raw_chars"), F.size("images").alias("images"),
         F.size(F.filter("images", lambda i: i["alt_empty"])).alias("empty_alts"), (F.col("canvases") + F.col("svg_without_text") + F.col("videos_uncaptioned")).alias("media"), urls.norm_path(urls.path(F.col("url"))).alias("path"),
+        F.col("meta_description").alias("description"), F.array_join(F.filter(tokens, lambda t: F.contains(shown, F.lower(t))), "\n").alias("visible"), F.array_distinct(prices).alias("visible_prices"),
+        F.col("visible_text").rlike("(?i)price|pricing").alias("pricing_context"), checks.hidden_instances(F.coalesce("html", F.lit(""))).alias("hidden"), F.array_except("script_paths", links).alias("handler_paths"), F.array().cast("array<string>").alias("link_paths"),
     )
 
 
-def page_checks(spark: SparkSession) -> DataFrame:
-    """All checks of the fixture pages."""
+def page_checks(pages: DataFrame) -> DataFrame:
+    """All checks of pages (page_id, site, url, html) that need nothing else; rows alike in all columns are one page."""
     from ..operators.crawl import page_class
 
-    p = measured(spark)
-    prices = claim_functions.PATTERNS[0][1]
-    tables = p.withColumn("page_class", page_class(F.col("path"))).withColumn("prices", F.size(F.array_distinct(F.regexp_extract_all("visible_text", F.lit(prices), F.lit(0))))).withColumn("pricing_context", F.col("visible_text").rlike("(?i)price|pricing"))
-    blocks = p.select("site", "url", "path", F.explode("jsonld").alias("b")).select("site", "url", "path", F.col("b.raw").alias("raw"))
+    p = measured(pages).distinct()  # one exchange with all columns, which every check reads: pages are parsed once
+    tables = p.withColumn("page_class", page_class(F.col("path"))).withColumn("prices", F.size("visible_prices"))
+    blocks = p.select("site", "url", F.explode("jsonld").alias("b")).select("site", "url", F.col("b.raw").alias("raw"))
     nodes = checks.jsonld_nodes(blocks).withColumn("path", urls.norm_path(urls.path(F.col("url"))))
     schema = nodes.groupBy("url").agg(F.collect_list("price").alias("schema_prices"))
-    priced = p.select("site", "url", F.regexp_extract_all("visible_text", F.lit(prices), F.lit(0)).alias("visible_prices")).join(schema, "url", "left").withColumn("schema_prices", F.coalesce("schema_prices", F.array().cast("array<string>")))
+    priced = p.select("site", "url", "visible_prices").join(schema, "url", "left").withColumn("schema_prices", F.coalesce("schema_prices", F.array().cast("array<string>")))
     results = [
-        checks.key_fact_loss(p), checks.state_only(p), checks.metadata_contrast(p.withColumn("description", F.col("meta_description")).withColumn("visible", F.col("visible_text")), claim_functions.fact_tokens),
-        checks.non_text_lockin(p.withColumn("images", F.col("n_images"))), checks.table_semantics(tables), checks.script_links(p.withColumn("handler_paths", F.col("script_paths")).withColumn("link_paths", F.transform("links", lambda x: urls.path(x["href"])))),
-        checks.hidden_text(p.withColumn("html", F.coalesce("html", F.lit("")))), checks.jsonld_invalid(p.select("site").distinct(), nodes), checks.price_conflict(priced), checks.viewport_absent(p), checks.overlay_block(p),
+        checks.key_fact_loss(p), checks.state_only(p), checks.metadata_contrast(p, claim_functions.fact_tokens), checks.non_text_lockin(p), checks.table_semantics(tables), checks.script_links(p),
+        checks.hidden_text(p), checks.jsonld_invalid(p.select("site").distinct(), nodes), checks.price_conflict(priced), checks.viewport_absent(p), checks.overlay_block(p),
     ]
     out = results[0]
     for r in results[1:]:
@@ -311,12 +315,18 @@ EXPECTED = Inline("expected", "site string, check_id string, severity string", (
 
 @query("page_check_findings", "SELECT site, check_id, severity FROM expected", EXPECTED)
 def _(spark, sf_dir):
-    return page_checks(spark).filter("gate = 'finding'").select("site", "check_id", "severity")
+    """Of the fixture pages, against what must be said of them; site_check_findings is the query over the page table."""
+    return page_checks(HTML.df(spark)).filter("gate = 'finding'").select("site", "check_id", "severity")
+
+
+@query("site_check_findings")
+def _(spark, sf_dir):
+    return page_checks(sources.read_pages(spark, sf_dir)).filter("gate = 'finding'").select("site", "check_id", "severity")
 
 
 @query("page_check_gates")
 def _(spark, sf_dir):
-    return page_checks(spark).select("site", "check_id", "gate", "severity", "confidence", "evidence")
+    return page_checks(sources.read_pages(spark, sf_dir)).select("site", "check_id", "gate", "severity", "confidence", "evidence")
 
 
 @query("jsonld_blocks", """+b AS (SELECT page_id, unnest(regexp_extract_all(html, '<script type="application/ld\\+json">(.*?)</script>', 1)) AS raw FROM html_pages) SELECT page_id, raw, json_valid(raw) AS parse_ok FROM b""", HTML)
@@ -325,10 +335,22 @@ def _(spark, sf_dir):
     return rows.select("page_id", F.col("b.raw").alias("raw"), F.col("b.parse_ok").alias("parse_ok"))
 
 
+@query("site_jsonld_blocks", """WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '<script type="application/ld\\+json">(.*?)</script>', 1)) AS raw FROM pages) SELECT page_id, raw, json_valid(raw) AS parse_ok FROM b""")
+def _(spark, sf_dir):
+    rows = parse_pages(sources.read_pages(spark, sf_dir), whole=True).select("page_id", F.explode("jsonld").alias("b"))
+    return rows.select("page_id", F.col("b.raw").alias("raw"), F.col("b.parse_ok").alias("parse_ok"))
+
+
 @query("page_measures", """SELECT site, sum(greatest(0, len(regexp_extract_all(html, '<details')) - len(regexp_extract_all(html, '<details open'))))::BIGINT AS collapsed, sum(len(regexp_extract_all(html, '<img')))::BIGINT AS images_unsized,
   max(len(regexp_extract_all(html, '<script src=')))::INTEGER AS render_blocking FROM (SELECT site, coalesce(html, '') AS html FROM html_pages) GROUP BY 1""", HTML)
 def _(spark, sf_dir):
-    return checks.collapsed_answers(measured(spark))
+    return checks.collapsed_answers(measured(HTML.df(spark)))
+
+
+@query("site_page_measures", f"""WITH {PG} SELECT site, sum(greatest(0, len(regexp_extract_all(html, '<details')) - len(regexp_extract_all(html, '<details open'))))::BIGINT AS collapsed, sum(len(regexp_extract_all(html, '<img')))::BIGINT AS images_unsized,
+  max(len(regexp_extract_all(html, '<script src=')))::INTEGER AS render_blocking FROM pg GROUP BY 1""")
+def _(spark, sf_dir):
+    return checks.collapsed_answers(measured(sources.read_pages(spark, sf_dir)))
 
 
 PRESENCE = Inline("presence", "site string, ownership string, http_status int, brand_name_match boolean", (("a", "independent", 200, True), ("b", "independent", 404, None), ("c", "independent", None, None), ("c", "independent", 404, None), ("d", "owned", 200, True), ("e", "independent", 302, None)))

@@ -263,8 +263,10 @@ def state_strings(payloads: list[str], visible: str) -> list[str]:
     return [s for s in found if s not in visible][: CAPS["state_strings"]]
 
 
-def parse_page(page_id, url: str, html: str | None) -> dict:
-    """One parsed page; a page without HTML is a row with nothing found."""
+def parse_page(page_id, url: str, html: str | None, whole: bool = False) -> dict:
+    """One parsed page; a page without HTML is a row with nothing found. If whole, links, images, JSON-LD and visible text
+    are not cut to their caps."""
+    most = {k: None if whole else n for k, n in {**CAPS, "text": TEXT, "raw": RAW_JSON}.items()}
     reader = _Reader(url or "")
     try:
         reader.feed(html or "")
@@ -274,14 +276,14 @@ def parse_page(page_id, url: str, html: str | None) -> dict:
     visible = "\n".join(reader.blocks)
     dates = list(reader.dates)
     jsonld = []
-    for raw in reader.jsonld[: CAPS["jsonld"]]:
+    for raw in reader.jsonld[: most["jsonld"]]:
         try:
             parsed = json.loads(raw)
-            jsonld.append({"raw": raw[:RAW_JSON], "parse_ok": True})
+            jsonld.append({"raw": raw[: most["raw"]], "parse_ok": True})
             if isinstance(parsed, dict):
                 dates += [str(parsed[k]) for k in ("dateModified", "datePublished") if parsed.get(k)]
         except ValueError:
-            jsonld.append({"raw": raw[:RAW_JSON], "parse_ok": False})
+            jsonld.append({"raw": raw[: most["raw"]], "parse_ok": False})
     sections = [{"ord": i, "heading": s["heading"], "level": s["level"], "id": s["id"], "text": "\n".join(s["parts"])[:SECTION], "char_offset": s["at"]} for i, s in enumerate(reader.sections) if s["parts"] or s["heading"]]
     n = reader.n
     return {
@@ -294,13 +296,13 @@ def parse_page(page_id, url: str, html: str | None) -> dict:
         "meta_description": reader.metas.get("og:description") or reader.metas.get("description"),
         "metas": reader.metas,
         "hreflang": reader.hreflang,
-        "visible_text": visible[:TEXT],
+        "visible_text": visible[: most["text"]],
         "claim_text": "\n".join(c for c in reader.claims if c),
         "blocks": reader.blocks,
         "headings": [{"ord": i + 1, **h} for i, h in enumerate(reader.headings[: CAPS["headings"]])],
         "sections": sections,
-        "links": [{"ord": i + 1, **x} for i, x in enumerate(reader.links[: CAPS["links"]])],
-        "images": reader.images[: CAPS["images"]],
+        "links": [{"ord": i + 1, **x} for i, x in enumerate(reader.links[: most["links"]])],
+        "images": reader.images[: most["images"]],
         "jsonld": jsonld,
         "state_strings": state_strings(reader.states, folded(visible)),
         "microdata": list(dict.fromkeys(reader.microdata))[: CAPS["microdata"]],
@@ -324,14 +326,18 @@ def parse_page(page_id, url: str, html: str | None) -> dict:
     }
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Parsed rows of pages (page_id, url, html): one narrow stage. Every row of pages stays; null pages are blank."""
+def parse_pages(pages: DataFrame, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Parsed rows of pages (page_id, url, html), with the columns in keep: one narrow stage. Every row of pages stays;
+    null pages are blank."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([parse_page(*row) for row in zip(pdf["page_id"], pdf["url"], pdf["html"])])
+            parsed = pd.DataFrame([parse_page(*row, whole) for row in zip(pdf["page_id"], pdf["url"], pdf["html"])])
+            yield parsed.assign(**{c: pdf[c].to_numpy() for c in keep}) if len(parsed) else parsed
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
+    kinds = dict(pages.dtypes)
+    columns = list(dict.fromkeys(("page_id", "url", "html", *keep)))
+    return pages.select(*columns).mapInPandas(run, SCHEMA + "".join(f", {c} {kinds[c]}" for c in keep))
 
 
 def inflate(body: bytes | None) -> bytes | None:
