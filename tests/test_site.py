@@ -133,3 +133,26 @@ def test_page_checks_read_the_page_table(spark, tmp_path):
     sites = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("count(DISTINCT regexp_extract(url, '//([^/]*)', 1))").first()[0]
     assert QUERIES["page_check_gates"](spark, SF).count() == 11 * sites
     assert sorted(r.parse_ok for r in QUERIES["site_jsonld_blocks"](spark, str(tmp_path)).collect()) == [False, True, True]
+
+
+LINKED = (
+    "<body><h2 class=t><a name=top>Head <i>one</i></a></h2><a class=x href=/p1>one</a><a href='/p2'>two</a><A HREF = \"/p3\"><b>three</b> more</A>"
+    "<!-- <a href=\"/no\">no</a> --><script>'<a href=\"/no\">'</script><a data-href=/no>no</a><a href=\"/p4\">open<p>text</p><h3>Last"
+)
+
+
+def test_links_and_headings_in_any_form(spark):
+    from weftline.sources import pages as sources
+
+    p = spark.createDataFrame([(1, "s", "http://s/", LINKED), (2, "s", "http://s/2", None)], "page_id long, site string, url string, html string")
+    got = [(r.ord, r.target, r.anchor_text) for r in sources.links(p).orderBy("ord").collect()]
+    assert got == [(1, "http://s/p1", "one"), (2, "http://s/p2", "two"), (3, "http://s/p3", "three more"), (4, "http://s/p4", "open")]
+    assert [tuple(r) for r in sources.headings(p).orderBy("ord").collect()] == [(1, 1, 2, "Head one"), (1, 2, 3, "Last")]
+
+
+def test_late_links_count_for_the_site(spark, tmp_path):
+    index = "".join(f'<a href="/p{i}">x</a>' for i in range(450))
+    spark.createDataFrame([(1, "http://s/", index + LINKED), (2, "http://s/p449", "<p>x</p>"), (3, "http://s/p3", '<a href="/">home</a>')], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert QUERIES["unlinked_pages"](spark, str(tmp_path)).count() == 0
+    assert QUERIES["sitemap_orphans"](spark, str(tmp_path)).first()["evidence"].startswith("0 of 3")
+    assert QUERIES["page_links"](spark, str(tmp_path)).count() == 401

@@ -82,7 +82,7 @@ def url_keys(spark, sf_dir):
 
 @query("page_links", f"WITH {PG}, {LK} SELECT page_id, site, url, ord, href, target, anchor_text FROM lk")
 def page_links(spark, sf_dir):
-    return sources.links(sources.read_pages(spark, sf_dir))
+    return sources.links(sources.read_pages(spark, sf_dir), sources.MOST_LINKS)
 
 
 @query(
