@@ -156,3 +156,22 @@ def test_late_links_count_for_the_site(spark, tmp_path):
     assert QUERIES["unlinked_pages"](spark, str(tmp_path)).count() == 0
     assert QUERIES["sitemap_orphans"](spark, str(tmp_path)).first()["evidence"].startswith("0 of 3")
     assert QUERIES["page_links"](spark, str(tmp_path)).count() == 401
+
+
+def test_budgets_hold_no_site_in_one_row(spark):
+    from weftline.operators.excerpts import within_budgets
+
+    sizes = [(page, place, (page * 7 + place * 13) % 40 + 1) for page in range(60) for place in range(5)]
+    p = spark.createDataFrame([("s", page, place, "x" * n) for page, place, n in sizes], "site string, page_id long, ord int, text string").repartition(3)
+    expected = []
+    for consumer, most in (("a", 500), ("b", 90)):
+        used, ended = 0, None
+        for page, place, n in sizes:
+            if ended != page and used + n <= most:
+                used += n
+                expected.append(("s", page, place, n, consumer))
+            elif ended != page:
+                ended = page
+    rows = within_budgets(p, (("a", 500), ("b", 90)))
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(expected)
+    assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,26 +18,44 @@ EXCERPT, FIRST_WINDOW, PASSAGE = 1_500, 600, 600
 _END = re.compile(r"[.!?][\"'”’)]?(?=\s|$)")
 
 
+def within_budgets(excerpts: DataFrame, budgets: tuple[tuple[str, int], ...]) -> DataFrame:
+    """(site, page_id, ord, chars, consumer) of excerpts (site, page_id, ord, text) that each consumer gets: in order of
+    page and place, as long as the budget of the site holds; a page ends at its first excerpt that does not fit, and a
+    later page may still fit a smaller one.
+
+    Pages are first cut to what fits the largest budget alone; then sorted rows stream by, with two numbers of state for
+    each consumer."""
+    chars = F.least(F.length("text"), F.lit(EXCERPT)).cast("long")
+    rows = excerpts.select("site", F.col("page_id").cast("long").alias("page_id"), F.col("ord").cast("long").alias("ord"), chars.alias("chars"))
+    so_far = Window.partitionBy("site", "page_id").orderBy("ord", "chars").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum("chars").over(so_far)).filter(F.col("sum") <= max(n for _, n in budgets)).drop("sum")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: object = run  # no site yet
+        used: list[int] = []
+        ended: list[int | None] = []
+        for pdf in batches:
+            out = []
+            for site, page, place, size in zip(pdf["site"], pdf["page_id"], pdf["ord"], pdf["chars"]):
+                if site != at:
+                    at, used, ended = site, [0] * len(budgets), [None] * len(budgets)
+                for i, (consumer, most) in enumerate(budgets):
+                    if ended[i] == page:
+                        continue
+                    if used[i] + size <= most:
+                        used[i] += size
+                        out.append((site, page, place, size, consumer))
+                    else:
+                        ended[i] = page
+            yield pd.DataFrame(out, columns=["site", "page_id", "ord", "chars", "consumer"])
+
+    rows = rows.repartition("site").sortWithinPartitions("site", "page_id", "ord", "chars")
+    return rows.mapInPandas(run, "site string, page_id long, ord long, chars long, consumer string")
+
+
 def within_budget(excerpts: DataFrame, budget: int) -> DataFrame:
-    """(site, page_id, ord, chars) of excerpts (site, page_id, ord, text) that a consumer gets: in order of page and
-    place, as long as the budget of the site holds; a page ends at its first excerpt that does not fit, and a later
-    page may still fit a smaller one. A fold over a site's excerpts, of which there are a few for each page."""
-
-    def step(acc: Column, x: Column) -> Column:
-        ended = acc["ended"].eqNullSafe(x["page_id"])
-        fits = ~ended & (acc["used"] + x["chars"] <= budget)
-        return F.struct(
-            F.when(fits, acc["used"] + x["chars"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, acc["ended"]).otherwise(x["page_id"]).alias("ended"),
-            F.when(fits, F.concat(acc["taken"], F.array(x))).otherwise(acc["taken"]).alias("taken"),
-        )
-
-    rows = excerpts.select("site", F.struct("page_id", "ord", F.least(F.length("text"), F.lit(EXCERPT)).cast("long").alias("chars")).alias("x"))
-    listed = rows.groupBy("site").agg(F.array_sort(F.collect_list("x")).alias("all"))
-    item = "struct<page_id:bigint,ord:bigint,chars:bigint>"
-    start = F.expr(f"named_struct('used', 0L, 'ended', cast(null as bigint), 'taken', cast(array() as array<{item}>))")
-    listed = listed.withColumn("all", F.col("all").cast(f"array<{item}>"))
-    return listed.select("site", F.explode(F.aggregate("all", start, step)["taken"]).alias("x")).select("site", "x.*")
+    """(site, page_id, ord, chars) of within_budgets() for one consumer."""
+    return within_budgets(excerpts, (("", budget),)).drop("consumer")
 
 
 def sentence_around(text: str | None, anchor: str | None, most: int = PASSAGE) -> str | None:

@@ -93,11 +93,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """What each consumer gets of each site's blocks."""
     b = sources.blocks(sources.read_pages(spark, sf_dir)).withColumnRenamed("line", "text")
-    out = None
-    for name, budget in excerpts.BUDGETS:
-        rows = excerpts.within_budget(b, budget).withColumn("consumer", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return excerpts.within_budgets(b, excerpts.BUDGETS)
 
 
 @query("shared_prefixes", f"""WITH {PG}, {BL}, t AS (SELECT site, page_id, string_agg(line, chr(10) ORDER BY ord) AS text FROM bl GROUP BY ALL), s AS (SELECT site, page_id, text, unnest(generate_series(50, greatest(50, length(text) // 50 * 50), 50)) AS len FROM t WHERE length(text) >= 50),
