@@ -175,3 +175,10 @@ def test_budgets_hold_no_site_in_one_row(spark):
     rows = within_budgets(p, (("a", 500), ("b", 90)))
     assert sorted(tuple(r) for r in rows.collect()) == sorted(expected)
     assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_name_tokens_of_whole_texts(spark, tmp_path):
+    text = "the " * 30 + "Orion Paint Works"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.name_tokens for r in QUERIES["document_name_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {1: "orion paint works", 2: None}

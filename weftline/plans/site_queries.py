@@ -396,6 +396,12 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(folded).alias("folded_md5"), texts.shorten(folded).alias("short"), texts.word_count(t).alias("words"), F.array_join(texts.name_tokens(F.substring(t, 1, 60)), " ").alias("name_tokens"), texts.fact_like(t).alias("fact_like"))
 
 
+@query("document_name_tokens", f"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ({_LEGAL})), ' ') AS name_tokens FROM documents""")
+def document_name_tokens(spark, sf_dir):
+    """Name tokens of whole texts; text_functions and its SQL hold those of the first 60 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(texts.name_tokens(F.col("text")), " ").alias("name_tokens"))
+
+
 @query("label_backfill", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def label_backfill(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
