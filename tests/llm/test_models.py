@@ -220,7 +220,7 @@ def test_join_equals_all_pairs(spark, seed):
     got = {r.doc_id: (r.n, r.component) for r in ngram_join.similar(docs).collect()}
     assert got == expected
     if seed == 1:
-        assert sorted(r.doc_id for r in ngram_join.keep_one(docs.drop("node")).collect()) == sorted(k for k in expected if expected[k][1] == k)
+        assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == sorted(k for k in expected if expected[k][1] == k)
 
 
 def test_join_query_on_real_rows(spark):
@@ -244,17 +244,43 @@ def test_prefixes_keep_the_promise():
         n = int(rng.integers(1, 60))
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)]))
-        known = np.unique(np.concatenate([x[rng.random(len(x)) < 0.5], y[:1]]))
-        counts = rng.integers(2, 500, len(known))
+        counts = {t: int(c) for t, c in zip(x.tolist(), rng.integers(2, 500, len(x)))}  # of the shingles that others have
         if ngram_join.links(x, y):
-            frequent = ngram_join.Frequent(known, counts)
-            (px, mx, _), (py, my, _) = ngram_join.prefix(x, frequent), ngram_join.prefix(y, frequent)
-            assert len(np.intersect1d(px, py)) >= min(mx, my)
+            heads = []
+            for s in (x, y):
+                own = sorted((counts[t], t) for t in s.tolist() if t in counts)
+                assert len(own) >= ngram_join.least_overlap(len(s))
+                m, length = ngram_join.matches(len(s), np.array([c for c, _ in own]))
+                heads.append(({t for _, t in own[:length]}, m, len(s) - len(own), own))
+            (px, mx, ux, ox), (py, my, uy, oy) = heads
+            assert len(px & py) >= min(mx, my)
             room = len(x) + len(y) - 2 * -(-80 * (len(x) + len(y)) // 180)
-            apart = sum(((a ^ b) % (1 << 64)).bit_count() for a, b in zip(ngram_join.parity(x), ngram_join.parity(y)))
+            parities = [ngram_join.parity(np.array([t for _, t in o], np.uint64)) for o in (ox, oy)]
+            apart = ux + uy + sum(((int(a) ^ int(b)) % (1 << 64)).bit_count() for a, b in zip(*parities))
             assert apart <= len(x) + len(y) - 2 * len(np.intersect1d(x, y)) <= room
 
 
+def test_sets_with_frequent_shingles_ask_for_several_matches():
+    assert ngram_join.matches(100, np.full(90, 50))[0] > 1
+
+
+def test_hot_shingles_go_around_the_buckets(spark, monkeypatch):
+    rows = planted(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = plain_components(rows)
+    for hot, flush in ((2, 1 << 21), (1024, 300)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "FLUSH", flush)
+        assert {r.doc_id: (r.n, r.component) for r in ngram_join.similar(docs).collect()} == expected
+
+
+def test_one_row_of_each_group_stays_whatever_the_columns(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "KEEPME", 1, "a"), (2, text, "GO", 2, "b"), (3, "other", "x", 3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, h1 int, row string")
+    assert sorted(tuple(r) for r in ngram_join.keep_one(docs).collect()) == [rows[0], rows[2]]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
