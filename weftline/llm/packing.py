@@ -2,7 +2,7 @@
 
 Documents are cut into pieces of at most SPACE tokens, and only the histogram of piece lengths goes to the driver: at
 most SPACE counts, whatever the number of documents. There, patterns of up to DEPTH length bins that fill a sequence
-are enumerated, their repeat counts are fitted to the histogram by non-negative least squares and rounded down, each
+are enumerated, their repeat counts are fitted to the histogram by non-negative least squares and rounded, each
 pattern is realized with exact lengths, and what is left is packed by best fit, decreasing. The plan is a table of
 slots; in Spark each piece gets a rank among those of its length and so its slot.
 """
@@ -12,17 +12,17 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import map_texts
 from .storage import materialize
 
 SPACE = 2048
@@ -38,14 +38,27 @@ GROUPS = 1 << 20  # groups that rows are numbered in, at most about
 _LOOSE = re.compile(r" (?:\s|\Z)")
 
 
+class _Places(dict):
+    """Places of words in a table; a word that is new gets the next place and is noted in `new`, after a prefix."""
+
+    def __init__(self, prefix: str, new: list[str], count: list[int]):
+        self.prefix, self.new, self.count = prefix, new, count
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = self.count[0]
+        self.count[0] += 1
+        self.new.append(self.prefix + word)
+        return place
+
+
 class Tokens:
-    """Packed ids (little-endian unsigned 32 bits) of texts, from a tokenizers file given as text.
+    """Ids of texts from a tokenizers file given as text. Marks such as <|endoftext|> in a text are ordinary text.
 
-    Pre-tokens begin at spaces, as in bpe.BytePairEncoder, so words go to the tokenizer once and then come from a cache
-    of bounded size. New words go to it many at a time, in one text: the tokens with a space in front begin a word.
-    Texts in which white space could join over a space go to it whole."""
+    Pre-tokens begin at spaces, so words go to the tokenizer once and then come from a table of bounded size. New words
+    go to it many at a time, in one text: the tokens with a space in front begin a word. Texts in which white space
+    could join over a space go to it whole."""
 
-    CACHED = 700_000
+    CACHED = 1_000_000
     TOGETHER = 2000
 
     def __init__(self, json: str):
@@ -58,38 +71,66 @@ class Tokens:
         space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         size = self.tokenizer.get_vocab_size()
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Puts words, each as after a space, into the cache."""
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        for at in range(0, len(plain), self.TOGETHER):
-            some = plain[at : at + self.TOGETHER]
-            packed = self._encode([" " + " ".join(some)])[0]
-            starts = np.flatnonzero(self.begins[np.frombuffer(packed, "<u4")]) * 4
-            if len(starts) != len(some):
-                self.cache.update(zip(some, self._encode([" " + w for w in some])))
-                continue
-            ends = [*starts[1:].tolist(), len(packed)]
-            self.cache.update((w, packed[i:j]) for w, i, j in zip(some, starts.tolist(), ends))
-        odd = [w for w in words if w not in self.cache]
-        self.cache.update(zip(odd, self._encode([" " + w for w in odd])))
-
-    def packed(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.cache) > self.CACHED:
-            self.cache.clear()
-        split = [None if _LOOSE.search(text) and self.joined.search(text) else text.split(" ") for text in texts]
-        cache = self.cache
-        self._learn(list({w for words in split if words for w in words[1:] if w not in cache}))
-        for text, words in zip(texts, split):
-            if words is None:
-                yield self._encode([text])[0]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.new, self.count = [], [0]
+        self.spaced, self.bare = _Places(" ", self.new, self.count), _Places("", self.new, self.count)
+        self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.uint32)  # of words by place; all their ids
+        self.starts = np.empty(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Adds the words noted as new to the table: first those that can share a text, then the others."""
+        words = self.new
+        plain = np.fromiter((len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() for w in words), bool, len(words))
+        order = np.argsort(~plain, kind="stable")
+        ordered = [words[i] for i in order.tolist()]
+        lengths, parts, shared = [], [], int(plain.sum())
+        for first in [*range(0, shared, self.TOGETHER), *range(shared, len(words), self.TOGETHER)]:
+            some = ordered[first : min(first + self.TOGETHER, shared if first < shared else len(words))]
+            if first < shared:
+                ids = self._encode(["".join(some)])[0]
+                begins = np.flatnonzero(self.begins[ids])
+                if len(begins) == len(some):
+                    lengths.append(np.diff(np.r_[begins, len(ids)]))
+                    parts.append(ids)
+                    continue
+            each = self._encode(some)
+            lengths.append(np.array([len(x) for x in each], np.int64))
+            parts += each
+        words.clear()
+        found = np.concatenate(lengths)
+        own = np.empty((2, len(found)), np.int64)
+        own[0, order], own[1, order] = np.cumsum(found) - found + len(self.ids), found
+        self.starts, self.lengths = np.concatenate([self.starts, own[0]]), np.concatenate([self.lengths, own[1]])
+        self.ids = np.concatenate([self.ids, *parts])
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if self.count[0] > self.CACHED:
+            self._clear()
+        places: list[int] = []
+        ends, whole = [], {}
+        spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
+        for i, text in enumerate(texts):
+            if _LOOSE.search(text) and self.joined.search(text):
+                whole[i] = self._encode([text])[0]
             else:
-                head = self._encode([words[0]]) if words[0] else ()
-                yield b"".join([*head, *map(cache.__getitem__, words[1:])])
+                words = text.split(" ")
+                places.append(bare(words[0]))
+                places += map(spaced, islice(words, 1, None))
+            ends.append(len(places))
+        if self.new:
+            self._learn()
+        at = np.array(places, np.int64)
+        lengths = self.lengths[at]
+        until = np.r_[0, np.cumsum(lengths)]
+        ids = self.ids[np.repeat(self.starts[at] - until[:-1], lengths) + np.arange(until[-1])]
+        parts = np.split(ids, until[ends[:-1]])
+        return [whole.get(i, part) for i, part in enumerate(parts)] if texts else []
 
 
 _TOKENS: dict[int, Tokens] = {}
@@ -101,28 +142,30 @@ def pieces(docs: DataFrame, json: str, space: int = SPACE, end: int = 0, key: st
     Only documents longer than space are cut; all pieces but the first then have space ids. Null texts count as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(json)
     version = zlib.crc32(json.encode())
-    kind = dict(docs.dtypes)[key]
     last = int(end).to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cutter():
         if version not in _TOKENS:
             _TOKENS.clear()
             _TOKENS[version] = Tokens(shared.value)
-        for pdf in batches:
-            rows = []
-            texts = [t if isinstance(t, str) else "" for t in pdf["t"]]
-            groups = (_TOKENS[version].packed(texts[at : at + 1000]) for at in range(0, len(texts), 1000))
-            for k, ids in zip(pdf["k"], chain.from_iterable(groups)):
-                ids += last
-                n = len(ids) // 4
-                start, cut = 0, (n - 1) % space + 1
-                for piece in range(-(-n // space)):
-                    rows.append((k, piece, start, cut - start, zlib.crc32(ids[4 * start : 4 * cut])))
-                    start, cut = cut, cut + space
-            yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
-
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return out.mapInPandas(run, f"k {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)
+        tokens = _TOKENS[version]
+
+        def cut_all(texts: list[str | None]) -> tuple[list, list[int]]:
+            rows, places = [], []
+            for first in range(0, len(texts), 1000):
+                for place, found in enumerate(tokens.of([t or "" for t in texts[first : first + 1000]]), first):
+                    ids = found.astype("<u4").tobytes() + last
+                    n = len(ids) // 4
+                    start, cut = 0, (n - 1) % space + 1
+                    for piece in range(-(-n // space)):
+                        rows.append((piece, start, cut - start, zlib.crc32(ids[4 * start : 4 * cut])))
+                        places.append(place)
+                        start, cut = cut, cut + space
+            return list(zip(*rows)) or [[], [], [], []], places
+
+        return cut_all
+
+    return map_texts(docs, text, {key: key}, "piece int, start long, length long, ids_crc32 long", cutter)
 
 
 # ---- the plan, from the histogram -----------------------------------------------------------------------------------
@@ -171,41 +214,44 @@ def bin_patterns(bins: int = BINS, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 
 class _Left:
-    """Counts of lengths that are still to be packed, with the lengths of each bin in order."""
+    """Counts of lengths that are still to be packed."""
 
-    def __init__(self, histogram: dict[int, int], width: float):
+    def __init__(self, histogram: dict[int, int]):
         self.counts = {n: c for n, c in histogram.items() if c > 0}
-        self.width = width
-        self.by_bin: dict[int, list[int]] = {}
-        for n in sorted(self.counts):
-            self.by_bin.setdefault(max(1, round(n / width)), []).append(n)
+        self.lengths = sorted(self.counts)
 
     def take(self, length: int, count: int) -> None:
         self.counts[length] -= count
         if not self.counts[length]:
             del self.counts[length]
-            self.by_bin[max(1, round(length / self.width))].remove(length)
-
-    def best(self, bin_: int, room: int, used: Counter) -> int:
-        """The longest length of a bin that fits into room and of which some are left beside those used; 0 if none."""
-        lengths = self.by_bin.get(bin_, [])
-        for i in range(bisect_left(lengths, room + 1) - 1, -1, -1):
-            if self.counts[lengths[i]] > used[lengths[i]]:
-                return lengths[i]
+            self.lengths.pop(bisect_left(self.lengths, length))
+
+    def longest(self, least: float, most: float, used: Counter) -> int:
+        """The longest length from least to most of which some are left beside those used; 0 if none."""
+        for i in range(bisect_right(self.lengths, most) - 1, -1, -1):
+            n = self.lengths[i]
+            if n < least:
+                return 0
+            if self.counts[n] > used[n]:
+                return n
         return 0
 
 
-def _realize(left: _Left, pattern: tuple[int, ...], repeats: int, space: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Exact patterns for a bin pattern: each bin gives its longest length that still fits, the last one the best fit."""
+def _realize(left: _Left, pattern: tuple[int, ...], repeats: int, space: int, width: float) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Exact patterns for a bin pattern: each bin gives its longest length that fits, the last place what fits best
+    from two bins around. Where a bin has run out, its place stays open for best fit; a pattern without its first
+    length is given up."""
     while repeats > 0:
         used: Counter = Counter()
         room = space
-        for bin_ in pattern:
-            n = left.best(bin_, room, used)
-            if not n:
+        for place, bin_ in enumerate(pattern):
+            final = place + 1 == len(pattern)
+            n = left.longest((bin_ - (2.5 if final else 0.5)) * width, room if final else min(room, (bin_ + 0.5) * width), used)
+            if not n and not place:
                 return
-            used[n] += 1
-            room -= n
+            if n:
+                used[n] += 1
+                room -= n
         times = min(repeats, *(left.counts[n] // m for n, m in used.items()))
         for n, m in used.items():
             left.take(n, m * times)
@@ -254,27 +300,35 @@ def _best_fit(groups: list[tuple[tuple[int, ...], int]], left: dict[int, int], s
     return [(tuple(p), c) for room in rooms for p, c in open_[room]]
 
 
+def pattern_groups(histogram: dict[int, int], space: int = SPACE) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Groups (lengths, number of such sequences) by patterns with fitted and rounded repeat counts, and the histogram
+    of what is left. A count that was rounded up takes what there is."""
+    width = space / BINS
+    left = _Left(histogram)
+    bin_of = {n: min(BINS, max(1, round(n / width))) for n in left.counts}
+    some = set(bin_of.values())
+    patterns = [p for p in bin_patterns() if some.issuperset(p)]
+    groups: list[tuple[tuple[int, ...], int]] = []
+    if patterns:
+        a = np.zeros((BINS, len(patterns)))
+        for j, p in enumerate(patterns):
+            for b in p:
+                a[b - 1, j] += 1
+        b = np.zeros(BINS)
+        for n, c in left.counts.items():
+            b[bin_of[n] - 1] += c
+        weight = np.arange(1, BINS + 1) / BINS  # what stays of long pieces costs more
+        repeats = np.rint(nnls(a * weight[:, None], b * weight)).astype(int)
+        for j in sorted(np.flatnonzero(repeats), key=lambda j: (-patterns[j][0], len(patterns[j]))):
+            groups += _realize(left, patterns[j], int(repeats[j]), space, width)
+    return groups, left.counts
+
+
 def plan(histogram: dict[int, int], space: int = SPACE) -> list[tuple[tuple[int, ...], int]]:
     """Groups (lengths of a sequence's pieces, number of such sequences) that pack the whole histogram."""
     full = [((space,), histogram[space])] if histogram.get(space) else []
-    width = space / BINS
-    left = _Left({n: c for n, c in histogram.items() if n != space}, width)
-    groups: list[tuple[tuple[int, ...], int]] = []
-    if left.counts:
-        patterns = [p for p in bin_patterns() if all(b in left.by_bin for b in p)]
-        if patterns:
-            a = np.zeros((BINS, len(patterns)))
-            for j, p in enumerate(patterns):
-                for b in p:
-                    a[b - 1, j] += 1
-            b = np.zeros(BINS)
-            for n, c in left.counts.items():
-                b[min(BINS, max(1, round(n / width))) - 1] += c
-            weight = np.arange(1, BINS + 1) / BINS  # what stays of long pieces costs more
-            repeats = np.floor(nnls(a * weight[:, None], b * weight) + 1e-9).astype(int)
-            for j in sorted(np.flatnonzero(repeats), key=lambda j: (-patterns[j][0], len(patterns[j]))):
-                groups += _realize(left, patterns[j], int(repeats[j]), space)
-    return full + _best_fit(groups, left.counts, space)
+    groups, left = pattern_groups({n: c for n, c in histogram.items() if n != space}, space)
+    return full + _best_fit(groups, left, space)
 
 
 def slots(groups: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -298,27 +352,30 @@ def pack(rows: DataFrame, *order: str, space: int = SPACE) -> DataFrame:
     """rows with sequence_id and offset. rows: a column length from 1 to space; order: columns that name a row.
 
     Ranks among rows of one length come from groups of about GROUP rows (by a hash of the row's name), so that a length
-    that many rows share is numbered by many tasks. No rows give no rows."""
+    that many rows share is numbered by many tasks. Rows keep all their columns, whatever the names. No rows give no
+    rows."""
     spark = rows.sparkSession
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most `space` rows
     table = spark.createDataFrame(slots(plan(histogram, space)), "l long, first long, until long, sequence long, place long, times long")
     most = max(GROUP, sum(histogram.values()) // GROUPS)
     groups = spark.createDataFrame([(n, -(-c // most)) for n, c in histogram.items()], "l long, n_groups long")
-    spread = rows.join(F.broadcast(groups), F.col("length") == F.col("l")).drop("l")
-    spread = spread.withColumn("grp", F.pmod(F.xxhash64(*order), F.col("n_groups"))).drop("n_groups")
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col("length"))
+    names = [F.col(f"row.`{c}`") for c in order]
+    spread = held.join(F.broadcast(groups), F.col("length") == F.col("l")).drop("l")
+    spread = spread.withColumn("grp", F.pmod(F.xxhash64(*names), F.col("n_groups"))).drop("n_groups")
     sizes = spread.groupBy(F.col("length").alias("sl"), F.col("grp").alias("sg")).agg(F.count(F.lit(1)).alias("size"))
     before = Window.partitionBy("sl").orderBy("sg").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("sl", "sg", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "grp").orderBy(*order)
+    own = Window.partitionBy("length", "grp").orderBy(*names)
     ranked = spread.withColumn("nth", F.row_number().over(own) - 1)
     ranked = ranked.join(sizes, (F.col("length") == F.col("sl")) & (F.col("grp") == F.col("sg")))
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth")).drop("sl", "sg", "before", "nth", "grp")
+    ranked = ranked.select("row", "length", (F.col("before") + F.col("nth")).alias("rank"))
     # The slots follow from the lengths alone: their number is bounded by `space`, not by the rows.
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("until")))
     turn = F.col("rank") - F.col("first")
-    placed = placed.withColumn("sequence_id", F.col("sequence") + F.floor(turn / F.col("times")))
-    placed = placed.withColumn("offset", F.col("place") + turn % F.col("times") * F.col("length"))
-    return placed.select(*rows.columns, "sequence_id", "offset")
+    sequence = F.col("sequence") + F.floor(turn / F.col("times"))
+    offset = F.col("place") + turn % F.col("times") * F.col("length")
+    return placed.select("row.*", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, json: str, space: int = SPACE, key: str = "doc_id", text: str = "text") -> DataFrame:
