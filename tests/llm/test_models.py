@@ -161,6 +161,24 @@ def test_plan_covers_the_histogram():
             assert sum(c for _, c in groups) <= 1.01 * sum(k * v for k, v in histogram.items()) / 2048 + 1
 
 
+def test_patterns_place_most_pieces():
+    rng = random.Random(17)
+    for scale in (1, 50):
+        histogram = collections.Counter(min(2047, 1 + int(rng.gammavariate(2, 450))) for _ in range(8000))
+        histogram = {n: c * scale for n, c in histogram.items()}
+        groups, left = packing.pattern_groups(histogram)
+        placed = sum(len(pattern) * count for pattern, count in groups)
+        assert placed + sum(left.values()) == sum(histogram.values()) and placed >= 0.8 * sum(histogram.values())
+        least = -(-sum(n * c for n, c in histogram.items()) // 2048)
+        assert sum(count for _, count in packing.plan(histogram)) <= 1.004 * least + 1
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(1, 5, 2048, 0), (2, 6, 7, 1), (3, 7, 9, 1), (4, 8, 9, 1)]
+    got = packing.pack(spark.createDataFrame(rows, "l long, grp long, length long, first long"), "grp").collect()
+    assert sorted(tuple(r)[:4] for r in got) == rows and {(r.sequence_id, r.offset) for r in got} == {(0, 0), (1, 0), (1, 9), (1, 18)}
+
+
 def test_nnls_equals_least_squares_where_that_is_positive():
     rng = np.random.default_rng(8)
     a, x = rng.random((20, 6)), rng.random(6)

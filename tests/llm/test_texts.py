@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
+from html.parser import HTMLParser
 
 import public_tokenizers
 import tiktoken
 from pyspark.sql import Row
 
-from weftline.llm import bpe, fingerprint, html_text, line_dedup, queries, secrets
+from weftline.llm import bpe, fingerprint, html_text, language_id, line_dedup, ngram_join, packing, queries, secrets
 
 from ..conftest import SF
 
@@ -66,6 +68,58 @@ def test_html_odd_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_of_broken_tags_takes_linear_time():
+    started = time.monotonic()
+    for part in ("<a x='b\" ", "<div ", "<div><span></p>", "<nav><article>x</article>", "<!", "<b>x</b>&amp "):
+        html_text.main_text(part * (500_000 // len(part)))
+    assert html_text.main_text("<a x='b\" " * 200_000) is not None and time.monotonic() - started < 15
+    assert html_text.main_text("<p>One <a title='it\">two</a></p><p>three</p>") == "One two\nthree"
+
+
+def plain_text(html):
+    """The articles of the tables' pages by the standard library's parser: text of the one article without parts that
+    are outside by tag."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.skip, self.lines, self.parts = 0, 0, [], []
+
+        def flush(self):
+            line = " ".join("".join(self.parts).split())
+            if line and self.inside and not self.skip:
+                self.lines.append(line)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCKS or tag == "br":
+                self.parts.append(" ") if tag == "br" else self.flush()
+            self.inside += tag == "article"
+            self.skip += tag in ("script", "style", "aside", "form", "nav", "footer")
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCKS:
+                self.flush()
+            self.inside -= tag == "article"
+            self.skip -= tag in ("script", "style", "aside", "form", "nav", "footer")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(html or "")
+    reader.close()
+    return "\n".join(reader.lines)
+
+
+def test_html_query_on_the_page_table(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = queries.op1_line_blocks(spark, SF).collect()
+    assert len(rows) == len(pages) and all(r.url == pages[r.page_id].url and r.n_chars == len(r.text) for r in rows)
+    assert sum(r.text == plain_text(pages[r.page_id].html) for r in rows) >= 0.9 * len(rows)
+
+
 # ---- BPE ------------------------------------------------------------------------------------------------------------
 
 RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -73,7 +127,7 @@ PEER = tiktoken.Encoding("peer", pat_str=public_tokenizers.PATTERN, mergeable_ra
 
 
 def test_bpe_equals_tiktoken_and_round_trips():
-    own = bpe.BytePairEncoder(RANKS, public_tokenizers.PATTERN)
+    own = bpe.BytePairEncoder(RANKS, public_tokenizers.PATTERN, spaces=True)
     rng = random.Random(1)
     letters = "ab e\n\t\r    \x1c\x1f\x85​é漢字🙂'sll123.,!-’Ωя́"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
@@ -85,7 +139,7 @@ def test_bpe_equals_tiktoken_and_round_trips():
 
 
 def test_bpe_cache_limits_change_nothing():
-    small = bpe.BytePairEncoder(RANKS, public_tokenizers.PATTERN)
+    small = bpe.BytePairEncoder(RANKS, public_tokenizers.PATTERN, spaces=True)
     small.CACHED, small.LONGEST_CACHED, small.TOGETHER = 3, 4, 8
     texts = ["the cat sat on the mat, the end", "another  text\n \nhere", "", "x"]
     for _ in range(3):
@@ -100,6 +154,32 @@ def test_rank_bitmap_pops_in_order():
     assert [bitmap.pop() for _ in ranks] == sorted(ranks) and bitmap.pop() == bpe.NONE
 
 
+def test_keys_stay_what_they_are(spark):
+    big = 2**53 + 1
+    rows = [(None, "one two three four five six"), (big, "one two three four five six"), (big + 1, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    keys = {None, big, big + 1}
+    assert {r.doc_id for r in html_text.extract(table, "doc_id", "text", ()).collect()} == keys
+    assert {r.doc_id for r in bpe.token_digests(table, RANKS, public_tokenizers.PATTERN).collect()} == keys
+    assert {r.doc_id for r in language_id.identify(table, language_id.fit([("one two", "en")])).collect()} == keys
+    assert {r.doc_id for r in ngram_join.similar(table).collect()} == keys
+    assert {r.component for r in ngram_join.similar(table).collect()} == {big, big + 1}
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        assert {r.doc_id for r in packing.pack_documents(table, file.read()).collect()} == keys
+
+
+def test_letters_only_are_words():
+    assert language_id.words_of("½ ² Ⅷ _ 12 हिन्दी été") == ["हिन्दी", "été"]
+
+
+def test_bpe_of_other_patterns_goes_through_the_pattern():
+    pattern = r"\w+ \w+|."
+    own = bpe.BytePairEncoder(RANKS, pattern)
+    peer = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    for text in ("the cat sat on the mat", " a b", ""):
+        assert own.encode(text) == peer.encode_ordinary(text)
+
+
 def test_bpe_rows(spark):
     rows = bpe.encode_documents(docs(spark, *ODD, extra=True), RANKS, public_tokenizers.PATTERN).collect()
     assert len(rows) == len(ODD)

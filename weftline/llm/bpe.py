@@ -11,14 +11,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .arrow import map_texts
+
 BITS = 6
 WORD = (1 << BITS) - 1
 SHIFT = 18  # ranks are below 2**SHIFT
@@ -57,6 +57,8 @@ class RankBitmap:
 class BytePairEncoder:
     """Encodes and decodes with ranks (token bytes to id); pattern splits a text into pre-tokens.
 
+    spaces: whether the pattern is of the kind that encode_packed() can split at spaces for.
+
     Pre-tokens that are not in the cache go through the queue together, as one long list with breaks between them: no
     pair spans a break, so each comes out as it would alone, and a rank's bucket serves all of them at once."""
 
@@ -64,7 +66,7 @@ class BytePairEncoder:
     LONGEST_CACHED = 40
     TOGETHER = 1 << 20  # bytes that go through the queue together, but for longer pre-tokens
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaces: bool = False):
         if ranks and max(ranks.values()) >= 1 << SHIFT:
             raise ValueError(f"ranks must be below {1 << SHIFT}")
         self.ranks = ranks
@@ -73,7 +75,7 @@ class BytePairEncoder:
             self.tokens[rank] = token
         self.bytes = [ranks.get(bytes([i]), NONE) for i in range(256)]
         self.pairs: dict[int, int] = {}  # two ids to the rank of their pair, as far as met
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.spaces = regex.compile(pattern), spaces
         # A space that has white space before it and none or an end after it can join a longer run.
         self.joined = regex.compile(r"\s (?!\S)")
         self.spaced: dict[str, bytes] = {}  # by a text without its leading space
@@ -173,8 +175,9 @@ class BytePairEncoder:
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers.
 
-        A pre-token never has a space inside, and where no space has white space on both sides a space begins one.
-        Such texts are split at spaces, so that frequent words come from the cache; others go through the pattern."""
+        With `spaces`, a pre-token of the pattern never has a space inside, and where no space has white space on both
+        sides a space begins one. Such texts are split at spaces, so that frequent words come from the cache; others go
+        through the pattern, as all texts do without it."""
         for cache in (self.spaced, self.bare):
             if len(cache) > self.CACHED:
                 cache.clear()
@@ -183,7 +186,7 @@ class BytePairEncoder:
         unknown: dict[str, list[str]] = {}
         pieces: set[str] = set()
         for text in texts:
-            if _LOOSE.search(text) and self.joined.search(text):
+            if not self.spaces or (_LOOSE.search(text) and self.joined.search(text)):
                 split.append((find(text), []))
             else:
                 head, *words = text.split(" ")
@@ -229,16 +232,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _ENCODERS: dict[str, BytePairEncoder] = {}
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", spaces: bool = False) -> DataFrame:
     """(key, ids array<int>, decoded binary) of every row of docs. Null texts count as empty; repeated rows stay.
 
     The vocabulary goes to the executors as one broadcast of a fixed size. There is no shuffle."""
-    return _per_text(docs, ranks, pattern, key, text, "ids array<int>, decoded binary", _whole)
+    return _per_text(docs, ranks, pattern, key, text, spaces, "ids array<int>, decoded binary", _whole)
 
 
-def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", spaces: bool = False) -> DataFrame:
     """encode_documents() with n_tokens, ids_sha256 and decoded_sha256 instead of ids and bytes."""
-    return _per_text(docs, ranks, pattern, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digest)
+    return _per_text(docs, ranks, pattern, key, text, spaces, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digest)
 
 
 def _whole(encoder: BytePairEncoder, packed: bytes) -> tuple:
@@ -251,21 +254,22 @@ def _digest(encoder: BytePairEncoder, packed: bytes) -> tuple:
     return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def _per_text(docs, ranks, pattern, key, text, columns, of) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
-    version = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
-    names = [c.split()[0] for c in columns.split(", ")]
-    kind = dict(docs.dtypes)[key]
+def _per_text(docs, ranks, pattern, key, text, spaces, columns, of) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, spaces))
+    version = hashlib.sha256(repr((sorted(ranks.items()), pattern, spaces)).encode()).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoding():
         if version not in _ENCODERS:  # a worker keeps its encoder, and the cache in it, for later tasks
             _ENCODERS.clear()
             _ENCODERS[version] = BytePairEncoder(*shared.value)
         encoder = _ENCODERS[version]
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                packed = encoder.encode_packed([t if isinstance(t, str) else "" for t in part["t"]])
-                yield pd.DataFrame([(k, *of(encoder, p)) for k, p in zip(part["k"], packed)], columns=[key, *names])
 
-    return docs.selectExpr(f"`{key}` as k", f"`{text}` as t").mapInPandas(run, f"`{key}` {kind}, {columns}")
+        def run(texts: list[str | None]) -> list:
+            rows = []
+            for at in range(0, len(texts), 1000):
+                rows += [of(encoder, p) for p in encoder.encode_packed([t or "" for t in texts[at : at + 1000]])]
+            return list(zip(*rows)) or [[]] * columns.count(",")
+
+        return run
+
+    return map_texts(docs, text, {key: key}, columns, encoding)

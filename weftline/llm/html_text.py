@@ -11,12 +11,13 @@ one of several that are small beside the text outside, such as teasers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable
 from html import unescape
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .arrow import map_texts
 
 WINDOW = 3
 SURGE = 0.2  # of the largest window sum: what a run of lines must reach
@@ -44,7 +45,11 @@ PARTS = frozenset("area block body bottom box container content entry form holde
 HEADS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Elements that their parent's end tag closes as well.
 OPTIONAL = frozenset("p li dd dt td th tr tbody thead tfoot option".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a declaration, or the beginning of a tag: (end tag, name).
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.S)
+#: The rest of a tag, in which quotes hide its end.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+DEPTH = 512  # open elements that a page can have, as in browsers; elements further in are not told apart
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\b(hidden)\b")
 _TOKENS = re.compile(r"[a-z0-9]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -78,6 +83,28 @@ def _outside(tag: str, attributes: str, in_mark: bool) -> bool:
     return False
 
 
+class _Tags:
+    """Finds tags in one pass: once quotes hide the end of a tag up to the end of the page, they hide no more."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.open = html, True, True
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, end tag, name, attributes) of the next tag from a place on; the name of a comment is empty."""
+        while m := _OPEN.search(self.html, at):
+            if not m[2]:
+                return m.start(), m.end(), False, "", ""
+            rest = _REST.match(self.html, m.end()) if self.quotes else None
+            if rest:
+                return m.start(), rest.end(), bool(m[1]), m[2].lower(), rest[1]
+            self.quotes = False
+            end = self.html.find(">", m.end()) if self.open else -1
+            if end >= 0:
+                return m.start(), end + 1, bool(m[1]), m[2].lower(), self.html[m.end() : end]
+            self.open, at = False, m.end()  # no tag ends any more: the rest is text, but for comments
+        return None
+
+
 class _Element:
     """An open element that matters; `closed` tells whether it had its end tag, or a parent's if that is enough."""
 
@@ -118,6 +145,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
         nonlocal outside, mark, over
         while len(stack) > to:
             e = stack.pop()
+            opened[e.tag] -= 1
             e.closed = closed and (len(stack) == to or e.tag in OPTIONAL)
             if not e.closed and e.tag not in OPTIONAL:  # which of the two was left open nobody can tell
                 for x in parents:
@@ -129,24 +157,26 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
                 outside += len(over)  # text after the mark is outside as before it
                 over = ()
 
-    n, find = len(html), _TAG.search
-    while m := find(html, at):
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    n, tags = len(html), _Tags(html)
+    opened: Counter = Counter()  # open elements by tag
+    while found := tags.next(at):
+        begin, end, closes, tag, attributes = found
+        text(html[at:begin])
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closes:
             if tag in BLOCKS:
                 end_line()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    pop(i, True)
-                    break
+            if opened[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag == tag:
+                        pop(i, True)
+                        break
             if tag == "a":
                 links = max(0, links - 1)
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not attributes.endswith("/"):
             closing = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
             at = closing.end() if closing else n
             continue
@@ -160,8 +190,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
         if tag == "a":
             links += 1
         elif tag not in VOID:
-            is_outside = _outside(tag, m[3], mark > 0)
-            if is_outside or tag in BLOCKS:
+            is_outside = _outside(tag, attributes, mark > 0)
+            if (is_outside or tag in BLOCKS) and len(stack) < DEPTH:
                 nth += 1
                 begins = tag in MARKS and not mark
                 if begins:
@@ -171,6 +201,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
                     parents += [e for e in over if e not in parents[-len(over) :]]
                     outside = 0
                 stack.append(_Element(tag, is_outside, begins, nth))
+                opened[tag] += 1
                 outside += is_outside
     text(html[at:])
     end_line()
@@ -226,14 +257,12 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep=("u
     """(key, *keep, text, n_chars) of every row of pages; n_chars counts code points.
 
     Null and empty pages give an empty text. Repeated rows stay; no rows give no rows. There is no shuffle."""
-    names = [key, *keep]
-    kinds = dict(pages.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [main_text(h if isinstance(h, str) else None) for h in pdf.pop("h")]
-            yield pdf.assign(text=texts, n_chars=[len(t) for t in texts])
+    def texts() -> Callable:
+        def run(htmls: list[str | None]) -> list[list]:
+            found = [main_text(h) for h in htmls]
+            return [found, [len(t) for t in found]]
+
+        return run
 
-    rows = pages.select(F.col(html).alias("h"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names)) + ", text string, n_chars long"
-    return rows.mapInPandas(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "text", "n_chars")
+    return map_texts(pages, html, {key: key, **{c: c for c in keep}}, "text string, n_chars long", texts)

@@ -8,7 +8,6 @@ labels every word; runs of one label are spans.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -17,10 +16,12 @@ from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_texts
+
 BUCKETS = 1 << 16
 SWITCH = 12.0  # log units that a change of language costs
 MOST_ROWS = 4000  # labelled rows that a model is fitted on, about as many of each language
@@ -32,11 +33,11 @@ SCRIPTS = (
     ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF),
     ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters with their marks, in lower case."""
     return _WORD.findall(text.lower()) if text else []
 
 
@@ -256,30 +257,26 @@ def training_rows(docs: DataFrame, include: Column, most: int = MOST_ROWS, key:
 
 
 _LABELLERS: dict[str, Labeller] = {}
-_SCHEMA_ONE = "lang_pred string, score double"
 
 
-def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", with_spans: bool = False) -> DataFrame:
-    """(key, lang_pred, score) of every row of docs, and with with_spans the spans of its languages.
+def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", with_spans: bool = False, keep=()) -> DataFrame:
+    """(key, *keep, lang_pred, score) of every row of docs, and with with_spans the spans of its languages.
 
     A text that is null or has no letter is `und` with score 0. Repeated rows stay; no rows give no rows. The model has
     a fixed number of buckets for each language and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     version = uuid.uuid4().hex
-    kind = dict(docs.dtypes)[key]
-    schema = f"k {kind}, {_SCHEMA_ONE}" + (", spans array<struct<start:int,end:int,lang:string>>" if with_spans else "")
+    schema = "lang_pred string, score double" + (", spans array<struct<start:int,end:int,lang:string>>" if with_spans else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def labelling():
         if version not in _LABELLERS:  # a worker keeps its labeller, and the cache in it, for later tasks
             _LABELLERS.clear()
             _LABELLERS[version] = Labeller(shared.value)
         labeller = _LABELLERS[version]
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["t"]]
-            langs, shares = summarize(labeller, texts)
-            out = {"k": pdf["k"], "lang_pred": langs, "score": shares}
-            if with_spans:
-                out["spans"] = [spans(labeller, t) for t in texts]
-            yield pd.DataFrame(out)
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema).withColumnRenamed("k", key)
+
+        def run(texts: list[str | None]) -> list:
+            return [*summarize(labeller, texts), *([[spans(labeller, t) for t in texts]] if with_spans else [])]
+
+        return run
+
+    return map_texts(docs, text, {key: key, **{c: c for c in keep}}, schema, labelling)

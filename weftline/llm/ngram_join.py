@@ -331,19 +331,19 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (a, b, least), one for each shingle that both prefixes have, with as many rows as
-    least says, that are not tested yet."""
-    pairs = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "token", "least").distinct()
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least")).filter("shared >= least").select("a", "b")
+    """Pairs (a, b), a < b, of rows (a, b, least), at most one for each shingle that both prefixes have, with as many rows
+    as least says, that are not tested yet. The count combines before the shuffle."""
+    pairs = rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least")).filter("shared >= least").select("a", "b")
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _first_star(met: DataFrame) -> DataFrame:
-    """(a, b, token, least): pairs of each shingle's pivot with the others. The pivot is, of the sets with the fewest
+    """(a, b, least): pairs of each shingle's pivot with the others. The pivot is, of the sets with the fewest
     unique shingles, the one with the least id: the text that copies were made from rather than one of the copies."""
     first = met.groupBy("token").agg(F.min(F.struct("own", "node", "n", "m")).alias("p")).select(F.col("token").alias("tk"), "p")
     star = met.join(first, F.col("token") == F.col("tk")).filter((F.col("node") != F.col("p.node")) & (_room(F.col("n"), F.col("p.n")) >= F.col("own") + F.col("p.own")))
-    return star.select(F.col("p.node").alias("a"), F.col("node").alias("b"), "token", F.least("m", "p.m").alias("least"))
+    return star.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.least("m", "p.m").alias("least"))
 
 
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -354,14 +354,14 @@ def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _star(mixed: DataFrame) -> DataFrame:
-    """(a, b, token, least): pairs of another pivot of each shingle with the sets of other components."""
+    """(a, b, least): pairs of another pivot of each shingle with the sets of other components."""
     pivot = mixed.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("draw"), "node", "n", "m", "own", "comp")).alias("p")).select(F.col("token").alias("tk"), "p")
     star = mixed.join(pivot, F.col("token") == F.col("tk")).filter((F.col("comp") != F.col("p.comp")) & (_room(F.col("n"), F.col("p.n")) >= F.col("own") + F.col("p.own")))
-    return star.select(F.col("p.node").alias("a"), F.col("node").alias("b"), "token", F.least("m", "p.m").alias("least"))
+    return star.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.least("m", "p.m").alias("least"))
 
 
 def _all_pairs(mixed: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, token, least): all pairs of sets of different components that share shingles, as far as their sizes and
+    """(a, b, least): all pairs of sets of different components that share shingles, as far as their sizes and
     parities let them link; those conditions are part of the join, so other pairs never become rows."""
     words = [f"p{i}" for i in range(PARITY)]
     names = ["node", "n", "m", "own", "comp", *words]
@@ -371,7 +371,7 @@ def _all_pairs(mixed: DataFrame, held: DataFrame) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.col("own_a") + F.col("own_b"))
     condition = (F.col("token") == F.col("tk")) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
     pairs = one.join(two, condition & (apart <= _room(F.col("n_a"), F.col("n_b"))))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "token", F.least("m_a", "m_b").alias("least"))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.least("m_a", "m_b").alias("least"))
 
 
 def _linked(docs: DataFrame, text: str, sets: DataFrame, classes: int, shingled: int) -> DataFrame | None:

@@ -30,13 +30,12 @@ def op2_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_viterbi_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_crc_mod(3) == 1, F.lit(False)))
     model = language_id.fit(language_id.training_rows(docs, ~F.col("held_out")))
-    named = language_id.identify(docs.withColumn("row", F.struct("doc_id", "held_out")), model, key="row")
-    return named.select("row.doc_id", "row.held_out", "lang_pred", "score")
+    return language_id.identify(docs, model, keep=["held_out"])
 
 
 def op4_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.token_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, spaces=True)
 
 
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
