@@ -75,20 +75,35 @@ def test_toxicity_learns_and_generalizes():
         return " ".join(words)
 
     model = toxicity.fit([(text(i % 6 == 0), int(i % 6 == 0)) for i in range(600)])
-    hasher = toxicity.Hasher()
-    right = sum((toxicity.score_words(model, hasher, toxicity.words_of(text(y))) >= 0.5) == bool(y) for y in [0, 1] * 100)
+    held = [(text(y), y) for y in [0, 1] * 100]
+    right = sum((s >= 0.5) == bool(y) for s, (_, y) in zip(toxicity.Scorer(model)([t for t, _ in held]), held))
     assert right >= 185
 
 
-def test_long_texts_are_pooled_whole():
+def test_toxicity_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = {r.doc_id: r for r in queries.op6_word_cnn(spark, sf).collect()}
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for k, r in rows.items())
+    held = [(rows[k].predicted, y) for k, y in label.items() if k in rows and rows[k].held_out and y is not None]
+    assert sum(p for p, y in held if y) >= 0.88 * sum(y for _, y in held)
+    assert sum(p for p, y in held if not y) <= 0.02 * len(held)
+
+
+def test_languages_have_words_of_their_own():
+    rows = [("the cat", 0, "en"), ("the dog", 1, "en"), ("der hund", 0, "de"), ("der tag", 0, "de"), ("x", 0, None)]
+    own = toxicity.own_words(rows)
+    assert own["the"] == "en" and own["der"] == "de" and "x" not in own and toxicity.own_words(rows[:2]) == {}
+
+
+def test_long_texts_are_pooled_whole(monkeypatch):
     model = toxicity.fit([("bad " * 3, 1), ("good " * 3, 0)] * 20)
-    ids = np.arange(10_000, dtype=np.int32)
-    whole, _ = toxicity.pooled(model, ids)
-    toxicity.CHUNK, chunk = 777, toxicity.CHUNK
-    try:
-        assert np.allclose(whole, toxicity.pooled(model, ids)[0], atol=1e-5)
-    finally:
-        toxicity.CHUNK = chunk
+    texts = ["good " * 50_000 + "bad", "good", None, "", "bad", "good " * 3000]
+    whole = toxicity.Scorer(model)(texts)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    monkeypatch.setattr(toxicity.Scorer, "CACHED", 1)
+    assert np.allclose(whole, toxicity.Scorer(model)(texts), atol=1e-5) and whole[0] >= 0.5 > whole[1]
+    assert np.allclose(whole, [toxicity.Scorer(model)([t])[0] for t in texts], atol=1e-5)
 
 
 def test_toxicity_of_odd_tables(spark):

@@ -1,14 +1,18 @@
 """Toxicity by a convolutional text classifier in numpy.
 
-Words are hashed to rows of an embedding table; filters of several widths run over the words of the whole text, a
-maximum over places pools each, and a logistic layer gives a raw score. A second, fixed step guesses the text's
-language from its own function words, and the threshold found for that language on calibration rows maps to 0.5.
+Words are hashed to rows of an embedding table, whole and by their beginnings, so that forms of a word share weights; the
+mean of its rows is a word's embedding. Filters of several widths run over the words of the whole text, a maximum over
+places pools each, and a logistic layer gives a raw score. All weights start at random and are trained by mini-batches. A
+text's language is guessed by words that the training rows showed to be a language's own, and the threshold found for that
+language on calibration rows maps to 0.5.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -17,186 +21,212 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 6, 6, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 16, 8, (1, 2, 3)
+BEGINNINGS = (3, 4, 5, 6)  # lengths of a word's beginnings that are hashed beside the whole word
 MOST_ROWS = 12_000  # labelled rows that a model is fitted on: about a quarter of them of label 1
-CHUNK = 4096  # words that go through the filters at once
-EPOCHS, RATE = 6, 0.01
+BATCH, EPOCHS, RATE = 32, 3, 0.1
+AT_ONCE = 60_000  # words that go through the filters at once, but for longer texts
+MISSED = 2  # texts wrongly caught that weigh as much as one missed, for the thresholds
+OWN_WORDS = 40  # of a language, that tell it from others
+_GAP = max(WIDTHS) - 1
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: Frequent function words by language, for the guess of a text's language.
-FUNCTION_WORDS = {
-    "de": "der die das und ist nicht ein eine mit von zu den im auf für sich auch dem als",
-    "en": "the of and to in is that it for was on with as be by this are from at",
-    "es": "el los las que y en por con para una se su del al lo como más pero",
-    "fr": "le les et des est une du que dans qui pour pas sur au par ce il elle",
-}
 _OTHER = "other"
-_GUESS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def guess_language(words: list[str]) -> str:
-    """The language whose function words are most of the text's words, or "other"."""
-    counts = {lang: 0 for lang in _GUESS}
-    for w in words:
-        for lang, known in _GUESS.items():
-            if w in known:
-                counts[lang] += 1
-    top = max(counts, key=lambda lang: (counts[lang], lang))
-    return top if counts[top] else _OTHER
-
-
 @dataclass
 class Model:
-    """embedding: BUCKETS x DIM; filters[i]: (WIDTHS[i] * DIM) x FILTERS; bias[i]; out: weights and bias; thresholds
-    of the raw score by guessed language."""
+    """embedding: BUCKETS x DIM; filters[i]: (WIDTHS[i] * DIM) x FILTERS; bias[i]; out: weights and bias; own: words to
+    their language; thresholds of the raw score by guessed language."""
 
     embedding: np.ndarray
     filters: list[np.ndarray]
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: float
-    thresholds: dict[str, float]
+    own: dict[str, str] = field(default_factory=dict)
+    thresholds: dict[str, float] = field(default_factory=lambda: {_OTHER: 0.0})
 
 
-class Hasher:
-    """Words to buckets, with a cache of bounded size."""
-
-    CACHED = 300_000
+class Words(dict):
+    """Numbers of words, new ones in order, and the buckets of each."""
 
     def __init__(self):
-        self.cache: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.cache) > self.CACHED:
-            self.cache.clear()
-        cache, out = self.cache, []
-        for w in words:
-            at = cache.get(w)
-            if at is None:
-                at = cache[w] = crc32(w.encode()) % BUCKETS
-            out.append(at)
-        return np.array(out, np.int32)
-
-
-def pooled(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest response of each filter over all places of a text, and the places. Texts are padded to the widest filter."""
-    widest = max(WIDTHS)
-    best = np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32)
-    place = np.zeros(len(WIDTHS) * FILTERS, np.int64)
-    ids = np.concatenate([ids, np.full(widest - 1, -1, np.int32)]) if len(ids) else np.full(widest, -1, np.int32)
-    n = len(ids) - widest + 1
-    for start in range(0, n, CHUNK):
-        part = ids[start : min(n, start + CHUNK) + widest - 1]
-        rows = np.where(part[:, None] >= 0, model.embedding[np.maximum(part, 0)], np.float32(0))
-        for i, width in enumerate(WIDTHS):
-            views = np.concatenate([rows[k : len(part) - widest + 1 + k] for k in range(width)], axis=1)
-            response = views @ model.filters[i] + model.bias[i]
-            at = response.argmax(axis=0)
-            top = response[at, np.arange(FILTERS)]
-            where = slice(i * FILTERS, (i + 1) * FILTERS)
-            better = top > best[where]
-            place[where] = np.where(better, at + start, place[where])
-            best[where] = np.where(better, top, best[where])
-    return np.maximum(best, 0), place
-
-
-def raw_score(model: Model, ids: np.ndarray) -> float:
-    features, _ = pooled(model, ids)
-    return float(features @ model.out + model.out_bias)
-
-
-def _prior_embedding(rows: list[tuple[str, int]], hasher: "Hasher", rng: np.random.Generator) -> np.ndarray:
-    """Embeddings to start from. The first two dimensions say by how much a word's share of lines of label 1, or of
-    label 0, surely exceeds that label's share of all lines: the lower ends of Wilson intervals. The others are small
-    and random. A line that several documents of a label share counts once, so that copies don't add up."""
-    counts, seen, lines = np.zeros((2, BUCKETS)), set(), [0, 0]
-    for text, label in rows:
-        for line in text.split("\n"):
-            if (line, label) not in seen:
-                seen.add((line, label))
-                lines[label] += 1
-                counts[label, np.unique(hasher(words_of(line)))] += 1
-    n, z2 = counts.sum(axis=0), 2.7
-    table = rng.standard_normal((BUCKETS, DIM), dtype=np.float32) * np.float32(0.02)
-    for dim, label in ((0, 1), (1, 0)):
-        usual = lines[label] / max(1, sum(lines))
-        p = counts[label] / np.maximum(n, 1)
-        low = (p + z2 / 2 / np.maximum(n, 1) - np.sqrt(z2 * (p * (1 - p) + z2 / 4 / np.maximum(n, 1)) / np.maximum(n, 1))) / (1 + z2 / np.maximum(n, 1))
-        table[:, dim] = np.where(n > 0, 4 * np.maximum(low - usual, 0), 0)
-    return table.astype(np.float32)
-
-
-def fit(rows: list[tuple[str, int]], seed: int = 3) -> Model:
-    """Model from (text, label) pairs, dealt by hashes of the texts to three parts: three fifths give the embeddings
-    that training starts from, one fifth trains all weights, and one fifth calibrates the thresholds.
-
-    Training is by stochastic gradients with Adagrad; a maximum passes its gradient to the one place that it came from.
-    The first half of the filters of each width starts on the first dimension of the embeddings."""
+        self.buckets: list[list[int]] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.buckets)
+        whole = crc32(word.encode()) % BUCKETS
+        self.buckets.append([whole, *(crc32(f"^{word[:n]}".encode()) % BUCKETS for n in BEGINNINGS)])
+        return number
+
+
+def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of several texts one after another with gaps of -1 between, and where each begins and ends."""
+    sizes = np.array([max(1, len(t)) for t in texts])
+    starts = np.cumsum(sizes + _GAP) - sizes - _GAP
+    line = np.full(int(sizes.sum()) + _GAP * len(texts), -1, np.int64)
+    for text, start in zip(texts, starts.tolist()):
+        line[start : start + len(text)] = text
+    return line, starts, starts + sizes
+
+
+def pooled(model: Model, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter over all places of each text, and the places. rows: embeddings as laid out."""
+    best, place = [], []
+    for i, width in enumerate(WIDTHS):
+        views = np.concatenate([rows[k : len(rows) - width + 1 + k] for k in range(width)], axis=1)
+        response = views @ model.filters[i] + model.bias[i]
+        at = np.array([response[s:e].argmax(axis=0) + s for s, e in zip(starts.tolist(), ends.tolist())]).reshape(-1, FILTERS)
+        best.append(np.take_along_axis(response, at, 0))
+        place.append(at)
+    return np.maximum(np.concatenate(best, axis=1), 0), np.concatenate(place, axis=1)
+
+
+class Scorer:
+    """Raw scores and guessed languages of texts; keeps embeddings of words in a table of bounded size."""
+
+    CACHED = 400_000
+
+    def __init__(self, model: Model):
+        self.model, self.languages = model, sorted(set(model.own.values()))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.table, self.lang = Words(), np.empty((0, DIM), np.float32), np.empty(0, np.int64)
+
+    def _number(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.words) > self.CACHED:
+            self._clear()
+        found = [np.array([*map(self.words.__getitem__, words_of(t))], np.int64) for t in texts]
+        if len(self.words) > len(self.table):
+            new = np.array(self.words.buckets[len(self.table) :])
+            code = {lang: i for i, lang in enumerate(self.languages)}
+            langs = [code.get(self.model.own.get(w), -1) for w in islice(self.words, len(self.table), None)]
+            self.table = np.concatenate([self.table, self.model.embedding[new].mean(axis=1)])
+            self.lang = np.concatenate([self.lang, np.array(langs, np.int64)])
+        return found
+
+    def raw(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
+        """Raw scores of texts, and the languages whose own words are most of their words."""
+        scores, guesses = [], []
+        for first in range(0, len(texts), 500):
+            numbers = self._number(texts[first : first + 500])
+            group, held = [], 0
+            for i, one in enumerate(numbers):
+                group.append(one)
+                held += len(one)
+                if held >= AT_ONCE or i + 1 == len(numbers):
+                    line, starts, ends = _laid_out(group)
+                    rows = np.where(line[:, None] >= 0, self.table[line] if len(self.table) else np.float32(0), np.float32(0))
+                    scores.append(pooled(self.model, rows, starts, ends)[0] @ self.model.out + self.model.out_bias)
+                    group, held = [], 0
+            for one in numbers:
+                counts = np.bincount(self.lang[one] + 1, minlength=len(self.languages) + 1)[1:]
+                guesses.append(self.languages[int(counts.argmax())] if counts.any() else _OTHER)
+        return np.concatenate([np.empty(0), *scores]), guesses
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """Calibrated scores from 0 to 1: 0.5 at the threshold of the language that the words themselves suggest."""
+        raw, guesses = self.raw(texts)
+        limits = self.model.thresholds
+        return 1 / (1 + np.exp(-np.clip(raw - np.array([limits.get(g, limits[_OTHER]) for g in guesses]), -30, 30)))
+
+
+def own_words(rows: list[tuple]) -> dict[str, str]:
+    """Words to the language whose own they are: for each language, those in a larger share of its texts than of any
+    other language's texts, by the difference."""
+    texts, having = Counter(), {}
+    for text, _, *lang in rows:
+        if lang and lang[0] is not None:
+            texts[lang[0]] += 1
+            having.setdefault(lang[0], Counter()).update(set(words_of(text)))
+    out = {}
+    for lang, counts in having.items() if len(having) > 1 else ():
+        others = [other for other in having if other != lang]
+        rest = lambda w: max(having[o][w] / texts[o] for o in others)  # noqa: B023, E731
+        ahead = sorted(((n / texts[lang] - rest(w), w) for w, n in counts.most_common(20 * OWN_WORDS)), reverse=True)
+        out.update((w, lang) for share, w in ahead[:OWN_WORDS] if share > 0)
+    return out
+
+
+def fit(rows: list[tuple], seed: int = 3) -> Model:
+    """Model from (text, label) or (text, label, lang) rows. A fifth of them, by hashes of the texts, calibrates the
+    thresholds; the others train all weights, which start at random.
+
+    Mini-batches with Adagrad; both labels weigh the same in all; a maximum passes its gradient to the place that it came
+    from, and from there to all buckets of its words."""
     rng = np.random.default_rng(seed)
-    hasher, data = Hasher(), []
-    for text, label in rows:
-        words = words_of(text)
-        data.append((hasher(words), label, guess_language(words), crc32(text.encode()) % 5))
-    half = FILTERS // 2
-    filters = [(rng.standard_normal((w * DIM, FILTERS)) * 0.05).astype(np.float32) for w in WIDTHS]
-    for w, f in zip(WIDTHS, filters):
-        f[::DIM, :half] += 1 / w
-    model = Model(
-        _prior_embedding([row for row, d in zip(rows, data) if d[3] > 1], hasher, rng),
-        filters,
-        [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
-        np.tile(np.r_[np.full(half, 1 / half), np.zeros(FILTERS - half)], len(WIDTHS)).astype(np.float32),
-        -2.0,
-        {},
-    )
-    train = [d for d in data if d[3] == 1] or data
-    positive = sum(d[1] for d in train)
-    weight = {1: len(train) / max(1, 2 * positive), 0: len(train) / max(1, 2 * (len(train) - positive))}
-    sums = [np.full_like(model.embedding, 1e-3), [np.full_like(f, 1e-3) for f in model.filters], [np.full_like(b, 1e-3) for b in model.bias], np.full_like(model.out, 1e-3), 1e-3]
-    for epoch in range(EPOCHS if positive and positive < len(train) else 0):
-        rate = RATE / (1 + epoch / 2)
-        for at in rng.permutation(len(train)):
-            ids, label, _, _ = train[at]
-            features, place = pooled(model, ids)
-            error = (1 / (1 + np.exp(-np.clip(features @ model.out + model.out_bias, -30, 30))) - label) * weight[label]
-            down = error * model.out * (features > 0)
-            step = error * features
-            sums[3] += step**2
-            model.out -= (rate * step / np.sqrt(sums[3])).astype(np.float32)
-            sums[4] += error**2
-            model.out_bias -= float(rate * error / np.sqrt(sums[4]))
-            if abs(error) < 1e-3:
-                continue
-            for i, width in enumerate(WIDTHS):
-                for f in range(FILTERS):
-                    g = down[i * FILTERS + f]
-                    if g == 0:
-                        continue
-                    at_words = ids[place[i * FILTERS + f] : place[i * FILTERS + f] + width]
-                    if not len(at_words):
-                        continue
-                    x = np.zeros(width * DIM, np.float32)
-                    x[: len(at_words) * DIM] = model.embedding[at_words].ravel()
-                    back = (g * model.filters[i][: len(at_words) * DIM, f]).reshape(-1, DIM)
-                    gw = g * x
-                    sums[1][i][:, f] += gw**2
-                    model.filters[i][:, f] -= rate * gw / np.sqrt(sums[1][i][:, f])
-                    sums[2][i][f] += g * g
-                    model.bias[i][f] -= rate * g / np.sqrt(sums[2][i][f])
-                    for w, d in zip(at_words, back):
-                        sums[0][w] += d**2
-                        model.embedding[w] -= rate * d / np.sqrt(sums[0][w])
-    held = [d for d in data if d[3] == 0] or data
-    model.thresholds = _thresholds([(raw_score(model, ids), label, lang) for ids, label, lang, _ in held])
+    normal = lambda *shape: rng.standard_normal(shape, dtype=np.float32)
+    filters = [normal(w * DIM, FILTERS) / np.float32(np.sqrt(w * DIM)) for w in WIDTHS]
+    model = Model(normal(BUCKETS, DIM) * np.float32(0.1), filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], normal(len(WIDTHS) * FILTERS) * np.float32(0.3), -2.0)
+    model.own = own_words(rows)
+    part = [crc32((row[0] or "").encode()) % 5 for row in rows]
+    train = [row for row, n in zip(rows, part) if n] or rows
+    labels = np.array([row[1] for row in train], np.int64)
+    if len(set(labels.tolist())) == 2:
+        words = Words()
+        numbers = [np.array([*map(words.__getitem__, words_of(row[0]))], np.int64) for row in train]
+        _train(model, numbers, labels, np.array(words.buckets, np.int64).reshape(-1, 1 + len(BEGINNINGS)), rng)
+    held = [row for row, n in zip(rows, part) if not n] or rows
+    raw, guesses = Scorer(model).raw([row[0] for row in held])
+    model.thresholds = _thresholds([(float(s), int(row[1]), g) for s, row, g in zip(raw, held, guesses)])
     return model
 
 
+def _train(model: Model, texts: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, rng: np.random.Generator) -> None:
+    share = labels.mean()
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    seen = [np.full(x.shape, 1e-3, np.float32) for x in (*model.filters, *model.bias, model.out)]
+    seen_rows, seen_bias = np.full(BUCKETS, 1e-3, np.float32), 1e-3
+
+    def step(weights: np.ndarray, gradient: np.ndarray, squares: np.ndarray) -> None:
+        squares += gradient**2
+        weights -= RATE * gradient / np.sqrt(squares)
+
+    for _ in range(EPOCHS):
+        order = rng.permutation(len(texts))
+        for first in range(0, len(order), BATCH):
+            at = order[first : first + BATCH]
+            line, starts, ends = _laid_out([texts[i] for i in at])
+            rows = np.zeros((len(line), DIM), np.float32)
+            rows[line >= 0] = model.embedding[buckets[line[line >= 0]]].mean(axis=1)
+            features, place = pooled(model, rows, starts, ends)
+            raw = np.clip(features @ model.out + model.out_bias, -30, 30)
+            error = ((1 / (1 + np.exp(-raw)) - labels[at]) * weight[at]).astype(np.float32)
+            down = error[:, None] * model.out * (features > 0)
+            step(model.out, (error[:, None] * features).sum(axis=0), seen[-1])
+            seen_bias += float(error.sum()) ** 2
+            model.out_bias -= RATE * float(error.sum()) / np.sqrt(seen_bias)
+            words, steps = [], []
+            for i, width in enumerate(WIDTHS):
+                mine = slice(i * FILTERS, (i + 1) * FILTERS)
+                to, spot = down[:, mine], place[:, mine]
+                views = np.concatenate([rows[spot + k] for k in range(width)], axis=2)
+                back = to[:, :, None] * model.filters[i].T[None]
+                some = np.abs(to) > 1e-4
+                for k in range(width):
+                    words.append(line[spot[some] + k])
+                    steps.append(back[some][:, k * DIM : (k + 1) * DIM])
+                step(model.filters[i], np.einsum("bf,bfd->df", to, views), seen[i])
+                step(model.bias[i], to.sum(axis=0), seen[len(WIDTHS) + i])
+            word, gradient = np.concatenate(words), np.concatenate(steps)
+            word, gradient = word[word >= 0], gradient[word >= 0]
+            per = buckets.shape[1]
+            touched, back_to = np.unique(buckets[word].ravel(), return_inverse=True)
+            total = np.zeros((len(touched), DIM), np.float32)
+            np.add.at(total, back_to, np.repeat(gradient / per, per, axis=0))
+            seen_rows[touched] += (total**2).mean(axis=1)
+            model.embedding[touched] -= RATE * total / np.sqrt(seen_rows[touched])[:, None]
+
+
 def _thresholds(scored: list[tuple[float, int, str]]) -> dict[str, float]:
-    """For each guessed language the raw score that makes fewest errors on these rows, in the middle of the best
-    range; a language without both labels takes the threshold of all rows."""
+    """For each guessed language the raw score that makes fewest errors on these rows, of several the one nearest to 0,
+    where training has both labels balanced. A text missed counts MISSED times one wrongly caught. A language with few
+    rows of label 1 takes the threshold of all rows."""
 
     def best(rows: list[tuple[float, int]]) -> float | None:
         if len({label for _, label in rows}) < 2:
@@ -204,15 +234,15 @@ def _thresholds(scored: list[tuple[float, int, str]]) -> dict[str, float]:
         rows = sorted(rows)
         zeros = sum(1 - label for _, label in rows)
         below_ones, below_zeros, cost = 0, 0, []
+        below_zero = lambda at: sum(MISSED * y if s < at else 1 - y for s, y in rows)
         edges = [rows[0][0] - 1] + [(a[0] + b[0]) / 2 for a, b in zip(rows, rows[1:])] + [rows[-1][0] + 1]
         for i, edge in enumerate(edges):
-            cost.append((below_ones + zeros - below_zeros, edge))
+            cost.append((MISSED * below_ones + zeros - below_zeros, edge))
             if i < len(rows):
                 below_ones += rows[i][1]
                 below_zeros += 1 - rows[i][1]
         least = min(c for c, _ in cost)
-        among = [edge for c, edge in cost if c == least]
-        return (among[0] + among[-1]) / 2
+        return min((edge for c, edge in [*cost, (below_zero(0.0), 0.0)] if c == least), key=abs)
 
     overall = best([(s, y) for s, y, _ in scored])
     out = {_OTHER: 0.0 if overall is None else overall}
@@ -223,15 +253,10 @@ def _thresholds(scored: list[tuple[float, int, str]]) -> dict[str, float]:
     return out
 
 
-def score_words(model: Model, hasher: Hasher, words: list[str]) -> float:
-    """Calibrated score from 0 to 1: 0.5 at the threshold of the language that the words themselves suggest."""
-    raw = raw_score(model, hasher(words)) - model.thresholds.get(guess_language(words), model.thresholds[_OTHER])
-    return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, include: Column, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str, int]]:
-    """About `most` whole labelled texts, a quarter of them of label 1 where there are so many: those with the least
-    hashes of key. A key with several labels counts as 1 if any is. This is the bounded sample that a model is fitted on."""
+def training_rows(docs: DataFrame, labels: DataFrame, include: Column, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang") -> list[tuple]:
+    """About `most` whole labelled texts (text, label, lang), a quarter of them of label 1 where there are so many: those
+    with the least hashes of key. A key with several labels counts as 1 if any is; lang is null where docs has none.
+    This is the bounded sample that a model is fitted on; include is a condition on the key, named lk."""
     marked = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("lk")).agg(F.max(label).alias("label"))
     marked = marked.withColumn("h", F.pmod(F.xxhash64("lk"), F.lit(1_000_000))).filter(include)
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
@@ -241,9 +266,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, include: Column, most: int
     for one, n in counts.items():
         limit = F.when(F.col("label") == one, F.lit(min(1_000_000, -(-1_000_000 * (most // 4 * (1 if one else 3)) // n)))).otherwise(limit)
     chosen = marked.filter(F.col("h") < limit).select("lk", "label")  # bounded by `most`, so it can be broadcast
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    rows = rows.join(F.broadcast(chosen), F.col("k") == F.col("lk")).select("k", "t", "label").collect()
-    return [(r["t"], int(r["label"])) for r in sorted(rows, key=lambda r: (r["k"], r["t"]))]
+    spoken = F.col(lang) if lang in docs.columns else F.lit(None)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), spoken.cast("string").alias("l")).filter(F.col("t").isNotNull())
+    rows = rows.join(F.broadcast(chosen), F.col("k") == F.col("lk")).select("k", "t", "label", "l").collect()
+    return [(r["t"], int(r["label"]), r["l"]) for r in sorted(rows, key=lambda r: (r["k"], r["t"], r["l"] or ""))]
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -252,9 +278,9 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, hasher = shared.value, Hasher()
+        score_all = Scorer(shared.value)
         for texts in batches:
-            yield pd.Series([score_words(model, hasher, words_of(t)) for t in texts], dtype="float64")
+            yield pd.Series(score_all([t if isinstance(t, str) else None for t in texts]), dtype="float64")
 
     return run
 
