@@ -121,7 +121,8 @@ class Scorer:
                 held += len(one)
                 if held >= AT_ONCE or i + 1 == len(numbers):
                     line, starts, ends = _laid_out(group)
-                    rows = np.where(line[:, None] >= 0, self.table[line] if len(self.table) else np.float32(0), np.float32(0))
+                    rows = np.zeros((len(line), DIM), np.float32)
+                    rows[line >= 0] = self.table[line[line >= 0]]
                     scores.append(pooled(self.model, rows, starts, ends)[0] @ self.model.out + self.model.out_bias)
                     group, held = [], 0
             for one in numbers:
