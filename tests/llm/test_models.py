@@ -342,15 +342,37 @@ def test_recall_and_ties(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(10)
-    vectors, queries_ = rng.normal(size=(400, 64)), rng.normal(size=(20, 64))
-    turn = ann.rotation(64)
-    estimate, half = ann.bounds(queries_, *ann.encode(vectors, turn), turn)
-    assert (np.abs(estimate - queries_ @ vectors.T) <= half).mean() > 0.99
+    for dim in (64, 50):
+        vectors, queries_ = rng.normal(size=(400, dim)), rng.normal(size=(20, dim))
+        turn = ann.rotation(dim)
+        estimate, half = ann.bounds(queries_, *ann.encode(vectors, turn), turn)
+        exact = queries_ @ vectors.T
+        assert (np.abs(estimate - exact) <= half).mean() > 0.93 and abs((estimate - exact).mean()) < 0.1
+
+
+def test_codes_leave_few_vectors_to_rerank(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = F.col("id") % 20 == 0
+    rows, asking, codes = ann._parts(table, asked, "vec_id", "embedding")
+    kept = ann.kept_candidates(rows, asking, codes, asked, 20, ann.EPSILON)
+    pairs = sum(len(r.places) // 2 for r in kept.select("places").collect())
+    vectors = {r.vec_id: np.array(r.embedding, "float64") for r in table.collect()}
+    ids = np.array(sorted(vectors))
+    matrix = np.array([vectors[i] for i in ids.tolist()])
+    got = collections.defaultdict(set)
+    for r in ann.nearest(table, asked).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in ids[ids % 20 == 0].tolist():
+        score = np.where(ids == q, -np.inf, matrix @ vectors[q])
+        hits += len(got[q] & set(ids[np.argsort(-score)[:20]].tolist()))
+        total += 20
+    assert pairs <= 0.2 * total / 20 * len(ids) and hits >= 0.99 * total
 
 
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (20, [1.0, 1.0], 1), (7, [1.0, 1.0], 1), (8, [], 1), (None, [1.0, 1.0], 1)]
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (20, [1.0, 1.0], 1), (7, [1.0, 1.0], 1), (8, [], 1), (9, [-1.0, 0.0], 1), (9, [-1.0, 0.0], 1), (None, [1.0, 1.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = [tuple(r) for r in ann.nearest(table, F.col("id") % 20 == 0, 2).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 7, 1.0), (20, 1, 1, 2.0), (20, 2, 7, 2.0)]
