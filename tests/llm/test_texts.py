@@ -282,8 +282,23 @@ def test_runs_are_compacted_and_find_seen_lines(spark):
     batches = [docs(spark, "a\nb\nb"), docs(spark, "b\nc"), docs(spark, "c\nd\n"), docs(spark, "a\nd\ne")]
     fresh = [sorted(r["at"] for r in line_dedup.new_lines(b, runs).collect()) for b in batches]
     assert fresh == [[0, 1, 2], [1], [1], [2]]
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
+    assert [len(level) for level in runs.levels] == [2, 1]
     assert sorted(r.docs for r in runs.counts().collect()) == [1, 2, 2, 2, 2]
+    few = line_dedup.LineRuns(spark, least=3, fanout=2)
+    for n in range(7):  # a key in all batches is counted until it is frequent, then anti-joined away
+        few.add(line_dedup.line_table(docs(spark, "always\nonce %d" % n, "x %d" % (n % 3)), "doc_id", "text").select("h1", "h2"))
+    assert sorted(r.docs for r in few.counts().collect())[-2:] == [3, 3] and few.frequent().count() == 2
+    held = few._runs()[0]
+    plan = few.unseen(line_dedup.line_table(docs(spark, "a"), "doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and held.count() > 0
+
+
+def test_frequent_keys_in_any_number(spark, monkeypatch):
+    texts = ["common\nrare %d\nCommon" % i for i in range(12)]
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    table = docs(spark, *texts).selectExpr("doc_id", "text", "doc_id as k", "'z' as kept", "'y' as drop")
+    got = sorted(tuple(r) for r in line_dedup.drop_frequent_lines(table, keep=("k", "kept", "drop")).collect())
+    assert got == [(i, i, "z", "y", "rare %d" % i, 3, 2) for i in range(12)]
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
