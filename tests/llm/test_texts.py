@@ -239,6 +239,20 @@ def test_redaction(spark, tmp_path):
     assert got == {0: "a [secret] b", 1: None, 2: "clean"}
 
 
+def test_redaction_keeps_columns_of_any_name(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "token=abcdefgh", "a", "b", "c")], "doc_id long, text string, _blob string, starts string, blob string")
+    assert [tuple(r) for r in secrets.redact(rows, str(tmp_path / "l")).collect()] == [(1, "[secret]", "a", "b", "c")]
+    assert secrets.redact(rows.limit(0), str(tmp_path / "m")).count() == 0
+
+
+def test_a_blob_that_is_twice_in_the_ledger_counts_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    table = docs(spark, SECRETS[0])
+    for _ in range(2):
+        secrets.scan_unseen(table, spark.createDataFrame([], secrets.LEDGER)).write.mode("append").parquet(path)
+    assert secrets.scan_secrets(table, path).count() == 1
+
+
 def test_secret_query(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op7_secret_ledger(spark, SF).collect():

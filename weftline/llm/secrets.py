@@ -93,9 +93,15 @@ def scan_secrets(docs: DataFrame, ledger_path: str, rules=RULES, key: str = "doc
     Null and empty texts have no spans. Repeated rows stay. An empty table gives no rows."""
     spark = docs.sparkSession
     scan_unseen(docs, open_ledger(spark, ledger_path), rules, key, text).write.mode("append").parquet(ledger_path)
-    ledger = spark.read.schema(LEDGER).parquet(ledger_path).filter(F.col("rule_version") == rule_version(rules))
     paths = docs.select(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    return paths.join(ledger.select("blob", "spans"), "blob", "left").select(key, "blob", "spans")
+    return paths.join(_scanned(spark, ledger_path, rules), "blob", "left").select(key, "blob", "spans")
+
+
+def _scanned(spark: SparkSession, ledger_path: str, rules) -> DataFrame:
+    """(blob, spans) of the ledger for a rule version. Two runs at once can append a blob twice, with the same spans: one
+    of the rows is taken, by the partitioning that the join with blobs needs anyway."""
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path).filter(F.col("rule_version") == rule_version(rules))
+    return ledger.select("blob", "spans").dropDuplicates(["blob"])
 
 
 MARK = "[secret]"
@@ -107,16 +113,18 @@ def redact(docs: DataFrame, ledger_path: str, rules=RULES, key: str = "doc_id",
     Null texts stay null. The blobs are scanned as in scan_secrets()."""
     spark = docs.sparkSession
     scan_unseen(docs, open_ledger(spark, ledger_path), rules, key, text).write.mode("append").parquet(ledger_path)
-    found = spark.read.schema(LEDGER).parquet(ledger_path).filter((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0))
-    found = found.select(F.col("blob").alias("_blob"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"))
+    found = _scanned(spark, ledger_path, rules).filter(F.size("spans") > 0)
+    found = found.select(F.col("blob"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([_covered(t, s, e) for t, s, e in zip(texts, starts, ends)], dtype="object")
 
-    joined = docs.join(found.hint("shuffle_hash"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_blob"), "left")
-    clean = F.when(F.col("_starts").isNull(), F.col(text)).otherwise(cover(text, "_starts", "_ends"))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("own"))
+    joined = rows.join(found.hint("shuffle_hash"), F.col("own") == F.col("blob"), "left")
+    whole = F.col(f"row.`{text}`")
+    clean = F.when(F.col("starts").isNull(), whole).otherwise(cover(whole, "starts", "ends"))
+    return joined.select(*[clean.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _covered(text: str | None, starts, ends) -> str | None:
