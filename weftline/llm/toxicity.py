@@ -9,6 +9,7 @@ language on calibration rows maps to 0.5.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ MOST_ROWS = 12_000  # labelled rows that a model is fitted on: about a quarter o
 BATCH, EPOCHS, RATE = 32, 3, 0.1
 AT_ONCE = 60_000  # words that go through the filters at once, but for longer texts
 MISSED = 2  # texts wrongly caught that weigh as much as one missed, for the thresholds
-OWN_WORDS = 40  # of a language, that tell it from others
+OWN_WORDS, OWN_TEXTS = 40, 300  # words of a language that tell it from others, and texts of it that they come from
 _GAP = max(WIDTHS) - 1
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _OTHER = "other"
@@ -52,17 +53,21 @@ class Model:
 
 
 class Words(dict):
-    """Numbers of words, new ones in order, and the buckets of each."""
+    """Numbers of words, new ones in order from `first` on, and the buckets of each."""
 
-    def __init__(self):
-        self.buckets: list[list[int]] = []
+    def __init__(self, first: int = 0):
+        self.first, self.buckets = first, array("i")
 
     def __missing__(self, word: str) -> int:
-        self[word] = number = len(self.buckets)
-        whole = crc32(word.encode()) % BUCKETS
-        self.buckets.append([whole, *(crc32(f"^{word[:n]}".encode()) % BUCKETS for n in BEGINNINGS)])
+        self[word] = number = self.first + len(self)
+        self.buckets.append(crc32(word.encode()) % BUCKETS)
+        self.buckets.extend([crc32(f"^{word[:n]}".encode()) % BUCKETS for n in BEGINNINGS])
         return number
 
+    def rows(self, first: int = 0) -> np.ndarray:
+        """Buckets of the words, a row for each, from a row on."""
+        return np.array(self.buckets[first * (1 + len(BEGINNINGS)) :], np.int32).reshape(-1, 1 + len(BEGINNINGS))
+
 
 def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of several texts one after another with gaps of -1 between, and where each begins and ends."""
@@ -89,7 +94,7 @@ def pooled(model: Model, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 class Scorer:
     """Raw scores and guessed languages of texts; keeps embeddings of words in a table of bounded size."""
 
-    CACHED = 400_000
+    CACHED = 300_000
 
     def __init__(self, model: Model):
         self.model, self.languages = model, sorted(set(model.own.values()))
@@ -103,7 +108,7 @@ class Scorer:
             self._clear()
         found = [np.array([*map(self.words.__getitem__, words_of(t))], np.int64) for t in texts]
         if len(self.words) > len(self.table):
-            new = np.array(self.words.buckets[len(self.table) :])
+            new = self.words.rows(len(self.table))
             code = {lang: i for i, lang in enumerate(self.languages)}
             langs = [code.get(self.model.own.get(w), -1) for w in islice(self.words, len(self.table), None)]
             self.table = np.concatenate([self.table, self.model.embedding[new].mean(axis=1)])
@@ -142,7 +147,7 @@ def own_words(rows: list[tuple]) -> dict[str, str]:
     other language's texts, by the difference."""
     texts, having = Counter(), {}
     for text, _, *lang in rows:
-        if lang and lang[0] is not None:
+        if lang and lang[0] is not None and texts[lang[0]] < OWN_TEXTS:
             texts[lang[0]] += 1
             having.setdefault(lang[0], Counter()).update(set(words_of(text)))
     out = {}
@@ -169,9 +174,13 @@ def fit(rows: list[tuple], seed: int = 3) -> Model:
     train = [row for row, n in zip(rows, part) if n] or rows
     labels = np.array([row[1] for row in train], np.int64)
     if len(set(labels.tolist())) == 2:
-        words = Words()
-        numbers = [np.array([*map(words.__getitem__, words_of(row[0]))], np.int64) for row in train]
-        _train(model, numbers, labels, np.array(words.buckets, np.int64).reshape(-1, 1 + len(BEGINNINGS)), rng)
+        numbers, buckets, first = [], [], 0
+        for at in range(0, len(train), 500):  # words have numbers anew for each of these parts, which bounds memory
+            words = Words(first)
+            numbers += [np.array([*map(words.__getitem__, words_of(row[0]))], np.int32) for row in train[at : at + 500]]
+            buckets.append(words.rows())
+            first += len(words)
+        _train(model, numbers, labels, np.concatenate(buckets), rng)
     held = [row for row, n in zip(rows, part) if not n] or rows
     raw, guesses = Scorer(model).raw([row[0] for row in held])
     model.thresholds = _thresholds([(float(s), int(row[1]), g) for s, row, g in zip(raw, held, guesses)])
