@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
@@ -29,31 +29,30 @@ QUOTE = 160
 def claims(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, ord, type, value, quote): the first place of each (type, value), types in order, MOST per row.
 
-    A count with a dot is none. The quote is the first line that has the value."""
-    found = rows.select(F.col(key), F.col(text).alias("text"), F.explode(_matches(F.col(text))).alias("m"))
-    found = found.select(key, "text", "m.*").filter((F.col("type") != "count") | ~F.col("value").contains("."))
-    first = Window.partitionBy(key, "type", "value").orderBy("at")
-    found = found.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    order = Window.partitionBy(key).orderBy("type_ord", "at")
-    found = found.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= MOST)
-    line = F.get(F.filter(F.split("text", "\n"), lambda x: x.contains(F.col("value"))), F.lit(0))
-    return found.select(key, "ord", "type", "value", F.substring(F.coalesce(line, "value"), 1, QUOTE).alias("quote"))
+    A count with a dot is none. The quote is the first line that has the value. All is done within the row: no shuffle."""
+    found = F.filter(_matches(F.col(text)), lambda m: (m["type"] != "count") | ~F.contains(m["value"], F.lit(".")))
+    # Types are in order and places within a type too, so the first of equal structs is the first place.
+    once = F.slice(F.array_distinct(found), 1, MOST)
+    lines = F.split(F.col(text), "\n")
+
+    def quoted(m: Column, at: Column) -> Column:
+        line = F.get(F.filter(lines, lambda x: F.contains(x, m["value"])), F.lit(0))
+        return F.struct((at + 1).alias("ord"), m["type"].alias("type"), m["value"].alias("value"), F.substring(F.coalesce(line, m["value"]), 1, QUOTE).alias("quote"))
+
+    return rows.select(F.col(key), F.inline(F.transform(once, quoted)))
 
 
 def _matches(text: Column) -> Column:
-    """All matches of all patterns as (type_ord, at, type, value)."""
+    """All matches of all patterns as (type, value), in the order of the patterns and then of the text."""
     each = []
-    for n, (name, pattern) in enumerate(PATTERNS):
+    for name, pattern in PATTERNS:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        each.append(F.transform(values, _struct_maker(n, name)))
+        each.append(F.transform(values, _struct_maker(name)))
     return F.flatten(F.array(*each))
 
 
-def _struct_maker(n: int, name: str):
-    def make(value: Column, at: Column) -> Column:
-        return F.struct(F.lit(n).alias("type_ord"), at.alias("at"), F.lit(name).alias("type"), F.trim(value).alias("value"))
-
-    return make
+def _struct_maker(name: str):
+    return lambda value: F.struct(F.lit(name).alias("type"), F.trim(value).alias("value"))
 
 
 def fact_tokens(text: Column) -> Column:

@@ -43,18 +43,21 @@ _ROBOTS = (
     ("a", "User-agent: *\nDisallow: /private # no\nAllow: /private/open\n\nUser-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /\nAllow: /docs\n"),
     ("b", "# all\nUser-agent: *\nDisallow:\nSitemap: https://b/s.xml\nUser-agent: OAI-SearchBot\nDisallow: /pricing\nDisallow: /p\nAllow: /pricing\n"),
     ("c", "User-agent: GPTBot\nDisallow: /\n"),
+    ("d", "User-agent: Googlebot\nDisallow:\n\nUser-agent: *\nDisallow: /\n"),
+    ("e", "User-agent: *\nDisallow: /*\nAllow: /docs/1$\nAllow: /pri*\nDisallow: /private/open*$\nDisallow: /pro*uct\n"),
 )
 FILES = Inline("files", "site string, body string", tuple((s, b.replace("\n", "|")) for s, b in _ROBOTS))
-PATHS = Inline("paths", "site string, path string", tuple((s, p) for s in "abc" for p in ("/", "/private/x", "/private/open/y", "/docs/1", "/pricing", "/product")))
+PATHS = Inline("paths", "site string, path string", tuple((s, p) for s in "abcde" for p in ("/", "/private/x", "/private/open/y", "/docs/1", "/pricing", "/product")))
 _RULES = r"""li AS (SELECT site, unnest(string_split(body, '|')) AS raw, generate_subscripts(string_split(body, '|'), 1) - 1 AS ord FROM files),
   fv AS (SELECT site, ord, lower(trim(regexp_extract(trim(regexp_replace(raw, '#.*$', '')), '^([^:]*):', 1))) AS field, trim(regexp_extract(trim(regexp_replace(raw, '#.*$', '')), '^[^:]*:(.*)$', 1)) AS value FROM li),
   fl AS (SELECT *, coalesce(lag(field) OVER (PARTITION BY site ORDER BY ord), '') AS was FROM fv WHERE field IN ('user-agent', 'allow', 'disallow')),
   gr AS (SELECT *, sum(CASE WHEN field = 'user-agent' AND was <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY ord) AS grp FROM fl),
-  ru AS (SELECT a.site, a.grp::BIGINT AS grp, lower(a.value) AS token, r.field AS kind, r.value AS rule, r.ord FROM gr a JOIN gr r ON a.site = r.site AND a.grp = r.grp WHERE a.field = 'user-agent' AND r.field <> 'user-agent' AND r.value <> '')"""
+  ru AS (SELECT a.site, a.grp::BIGINT AS grp, lower(a.value) AS token, r.field AS kind, r.value AS rule, r.ord FROM gr a LEFT JOIN (SELECT * FROM gr WHERE field <> 'user-agent' AND value <> '') r ON a.site = r.site AND a.grp = r.grp WHERE a.field = 'user-agent')"""
 _EFFECTIVE = """tk AS (SELECT lower(token) AS token, role FROM surfaces), ef AS (SELECT site, token, kind, rule, ord, TRUE AS named FROM ru JOIN tk USING (token)
   UNION ALL SELECT s.site, t.token, r.kind, r.rule, r.ord, FALSE FROM (SELECT DISTINCT site FROM ru) s, tk t JOIN ru r ON r.token = '*' WHERE r.site = s.site AND (s.site, t.token) NOT IN (SELECT site, token FROM ru))"""
-_DECIDE = """de AS (SELECT p.site, e.token, p.path, max_by(CASE WHEN starts_with(path, rule) THEN rule END, CASE WHEN starts_with(path, rule) THEN length(rule) * 1000000 + CASE WHEN kind = 'disallow' THEN 10000 ELSE 0 END - ord END) AS rule,
-  coalesce(max_by(kind, CASE WHEN starts_with(path, rule) THEN length(rule) * 1000000 + CASE WHEN kind = 'disallow' THEN 10000 ELSE 0 END - ord END) = 'disallow', FALSE) AS blocked, bool_or(named) AS named FROM paths p JOIN ef e USING (site) GROUP BY ALL)"""
+_DECIDE = """ma AS (SELECT p.site, e.token, p.path, e.rule, e.kind, e.named, length(rtrim(rule, '*$')) * 1000000 + CASE WHEN kind = 'disallow' THEN 10000 ELSE 0 END - ord AS size,
+    rule IS NOT NULL AND CASE WHEN ends_with(rule, '$') THEN path = left(rule, length(rule) - 1) ELSE left(path, length(rtrim(rule, '*'))) = rtrim(rule, '*') END AS hit FROM paths p JOIN ef e USING (site)),
+  de AS (SELECT site, token, path, max_by(rule, size) FILTER (WHERE hit) AS rule, coalesce(max_by(kind, size) FILTER (WHERE hit) = 'disallow', FALSE) AS blocked, bool_or(named) AS named FROM ma GROUP BY ALL)"""
 
 
 def robots_rules(spark: SparkSession) -> DataFrame:
@@ -428,12 +431,12 @@ QUESTIONS = Inline("questions", "id string, question string, expected_page strin
 TARGETS = Inline("targets", "page_id long, url string", ((1, "http://a.com/x"), (2, "http://a.com/X/"), (3, "https://b.com/")))
 
 
-@query("question_pages", """+q AS (SELECT *, 'Q-' || lpad(coalesce(nullif(regexp_extract(id, '([0-9]+)', 1), ''), pos::VARCHAR), 3, '0') AS question_id FROM (SELECT *, row_number() OVER () AS pos FROM questions))
+@query("question_pages", """+q AS (SELECT *, 'Q-' || CASE WHEN length(num) < 3 THEN lpad(num, 3, '0') ELSE num END AS question_id FROM (SELECT *, coalesce(nullif(regexp_extract(id, '([0-9]+)', 1), ''), pos::VARCHAR) AS num FROM (SELECT *, row_number() OVER () AS pos FROM questions)))
   SELECT question_id, coalesce(e.page_id, n.page_id) AS page_id FROM q LEFT JOIN targets e ON e.url = expected_page LEFT JOIN targets n ON regexp_replace(lower(regexp_extract(n.url, '://([^/]*)', 1)), '^www\\.', '') || coalesce(nullif(regexp_extract(n.url, '://[^/]*(.*)$', 1), ''), '/') = regexp_replace(lower(regexp_extract(expected_page, '://([^/]*)', 1)), '^www\\.', '') || coalesce(nullif(regexp_extract(expected_page, '://[^/]*(.*)$', 1), ''), '/')""", QUESTIONS, TARGETS)
 def _(spark, sf_dir):
     rows = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(QUESTIONS.rows)], "pos int, id string, question string, expected_page string")
     number = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("id", F.lit("")), "([0-9]+)", 1), F.lit("")), F.col("pos").cast("string"))
-    rows = rows.withColumn("question_id", F.concat(F.lit("Q-"), F.lpad(number, 3, "0"))).withColumn("k", urls.passage_key(F.col("expected_page")))
+    rows = rows.withColumn("question_id", F.concat(F.lit("Q-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).withColumn("k", urls.passage_key(F.col("expected_page")))
     t = TARGETS.df(spark)
     exact = t.select(F.col("url").alias("expected_page"), F.col("page_id").alias("e"))
     near = t.select(urls.passage_key(F.col("url")).alias("k"), F.col("page_id").alias("n"))

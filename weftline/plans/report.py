@@ -94,7 +94,8 @@ def opportunities(rows: DataFrame) -> DataFrame:
 def markdown(found: DataFrame) -> DataFrame:
     """(site, report): a line for each finding, in order."""
     line = F.concat(F.lit("- **"), F.col("id"), F.lit("** ("), F.col("severity"), F.lit(") "), F.col("check_id"), F.lit(": "), F.coalesce("evidence", F.lit("")))
-    lines = F.array_sort(F.collect_list(line))
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")  # F-101 comes before F-1000
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), line.alias("line")))), lambda x: x["line"])
     return found.groupBy("site").agg(F.concat(F.lit("# "), F.col("site"), F.lit("\n"), F.array_join(lines, "\n")).alias("report"))
 
 

@@ -312,32 +312,75 @@ def sitemap_orphans(spark, sf_dir):
 _BASE = r"regexp_extract(lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '([^.]+\.[^.]+)$', 1)"
 
 
-@query("link_classes", f"""WITH {PG}, {LK}, lt AS (SELECT *, {_BASE} AS target_base, regexp_extract(site, '([^.]+\\.[^.]+)$', 1) AS own_base FROM lk)
-    SELECT site, CASE WHEN target_base = own_base THEN 'owned' WHEN target_base IN ('wikipedia.org', 'wikidata.org', 'github.com') THEN 'independent' ELSE 'unknown' END AS ownership, count(*) AS links FROM lt GROUP BY ALL""")
-def link_classes(spark, sf_dir):
-    found = sources.links(sources.read_pages(spark, sf_dir))
-    base = lambda host: F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    known = spark.createDataFrame([("wikipedia.org",), ("wikidata.org",), ("github.com",)], "base string").withColumn("known", F.lit(True))
-    rows = found.withColumn("base", base(urls.authority(F.col("target")))).join(F.broadcast(known), "base", "left")
-    kind = F.when(F.col("base") == base(F.col("site")), "owned").when(F.col("known"), "independent").otherwise("unknown")
-    return rows.groupBy("site", kind.alias("ownership")).agg(F.count(F.lit(1)).alias("links"))
-
+#: Domains of others that tell of a site, of profiles that a site keeps itself, and of registries.
+DOMAINS = {
+    "independent": "wikipedia.org wikidata.org crunchbase.com producthunt.com g2.com capterra.com trustpilot.com yelp.com bbb.org news.ycombinator.com".split(),
+    "owned": "linkedin.com twitter.com x.com facebook.com instagram.com youtube.com tiktok.com medium.com substack.com discord.com".split(),
+    "registry": "github.com npmjs.com pypi.org gitlab.com".split(),
+}
+_KNOWN = ", ".join(f"('{d}', '{kind}')" for kind, domains in DOMAINS.items() for d in domains)
 
-#: Site type, pattern of URL paths, phrase of the page.
-TYPES = (("docs-developer", "docs|api|reference", "documentation"), ("ecommerce", "cart|product|shop", "add to cart"), ("publisher", "news|article|blog", "published"), ("saas", "pricing|features|login", "free trial"))
 
-
-@query("site_type_scores", f"""WITH {PG}, t(site_type, pattern, phrase) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in TYPES)}),
-    s AS (SELECT site, site_type, least(6, count(*) FILTER (WHERE regexp_matches(lower(path), pattern))) + 2 * max(CASE WHEN contains(lower(html), phrase) THEN 1 ELSE 0 END)
-      + max(CASE WHEN site_type = 'publisher' AND starts_with(site, 'blog.') THEN 10 WHEN site_type = 'docs-developer' AND starts_with(site, 'docs.') THEN 10 ELSE 0 END) AS score FROM pg, t GROUP BY ALL)
+@query("link_classes", f"""WITH {PG}, {LK}, known(domain, kind) AS (VALUES {_KNOWN}), lt AS (SELECT site, regexp_replace(lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS host FROM lk)
+    SELECT site, CASE WHEN host = regexp_replace(site, '^www\\.', '') OR ends_with(host, '.' || regexp_replace(site, '^www\\.', '')) THEN 'own' ELSE coalesce(kind, 'unknown') END AS ownership, count(*) AS links FROM lt LEFT JOIN known ON domain = host GROUP BY ALL""")
+def link_classes(spark, sf_dir):
+    """How many links of a site go to itself, to known domains of each kind, and elsewhere."""
+    found = sources.links(sources.read_pages(spark, sf_dir))
+    bare = lambda host: F.regexp_replace(host, r"^www\.", "")
+    known = spark.createDataFrame([(d, kind) for kind, domains in DOMAINS.items() for d in domains], "host string, kind string")
+    rows = found.withColumn("host", bare(urls.authority(F.col("target")))).join(F.broadcast(known), "host", "left")
+    own = (F.col("host") == bare(F.col("site"))) | F.col("host").endswith(F.concat(F.lit("."), bare(F.col("site"))))
+    return rows.groupBy("site", F.when(own, "own").otherwise(F.coalesce("kind", F.lit("unknown"))).alias("ownership")).agg(F.count(F.lit(1)).alias("links"))
+
+
+#: Site types with the types of their structured data, parts of their URL paths, and their wording.
+TYPES = {
+    "ecommerce": ("product offer aggregateoffer itemlist/product", "/products/ /product/ /collections/ /cart /checkout /shop", "add to cart|add to bag|shopping cart|free shipping|sale price"),
+    "docs-developer": ("techarticle apireference softwaresourcecode", "/docs /documentation /api/ /reference /guide /tutorial /whatsnew /library /manual", "api reference|getting started|installation|changelog|sdk|documentation|module index|library reference|release notes"),
+    "saas": ("softwareapplication webapplication service", "/pricing /signup /sign-up /login /integrations /features /plan /enterprise /customers /security", "free trial|start free|per user|per month|book a demo|pricing|sign up|log in|get started free|for teams"),
+    "local-business": ("localbusiness restaurant dentist medicalclinic medicalbusiness store hotel professionalservice", "/locations /book-appointment /appointment /directions /menu /opening-hours", "opening hours|book an appointment|find us|call us|our location|walk-ins|make a reservation"),
+    "publisher": ("newsarticle article blogposting newsmediaorganization liveblogposting", "/news /article /story /blog/ /opinion /archive", "subscribe|latest news|breaking|editor|newsletter"),
+    "gov-edu": ("governmentorganization collegeoruniversity educationalorganization govermentservice school", "/admission /scheme /tender /notice /circular /department", "admission|notification|government of|prospectus|faculty"),
+    "marketplace-platform": ("itemlist searchresultspage", "/sellers /vendors /listings /marketplace /browse", "become a seller|list your|sellers|vendors|marketplace"),
+    "org-portfolio": ("organization ngo nonprofit person creativework", "/about /work /projects /services /portfolio /team", "our work|our mission|case study|what we do|get in touch"),
+}
+#: Beginnings of hosts, patterns of hosts, and the points that they give.
+HOSTS = (("^docs[.]|^developer[.]|^api[.]", "docs-developer", 5), ("^shop[.]|^store[.]", "ecommerce", 5), ("^news[.]|^blog[.]", "publisher", 5), (r"(^|[.])(gov|mil)([.][a-z]{2,3})?$|(^|[.])(edu|ac)([.][a-z]{2,3})?$|[.]nic[.]in$", "gov-edu", 10))
+_CUES = [(t, n, cue) for t, parts in TYPES.items() for n, cue in [*((0, c) for c in parts[0].split()), *((1, c) for c in parts[1].split()), *((2, c) for c in parts[2].split("|"))]]
+READ_LINKS = 120  # links of a page whose wording counts
+
+
+@query("site_type_scores", f"""WITH {PG}, {LK}, cue(site_type, kind, cue) AS (VALUES {', '.join(f"('{t}', {n}, '{c}')" for t, n, c in _CUES)}), host(pattern, site_type, points) AS (VALUES {', '.join(f"('{p}', '{t}', {n})" for p, t, n in HOSTS)}),
+    tx AS (SELECT site, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pg UNION ALL SELECT site, lower(unnest(regexp_extract_all(html, '{sources.HEADING}', 2))) FROM pg UNION ALL SELECT site, lower(anchor_text) FROM lk WHERE ord <= {READ_LINKS}),
+    ty AS (SELECT DISTINCT site, lower(trim(unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1), ' '), '"@type"\s*:\s*"([^"]+)"', 1)))) AS type FROM pg),
+    pa AS (SELECT site, page_id, lower(path) AS path FROM pg),
+    part AS (SELECT site, site_type, 4 * count(*) AS points FROM ty JOIN cue ON kind = 0 AND cue = type GROUP BY ALL
+      UNION ALL SELECT site, site_type, least(6, count(DISTINCT page_id)) FROM pa JOIN cue ON kind = 1 AND contains(path, cue) GROUP BY ALL
+      UNION ALL SELECT site, site_type, 2 * count(DISTINCT cue) FROM tx JOIN cue ON kind = 2 AND contains(t, cue) GROUP BY ALL
+      UNION ALL SELECT s.site, h.site_type, h.points FROM (SELECT DISTINCT site FROM pg) s JOIN host h ON regexp_matches(s.site, h.pattern)),
+    s AS (SELECT site, site_type, sum(points) AS score FROM part GROUP BY ALL)
     SELECT site, site_type, score::BIGINT AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, site_type) AS rank, max(score) OVER (PARTITION BY site) AS best FROM s) WHERE rank <= 3 AND score >= greatest(4, best / 2)""")
 def site_type_scores(spark, sf_dir):
+    """Up to three types of each site: four points for a type of structured data, one for a URL up to six, two for a
+    phrase in titles, headings or links, and points for the form of the host. Cues are constants of each row's
+    expressions, so nothing is joined; a site's rows meet in aggregates that combine before the shuffle."""
     p = sources.read_pages(spark, sf_dir)
-    t = spark.createDataFrame(TYPES, "site_type string, pattern string, phrase string")
-    bonus = F.when((F.col("site_type") == "publisher") & F.col("site").startswith("blog."), 10).when((F.col("site_type") == "docs-developer") & F.col("site").startswith("docs."), 10).otherwise(0)
-    rows = p.crossJoin(F.broadcast(t))
-    s = rows.groupBy("site", "site_type").agg((F.least(F.lit(6), F.count_if(F.expr("lower(path) rlike pattern"))) + 2 * F.max(F.contains(F.lower("html"), F.col("phrase")).cast("int")) + F.max(bonus)).alias("score"))
-    order = Window.partitionBy("site")
+    lower = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    read = p.select("site", lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("t"))
+    read = read.unionByName(sources.headings(p).join(p.select("page_id", "site"), "page_id").select("site", lower("text").alias("t")))
+    read = read.unionByName(sources.links(p, READ_LINKS).select("site", lower("anchor_text").alias("t")))
+    cues = lambda kind: F.array(*[F.struct(F.lit(t).alias("site_type"), F.lit(c).alias("cue")) for t, n, c in _CUES if n == kind])
+    said = read.select("site", F.inline(F.filter(cues(2), lambda x: F.contains(F.col("t"), x["cue"])))).distinct()
+    blobs = F.array_join(F.regexp_extract_all("html", F.lit(r'(?s)<script type="application/ld\+json">(.*?)</script>'), F.lit(1)), " ")
+    types = p.select("site", F.explode(F.regexp_extract_all(blobs, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))).alias("type")).select("site", F.lower(F.trim("type")).alias("type")).distinct()
+    typed = types.select("site", F.inline(F.filter(cues(0), lambda x: x["cue"] == F.col("type"))))
+    here = F.array_distinct(F.transform(F.filter(cues(1), lambda x: F.contains(F.lower("path"), x["cue"])), lambda x: x["site_type"]))
+    placed = p.select("site", F.explode(here).alias("site_type")).groupBy("site", "site_type").agg(F.least(F.lit(6), F.count(F.lit(1))).alias("points"))
+    hosts = F.array(*[F.struct(F.when(F.col("site").rlike(pattern), F.lit(t)).alias("site_type"), F.lit(n).cast("long").alias("points")) for pattern, t, n in HOSTS])
+    formed = p.select("site").distinct().select("site", F.inline(hosts)).filter("site_type is not null")
+    parts = said.select("site", "site_type", F.lit(2).cast("long").alias("points")).unionByName(typed.select("site", "site_type", F.lit(4).cast("long").alias("points"))).unionByName(placed).unionByName(formed)
+    s = parts.groupBy("site", "site_type").agg(F.sum("points").alias("score"))
+    order = Window.partitionBy("site")  # a row for each type: eight at most
     s = s.withColumn("rank", F.row_number().over(order.orderBy(F.desc("score"), "site_type"))).withColumn("best", F.max("score").over(order))
     return s.filter((F.col("rank") <= 3) & (F.col("score") >= F.greatest(F.lit(4), F.col("best") / 2))).select("site", "site_type", "score", "rank")
 

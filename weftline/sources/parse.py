@@ -15,6 +15,8 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 #: Fixed values.
 BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form header hr li main nav ol p pre section table tbody td tfoot th thead tr ul details summary dialog br".split())
@@ -337,7 +339,13 @@ def parse_pages(pages: DataFrame, keep: tuple[str, ...] = (), whole: bool = Fals
 
     kinds = dict(pages.dtypes)
     columns = list(dict.fromkeys(("page_id", "url", "html", *keep)))
-    return pages.select(*columns).mapInPandas(run, SCHEMA + "".join(f", {c} {kinds[c]}" for c in keep))
+    # The key goes through pandas as text: a column of numbers with nulls would lose digits there.
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), *columns[1:])
+    out = StructType.fromDDL(SCHEMA + "".join(f", {c} {kinds[c]}" for c in keep))
+    kind = out["page_id"].dataType
+    out["page_id"].dataType = StringType()
+    parsed = rows.mapInPandas(run, out)
+    return parsed.select(F.col("page_id").cast(kind).alias("page_id"), *[c for c in parsed.columns if c != "page_id"])
 
 
 def inflate(body: bytes | None) -> bytes | None:
