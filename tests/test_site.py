@@ -6,6 +6,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.functions import urls
 from weftline.operators.excerpts import sentence_around
@@ -98,11 +99,17 @@ def test_url_escapes_and_gzip():
 
 
 def test_stream_of_pages(spark, tmp_path):
+    from weftline.plans import audit
+
+    def with_sites(batch):
+        return batch.withColumn("site", urls.authority(F.col("url"))).withColumn("path", urls.path(F.col("url")))
+
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     pages.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = audit_stream(read_stream(spark, str(tmp_path / "in"), 2), lambda b: parse_pages(b).select("page_id", "title"), str(tmp_path / "out"), str(tmp_path / "state"))
+    stream = audit_stream(read_stream(spark, str(tmp_path / "in"), 2), lambda b: audit.audit(with_sites(b)).drop("urls"), str(tmp_path / "out"), str(tmp_path / "state"))
     stream.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == pages.count()
+    checked = spark.read.parquet(str(tmp_path / "out"))
+    assert checked.filter("check_id = 'REF-VIEWPORT-ABSENT'").select("site").distinct().count() == pages.selectExpr("regexp_extract(url, '//([^/]*)', 1)").distinct().count()
 
 
 def test_sentences_around_anchors():
@@ -135,6 +142,46 @@ def test_page_checks_read_the_page_table(spark, tmp_path):
     assert sorted(r.parse_ok for r in QUERIES["site_jsonld_blocks"](spark, str(tmp_path)).collect()) == [False, True, True]
 
 
+def test_one_audit_from_pages_to_report(spark, tmp_path):
+    from weftline.plans import audit
+    from weftline.plans.audit_queries import FILES, HTML
+    from weftline.plans.catalog import CHECKS
+
+    HTML.df(spark).drop("site").write.parquet(str(tmp_path / "pages.parquet"))
+    expected = {tuple(r) for r in QUERIES["page_check_findings"](spark, SF).collect()}
+    found = {(r.site, r.check_id, r.severity) for r in QUERIES["site_audit_findings"](spark, str(tmp_path)).collect()}
+    absorbed = {(s, c, v) for s, c, v in expected if c == "REP-LINKS-SCRIPT-ONLY"}
+    assert expected - absorbed <= found and all(c in CHECKS for _, c, _ in found)
+    from weftline.sources import pages as sources
+
+    pages = sources.read_pages(spark, str(tmp_path))
+    files = FILES.df(spark).selectExpr("site", "translate(body, '|', chr(10)) AS body")
+    results = audit.audit(pages, audit.Observed(robots_files=files))
+    roles = {r.site: r.gate for r in results.filter("check_id = 'ACC-ROBOTS-ROLE'").collect()}
+    assert roles["a"] == "finding" and roles["d"] == "pass"  # an empty group of a named agent allows all
+    done = audit.report_of(results, pages.select("site").distinct())
+    done.written(str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "findings")).count() == done.findings.count() > 0
+    summary = {r.site: r for r in done.summary.collect()}
+    assert set(summary) == set("abcdefghij") and all(r.partial for r in summary.values())
+    left = {(r.site, r.check_id) for r in done.not_evaluated.collect()}
+    assert ("a", "ACC-LINK-ROT") in left and ("a", "ACC-ROBOTS-ROLE") not in left
+
+
+def test_report_lines_are_in_order_of_numbers(spark):
+    from weftline.plans import report
+
+    rows = [("s", f"F-{n:03d}", "X", "low", "e") for n in (1000, 2, 101, 12)]
+    text = report.markdown(spark.createDataFrame(rows, "site string, id string, check_id string, severity string, evidence string")).first()["report"]
+    assert [line.split("**")[1] for line in text.split("\n")[1:]] == ["F-002", "F-012", "F-101", "F-1000"]
+
+
+def test_keys_of_parsed_pages_stay(spark):
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(None, "http://a/", "<p>x"), (big, "http://a/", None)], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in parse_pages(rows).collect()} == {None, big} and parse_pages(rows).schema["page_id"].dataType.simpleString() == "bigint"
+
+
 LINKED = (
     "<body><h2 class=t><a name=top>Head <i>one</i></a></h2><a class=x href=/p1>one</a><a href='/p2'>two</a><A HREF = \"/p3\"><b>three</b> more</A>"
     "<!-- <a href=\"/no\">no</a> --><script>'<a href=\"/no\">'</script><a data-href=/no>no</a><a href=\"/p4\">open<p>text</p><h3>Last"

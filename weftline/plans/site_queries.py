@@ -350,9 +350,9 @@ _CUES = [(t, n, cue) for t, parts in TYPES.items() for n, cue in [*((0, c) for c
 READ_LINKS = 120  # links of a page whose wording counts
 
 
-@query("site_type_scores", f"""WITH {PG}, {LK}, cue(site_type, kind, cue) AS (VALUES {', '.join(f"('{t}', {n}, '{c}')" for t, n, c in _CUES)}), host(pattern, site_type, points) AS (VALUES {', '.join(f"('{p}', '{t}', {n})" for p, t, n in HOSTS)}),
+@query("site_type_scores", rf"""WITH {PG}, {LK}, cue(site_type, kind, cue) AS (VALUES {', '.join(f"('{t}', {n}, '{c}')" for t, n, c in _CUES)}), host(pattern, site_type, points) AS (VALUES {', '.join(f"('{p}', '{t}', {n})" for p, t, n in HOSTS)}),
     tx AS (SELECT site, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t FROM pg UNION ALL SELECT site, lower(unnest(regexp_extract_all(html, '{sources.HEADING}', 2))) FROM pg UNION ALL SELECT site, lower(anchor_text) FROM lk WHERE ord <= {READ_LINKS}),
-    ty AS (SELECT DISTINCT site, lower(trim(unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1), ' '), '"@type"\s*:\s*"([^"]+)"', 1)))) AS type FROM pg),
+    ty AS (SELECT DISTINCT site, lower(trim(unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?s)<script type="application/ld\+json">(.*?)</script>', 1), ' '), '"@type"\s*:\s*"([^"]+)"', 1)))) AS type FROM pg),
     pa AS (SELECT site, page_id, lower(path) AS path FROM pg),
     part AS (SELECT site, site_type, 4 * count(*) AS points FROM ty JOIN cue ON kind = 0 AND cue = type GROUP BY ALL
       UNION ALL SELECT site, site_type, least(6, count(DISTINCT page_id)) FROM pa JOIN cue ON kind = 1 AND contains(path, cue) GROUP BY ALL
