@@ -55,7 +55,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL cannot express the toxicity model; tests hold run() against a plain version of the stages.
+#: SQL cannot express the toxicity model; tests hold each stage to what its operator must do, and run() to the stages.
 ORACLE_SQL = None
 
 
