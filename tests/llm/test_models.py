@@ -408,3 +408,11 @@ def test_pipeline_stages_follow_their_operators(spark, tmp_path):
                 assert (r.text == before[k].text) == (not scan(before[k].text)) and not [s for s in scan(r.text) if s[0] != "assign"]
         docs = out
     assert line_dedup.FANOUT > 1
+
+
+def test_pipeline_runs_whole(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    assert check_packed(rows, {r.doc_id: r.text for r in docs.collect()}) > 0
