@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import urls
+from weftline.operators import fragments
 from weftline.operators.excerpts import sentence_around
 from weftline.plans import excerpt_queries, site_queries
+from weftline.sources import sitemaps
 from weftline.sources.parse import inflate, parse_page, parse_pages
 from weftline.streaming.reaudit import audit_stream, read_stream
 
@@ -53,6 +55,24 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_name_variants(spark):
+    got = {(r.site, r.nth, r.names) for r in QUERIES["name_variants"](spark, SF).collect()}
+    assert got == {("a", 1, "Acme Software|Acme|Software Museum"), ("a", 2, "Mercury"), ("b", 1, "3 14 Python|Python Docs|14"), ("b", 2, "14 Docs")}
+
+
+def test_fragments_of_no_rows(spark):
+    lines = spark.createDataFrame([], "site string, name string, line string")
+    assert fragments.fragment_results(fragments.read_fragments(lines)).count() == 0
+    files = spark.createDataFrame([], "site string, ord int, url string, http_status int, body string")
+    assert sitemaps.counted(files).count() == sitemaps.sampled(files).count() == 0
+
+
+def test_handed_findings_are_written(spark, tmp_path):
+    rows = fragments.handed(spark.createDataFrame([("a", "X")], "site string, check_id string"))
+    fragments.write_handed(rows, str(tmp_path / "out"))
+    assert {r.consumer for r in spark.read.json(str(tmp_path / "out")).collect()} == set(fragments.CONSUMERS)
+
+
 def test_name_groups(spark):
     got = {(r.site, r.names) for r in QUERIES["name_groups"](spark, SF).collect()}
     assert got == {("a", "Acme|Acme Software"), ("b", "Mercury"), ("d", "Orion Foundation"), ("e", "Delta Inc.")}

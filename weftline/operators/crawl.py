@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources import sitemaps
 from ..sources.pages import first_by
 
 #: Fixed values.
@@ -36,6 +37,14 @@ def candidates(links: DataFrame) -> DataFrame:
     return own.select("site", nth.alias("ord"), "path").filter(F.col("ord") <= MOST_CANDIDATES)
 
 
+def discovered(files: DataFrame, links: DataFrame) -> DataFrame:
+    """(site, origin, ord, path): where a crawl of each site goes: entries of its first sitemap that has any, and then
+    candidates from links. A path can be of both origins. Sites need neither."""
+    listed = sitemaps.sampled(files).select("site", F.lit("sitemap").alias("origin"), F.col("ord").cast("long").alias("ord"), urls.norm_path(urls.path(F.col("url"))).alias("path"))
+    linked = candidates(links).select("site", F.lit("link").alias("origin"), F.col("ord").cast("long").alias("ord"), "path")
+    return listed.unionByName(linked)
+
+
 def clusters(pages: DataFrame) -> DataFrame:
     """(site, rank, cluster, pages): template clusters of a site's pages, the largest first, MOST_CLUSTERS of a site."""
     counted = pages.groupBy("site", urls.template_key(F.col("path")).alias("cluster")).agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first"))
