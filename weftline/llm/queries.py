@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, html_text, language_id, line_dedup, ngram_join, packing, secrets, toxicity
+from . import ann, bpe, fingerprint, html_text, language_id, lexical_search, line_dedup, ngram_join, packing, phrases, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,14 @@ def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_apriori_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_blocks": op1_line_blocks,
     "op2_adaptive_prefix_join": op2_adaptive_prefix_join,
@@ -117,6 +125,8 @@ QUERIES = {
     "op8_line_runs": op8_line_runs,
     "op9_canonical_digest": op9_canonical_digest,
     "op10_one_bit_codes": op10_one_bit_codes,
+    "op12_bit_sliced_search": op12_bit_sliced_search,
+    "op13_apriori_phrases": op13_apriori_phrases,
 }
 
 ORACLES = {
@@ -148,4 +158,61 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.key IS NULL), '')) AS kept_sha256
         FROM lines LEFT JOIN hot h ON lines.key = h.key GROUP BY doc_id
     """,
+    "op12_bit_sliced_search": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS row, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), whole AS (
+          SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0
+        ), tf AS (
+          SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY ALL
+        ), df AS (
+          SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs
+        ), asked AS (
+          SELECT nth, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM (SELECT row_number() OVER () AS nth, * FROM benchmark)
+        ), scores AS (
+          SELECT nth, item_id, doc_id,
+                 sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(terms) * docs) // words))))::BIGINT AS score
+          FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN d USING (row), whole GROUP BY nth, item_id, doc_id, row
+        )
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+        WHERE rank <= 10
+    """,
+    "op13_apriori_phrases": r"""
+        WITH pieces AS (
+          SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+          FROM (SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), grams AS (
+          SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase
+          FROM pieces, (SELECT unnest([1, 2, 3, 4])::BIGINT AS k)
+        ), f AS (
+          SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+        ), words AS (
+          SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang
+        ), cuts AS (
+          SELECT f.lang, f.phrase, f.f AS a, l.f AS l, r.f AS r, cut, (2000000 * f.f::HUGEINT // (l.f + r.f))::BIGINT AS score
+          FROM f JOIN (SELECT unnest([1, 2, 3])::BIGINT AS cut) c ON cut < f.k
+          JOIN f l ON l.lang = f.lang AND l.k = cut AND l.phrase = array_to_string(string_split(f.phrase, ' ')[1:cut], ' ')
+          JOIN f r ON r.lang = f.lang AND r.k = f.k - cut AND r.phrase = array_to_string(string_split(f.phrase, ' ')[cut + 1:f.k], ' ')
+        ), least AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts
+        ), longer AS (
+          SELECT lang, phrase, max(f) AS f FROM (
+            SELECT lang, f, unnest(flatten([[array_to_string(ws[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS phrase
+            FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 2)
+          ) GROUP BY ALL
+        ), kept AS (
+          SELECT least.* FROM least LEFT JOIN longer USING (lang, phrase)
+          WHERE nth = 1 AND (longer.f IS NULL OR 100::HUGEINT * longer.f < 80::HUGEINT * a)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN words USING (lang)
+        WHERE rank <= 2000
+    """,
 }
