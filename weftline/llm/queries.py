@@ -183,23 +183,30 @@ ORACLES = {
         WHERE rank <= 10
     """,
     "op13_apriori_phrases": r"""
-        WITH pieces AS (
+        WITH pieces AS MATERIALIZED (
           SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
           FROM (SELECT coalesce(lang, 'und') AS lang,
                        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), line AS (
+          SELECT row_number() OVER () AS piece, lang, ws FROM pieces WHERE len(ws) > 0
+        ), placed AS (
+          SELECT lang, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM line
         ), grams AS (
-          SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase
-          FROM pieces, (SELECT unnest([1, 2, 3, 4])::BIGINT AS k)
-        ), f AS (
-          SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+          SELECT lang, unnest([1, 2, 3, 4])::BIGINT AS k,
+                 unnest([w, w || ' ' || lead(w, 1) OVER o, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o,
+                         w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o]) AS phrase
+          FROM placed WINDOW o AS (PARTITION BY piece ORDER BY pos)
+        ), f AS MATERIALIZED (
+          SELECT lang, k, phrase, count(*) AS f FROM grams WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
         ), words AS (
           SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang
+        ), halves AS (
+          SELECT lang, phrase, f AS a, cut, array_to_string(ws[1:cut], ' ') AS lhs, array_to_string(ws[cut + 1:k], ' ') AS rhs
+          FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1)
         ), cuts AS (
-          SELECT f.lang, f.phrase, f.f AS a, l.f AS l, r.f AS r, cut, (2000000 * f.f::HUGEINT // (l.f + r.f))::BIGINT AS score
-          FROM f JOIN (SELECT unnest([1, 2, 3])::BIGINT AS cut) c ON cut < f.k
-          JOIN f l ON l.lang = f.lang AND l.k = cut AND l.phrase = array_to_string(string_split(f.phrase, ' ')[1:cut], ' ')
-          JOIN f r ON r.lang = f.lang AND r.k = f.k - cut AND r.phrase = array_to_string(string_split(f.phrase, ' ')[cut + 1:f.k], ' ')
+          SELECT h.lang, h.phrase, a, l.f AS l, r.f AS r, cut, (2000000 * a::HUGEINT // (l.f + r.f))::BIGINT AS score
+          FROM halves h JOIN f l ON l.lang = h.lang AND l.phrase = lhs JOIN f r ON r.lang = h.lang AND r.phrase = rhs
         ), least AS (
           SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts
         ), longer AS (
