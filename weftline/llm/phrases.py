@@ -53,8 +53,9 @@ def phrase_hash(words: list[np.ndarray]) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - (BITS.bit_length() - 1))).astype(np.int64)
+def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of hashes in a bitmap of so many bits, a power of two."""
+    return (hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
 class _Numbers(dict):
@@ -90,7 +91,7 @@ class _Held:
         places = len(line) - k + 2  # where (k-1)-grams begin
         if places < 2:
             return [], np.empty(0, np.int64)
-        bit = _bit(phrase_hash([hashes[i : places + i] for i in range(k - 1)]))
+        bit = _bit(phrase_hash([hashes[i : places + i] for i in range(k - 1)]), 64 * len(frequent))
         known = (frequent[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         for i in range(k - 1):
             known &= line[i : places + i] != 0
@@ -146,20 +147,21 @@ def level(docs: DataFrame, k: int, bitmap: np.ndarray | None = None, text: str =
 
 def bitmap_of(counted: DataFrame) -> np.ndarray:
     """The bitmap of the phrases of a level, gathered as words of 64 bits: BITS / 64 of them at most reach the driver."""
+    bits = BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [(l.encode(), p.split(b" ")) for l, p in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase"))) if p]
             if split:
                 words = [np.array([word_hash(l, p[i]) for l, p in split], np.uint64) for i in range(len(split[0][1]))]
-                bit = np.unique(_bit(phrase_hash(words)))
+                bit = np.unique(_bit(phrase_hash(words), bits))
                 place, first = np.unique(bit >> 6, return_index=True)
                 value = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(value.view(np.int64))], names=["place", "bits"])
 
     found = counted.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
     rows = found.toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     out[rows["place"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 

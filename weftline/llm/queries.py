@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, html_text, language_id, lexical_search, line_dedup, ngram_join, packing, phrases, secrets, toxicity
+from . import ann, bpe, fingerprint, html_text, language_id, lexical_search, line_dedup, ngram_join, packing, phrases, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,19 @@ def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op11_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+
+    def listed(of):
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    whole = F.concat("base", "added")
+    return found.select(F.col("k").alias("doc_id"), *[count(k) for k in pii.BASE], F.sha2(listed("base"), 256).alias("base_sha256"), listed(whole).alias("spans"))
+
+
 def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -125,6 +138,7 @@ QUERIES = {
     "op8_line_runs": op8_line_runs,
     "op9_canonical_digest": op9_canonical_digest,
     "op10_one_bit_codes": op10_one_bit_codes,
+    "op11_boosted_spans": op11_boosted_spans,
     "op12_bit_sliced_search": op12_bit_sliced_search,
     "op13_apriori_phrases": op13_apriori_phrases,
 }
