@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import texts
+from .budgets import spend
 
 #: Characters that each consumer may read.
 BUDGETS = (("answers", 10_000), ("freshness", 8_000), ("referral", 6_000))
@@ -23,34 +23,9 @@ def within_budgets(excerpts: DataFrame, budgets: tuple[tuple[str, int], ...]) ->
     page and place, as long as the budget of the site holds; a page ends at its first excerpt that does not fit, and a
     later page may still fit a smaller one.
 
-    Pages are first cut to what fits the largest budget alone; then sorted rows stream by, with two numbers of state for
-    each consumer."""
+    See budgets: only pages that can get something go through a site's task."""
     chars = F.least(F.length("text"), F.lit(EXCERPT)).cast("long")
-    rows = excerpts.select("site", F.col("page_id").cast("long").alias("page_id"), F.col("ord").cast("long").alias("ord"), chars.alias("chars"))
-    so_far = Window.partitionBy("site", "page_id").orderBy("ord", "chars").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sum", F.sum("chars").over(so_far)).filter(F.col("sum") <= max(n for _, n in budgets)).drop("sum")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at: object = run  # no site yet
-        used: list[int] = []
-        ended: list[int | None] = []
-        for pdf in batches:
-            out = []
-            for site, page, place, size in zip(pdf["site"], pdf["page_id"], pdf["ord"], pdf["chars"]):
-                if site != at:
-                    at, used, ended = site, [0] * len(budgets), [None] * len(budgets)
-                for i, (consumer, most) in enumerate(budgets):
-                    if ended[i] == page:
-                        continue
-                    if used[i] + size <= most:
-                        used[i] += size
-                        out.append((site, page, place, size, consumer))
-                    else:
-                        ended[i] = page
-            yield pd.DataFrame(out, columns=["site", "page_id", "ord", "chars", "consumer"])
-
-    rows = rows.repartition("site").sortWithinPartitions("site", "page_id", "ord", "chars")
-    return rows.mapInPandas(run, "site string, page_id long, ord long, chars long, consumer string")
+    return spend(excerpts.select("site", "page_id", "ord", chars.alias("chars")), budgets)
 
 
 def within_budget(excerpts: DataFrame, budget: int) -> DataFrame:

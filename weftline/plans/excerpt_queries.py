@@ -9,7 +9,7 @@ from ..functions import texts, urls
 from ..operators import excerpts
 from ..sources import pages as sources
 from ..sources.inline import Inline
-from . import audit, fragment_queries, schema_queries  # noqa: F401  (they register their queries)
+from . import audit, budget_queries, fragment_queries, schema_queries  # noqa: F401  (they register their queries)
 from .audit_queries import BLOCKS, ORACLES, PASSAGES, PRESENCE, QUERIES, RESULTS, query
 from .site_queries import BL, LK, LP, PG
 
@@ -90,13 +90,6 @@ def _(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.sum(F.length("line")).alias("chars"), F.sum(F.when(F.col("pages") > 1, F.length("line")).otherwise(0)).alias("shared"))
 
 
-@query("budgeted_excerpts")
-def _(spark, sf_dir):
-    """What each consumer gets of each site's blocks."""
-    b = sources.blocks(sources.read_pages(spark, sf_dir)).withColumnRenamed("line", "text")
-    return excerpts.within_budgets(b, excerpts.BUDGETS)
-
-
 @query("shared_prefixes", f"""WITH {PG}, {BL}, t AS (SELECT site, page_id, string_agg(line, chr(10) ORDER BY ord) AS text FROM bl GROUP BY ALL), s AS (SELECT site, page_id, text, unnest(generate_series(50, greatest(50, length(text) // 50 * 50), 50)) AS len FROM t WHERE length(text) >= 50),
     c AS (SELECT site, len, substring(text, 1, len) AS p, count(DISTINCT page_id) AS pages FROM s GROUP BY ALL), z AS (SELECT site, count(*) AS n FROM t GROUP BY 1) SELECT site, max(len)::INTEGER AS length FROM c JOIN z USING (site) WHERE 2 * pages >= n AND pages >= 2 AND len >= 50 GROUP BY 1""")
 def _(spark, sf_dir):
