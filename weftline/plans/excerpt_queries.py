@@ -9,7 +9,7 @@ from ..functions import texts, urls
 from ..operators import excerpts
 from ..sources import pages as sources
 from ..sources.inline import Inline
-from . import audit, budget_queries, fragment_queries, index_queries, schema_queries  # noqa: F401  (they register their queries)
+from . import audit, budget_queries, fragment_queries, index_queries, schema_queries, source_queries  # noqa: F401  (they register their queries)
 from .audit_queries import BLOCKS, ORACLES, PASSAGES, PRESENCE, QUERIES, RESULTS, query
 from .site_queries import BL, LK, LP, PG
 
