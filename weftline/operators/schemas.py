@@ -111,18 +111,21 @@ def depth(states: list[State]) -> int | None:
         return None
 
 
-def _kind(text: Column) -> Column:
-    """Type of a value by its JSON."""
+def _kind(value: Column, text: Column) -> Column:
+    """Type of a value, given with its JSON. Variants keep a fraction of zeros as a decimal, so 2.0 is no integer; whole numbers
+    beyond 64 bits are decimals too, of 19 digits or more, and those beyond 38 digits count as numbers."""
     first = F.substring(text, 1, 1)
-    return (
-        F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean")
-        .when(first == "n", "null").when(text.rlike("^-?[0-9]+$"), "integer").otherwise("number")
+    own = F.schema_of_variant(value)
+    scalar = (
+        F.when(own == "STRING", "string").when(own == "BOOLEAN", "boolean").when(own == "VOID", "null")
+        .when((own == "BIGINT") | own.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), "integer").otherwise("number")
     )
+    return F.when(first == "{", "object").when(first == "[", "array").otherwise(scalar)
 
 
 def _level(rows: DataFrame, states: DataFrame) -> DataFrame:
     """One level down. Rows (k, path, state, v, rule, expected, got): state is null for violations, which stay."""
-    rows = rows.withColumn("text", F.to_json("v")).withColumn("kind", _kind(F.col("text")))
+    rows = rows.withColumn("text", F.to_json("v")).withColumn("kind", _kind(F.col("v"), F.col("text")))
     rows = rows.join(F.broadcast(states), "state", "left")
     rows = rows.withColumn("string", F.when(F.col("kind") == "string", F.col("v").cast("string")))
     rows = rows.withColumn("entries", F.when(F.col("kind") == "object", F.map_entries(F.col("v").cast("map<string,variant>"))))
