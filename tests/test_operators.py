@@ -140,8 +140,11 @@ def plain_cited(blocks):
     for p, _, t in sorted(folded):
         pages.setdefault(t, []).append(p)
     pages = {t: sorted(set(ps)) for t, ps in pages.items()}
+    place = {}
+    for p, o, t in sorted(folded, reverse=True):
+        place[t] = (p, o)
     shared, spent = [], 0
-    for t, ps in sorted(pages.items(), key=lambda kv: (-len(kv[1]), -len(kv[0]), kv[1][0], kv[0])):
+    for t, ps in sorted(pages.items(), key=lambda kv: (-len(kv[1]), -len(kv[0]), place[kv[0]])):
         if len(ps) > 1 and len(shared) < 14 and spent + len(t) <= 3000:
             shared.append(t)
             spent += len(t)

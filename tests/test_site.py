@@ -55,11 +55,6 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_name_variants(spark):
-    got = {(r.site, r.nth, r.names) for r in QUERIES["name_variants"](spark, SF).collect()}
-    assert got == {("a", 1, "Acme Software|Acme|Software Museum"), ("a", 2, "Mercury"), ("b", 1, "3 14 Python|Python Docs|14"), ("b", 2, "14 Docs")}
-
-
 def test_fragments_of_no_rows(spark):
     lines = spark.createDataFrame([], "site string, name string, line string")
     assert fragments.fragment_results(fragments.read_fragments(lines)).count() == 0
@@ -73,11 +68,6 @@ def test_handed_findings_are_written(spark, tmp_path):
     assert {r.consumer for r in spark.read.json(str(tmp_path / "out")).collect()} == set(fragments.CONSUMERS)
 
 
-def test_name_groups(spark):
-    got = {(r.site, r.names) for r in QUERIES["name_groups"](spark, SF).collect()}
-    assert got == {("a", "Acme|Acme Software"), ("b", "Mercury"), ("d", "Orion Foundation"), ("e", "Delta Inc.")}
-
-
 def test_parser_ends_open_links_and_headings():
     page = parse_page(1, "http://a/x/", '<body><a href="y">one<p>two</p><h2 id=q>Head<div>three</div><a href="../z">four</a></body>')
     assert page["blocks"] == ["two", "three"]
@@ -164,7 +154,9 @@ def test_page_checks_read_the_page_table(spark, tmp_path):
 
 def test_one_audit_from_pages_to_report(spark, tmp_path):
     from weftline.plans import audit
-    from weftline.plans.audit_queries import FILES, HTML
+    from weftline.plans.audit_queries import HTML
+
+    from .fixtures import FILES
     from weftline.plans.catalog import CHECKS
 
     HTML.df(spark).drop("site").write.parquet(str(tmp_path / "pages.parquet"))

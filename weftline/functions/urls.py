@@ -61,18 +61,34 @@ def template_key(raw: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.regexp_replace(s, "[0-9]+", "{d}")), "/"))
 
 
+def _without_dots(url: Column) -> Column:
+    """A URL whose path has no dot segments: `.` goes, `..` goes with the segment before it, as far as there is one."""
+    parts = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$"
+    segments = F.split(F.regexp_extract(url, parts, 2), "/")
+
+    def step(kept, s):
+        above = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))  # the first is what stands before the first slash
+        return F.when(s == "..", above).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    # A path that ends in a dot segment is a folder.
+    last = F.element_at(segments, -1)
+    path = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/\.\.?(?:[/?#]|$)"), F.concat(F.regexp_extract(url, parts, 1), path, F.regexp_extract(url, parts, 3))).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """href as an absolute URL, for references without dot segments; others than http(s) stay as they are."""
+    """href as an absolute URL, without dot segments; what has a host of its own stays as it is."""
     root = F.regexp_extract(base, _HEAD.replace("^", "^(", 1) + r"[^/?#]*)", 1)
     folder = F.regexp_extract(base, _HEAD.replace("^", "^(", 1) + r"[^/?#]*(?:/[^?#]*/|/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(root, F.lit("/")))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), _without_dots(F.concat(root, href)))
         .when(href.startswith("#") | (href == ""), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href))
         .when(href.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(_without_dots(F.concat(folder, href)))
     )
 
 

@@ -74,20 +74,24 @@ def cited_runs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(shared, own) of blocks (site, page_id, ord, line): runs of LEAST_RUN to MOST_RUN characters, white space folded.
 
     shared (site, rank, line, chars, pages, example): runs of several pages, of most pages first and then the longest, ties by
-    first page and text; each that fits a third of RUN_BUDGET, MOST_SHARED at most. own (site, page_id, rank, line, chars,
+    their first place; each that fits a third of RUN_BUDGET, MOST_SHARED at most. own (site, page_id, rank, line, chars,
     pages): of each page the RUNS_OF_PAGE that fewest pages carry, then the longest, without shared ones; in page order, as
-    long as what is left of the budget holds, a page up to its first run that does not fit."""
+    long as what is left of the budget holds, a page up to its first run that does not fit.
+
+    Runs are counted and chosen by 128 bits of hash; only the places of what is chosen fetch their text."""
+    keys = ["site", "h1", "h2"]
     line = texts.fold_spaces(F.col("line"))
     runs = blocks.select("site", F.col("page_id").cast("long").alias("page_id"), F.col("ord").cast("long").alias("ord"), line.alias("line"))
     runs = runs.withColumn("chars", F.length("line").cast("long")).filter(F.col("chars").between(LEAST_RUN, MOST_RUN))
-    once = runs.groupBy("site", "page_id", "line", "chars").agg(F.min("ord").alias("ord"))
-    carried = once.groupBy("site", "line", "chars").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("example"))
+    hashed = runs.select("site", "page_id", "ord", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    once = hashed.groupBy(*keys, "page_id", "chars").agg(F.min("ord").alias("ord"))
+    carried = once.groupBy(*keys, "chars").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id", "ord")).alias("example"))
 
     third = RUN_BUDGET // 3
-    best = [F.desc("pages"), F.desc("chars"), F.col("example"), F.col("line")]
+    best = [F.desc("pages"), F.desc("chars"), F.col("example")]
     several = carried.filter("pages > 1").withColumn("nth", F.row_number().over(Window.partitionBy("site", "chars").orderBy(*best)))
     several = several.filter(F.col("nth") <= MOST_SHARED).filter(F.col("nth") * F.col("chars") <= third)
-    item = F.struct((-F.col("pages")).alias("p"), (-F.col("chars")).alias("c"), "example", "line", "pages", "chars")
+    item = F.struct((-F.col("pages")).alias("p"), (-F.col("chars")).alias("c"), "example", "pages", "chars", "h1", "h2")
     # Of one site at most MOST_SHARED runs of each length, so the array does not grow with the site.
     listed = several.groupBy("site").agg(F.array_sort(F.collect_list(item)).alias("all"))
     start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<int>").alias("taken"))
@@ -98,16 +102,21 @@ def cited_runs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(fits, F.struct((acc["spent"] + x["chars"]).alias("spent"), F.concat(acc["taken"], F.array(x["i"])).alias("taken"))).otherwise(acc)
 
     chosen = listed.withColumn("done", F.aggregate(places, start, take))
-    shared = chosen.select("site", F.posexplode(F.transform("done.taken", lambda i: F.get("all", i))).alias("nth", "x"))
-    shared = shared.select("site", (F.col("nth") + 1).alias("rank"), "x.line", "x.chars", "x.pages", "x.example")
+    chosen = chosen.select("site", "done.spent", F.transform("done.taken", lambda i: F.get("all", i)).alias("items"))
+    hoisted = chosen.select("site", F.posexplode("items").alias("nth", "x")).select("site", (F.col("nth") + 1).alias("rank"), "x.*")
 
-    own = once.join(carried.select("site", "line", "pages"), ["site", "line"]).join(shared.select("site", "line"), ["site", "line"], "left_anti")
+    own = once.join(carried.select(*keys, "pages"), keys).join(hoisted.select(*keys), keys, "left_anti")
     rank = F.row_number().over(Window.partitionBy("site", "page_id").orderBy("pages", F.desc("chars"), "ord"))
-    own = own.withColumn("rank", rank).filter(F.col("rank") <= RUNS_OF_PAGE)
-    spent = chosen.select("site", F.col("done.spent").alias("spent"))
-    priced = own.join(spent, "site", "left").select("site", "page_id", F.col("rank").alias("ord"), "chars", F.coalesce("spent", F.lit(0)).alias("spent"))
+    own = own.withColumn("rank", rank).filter(F.col("rank") <= RUNS_OF_PAGE).select("site", "page_id", "rank", "ord", "chars", "pages")
+    priced = own.join(chosen.select("site", "spent"), "site", "left")
+    priced = priced.select("site", "page_id", F.col("rank").alias("ord"), "chars", F.coalesce("spent", F.lit(0)).alias("spent"))
     kept = spend(priced, (("", RUN_BUDGET),)).select("site", "page_id", F.col("ord").cast("int").alias("rank"))
-    return shared, own.select("site", "page_id", "rank", "line", "chars", "pages").join(kept, ["site", "page_id", "rank"], "left_semi")
+    own = own.join(kept, ["site", "page_id", "rank"], "left_semi")
+
+    text = runs.select("site", "page_id", "ord", "line")
+    shared = hoisted.select("site", "rank", "chars", "pages", "example.page_id", "example.ord").join(text, ["site", "page_id", "ord"])
+    shared = shared.select("site", "rank", "line", "chars", "pages", F.col("page_id").alias("example"))
+    return shared, own.join(text, ["site", "page_id", "ord"]).select("site", "page_id", "rank", "line", "chars", "pages")
 
 
 def claim_matrix(claims: DataFrame, site: str, page: str) -> DataFrame:

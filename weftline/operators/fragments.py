@@ -104,26 +104,3 @@ def handed(findings: DataFrame, consumers: tuple[str, ...] = CONSUMERS) -> DataF
 def write_handed(rows: DataFrame, folder: str) -> None:
     """JSON lines in a folder for each consumer; rows of one consumer are spread over files as they come."""
     rows.write.mode("overwrite").partitionBy("consumer").json(folder)
-
-
-def name_groups(names: DataFrame) -> DataFrame:
-    """(site, nth, names) of names (site, ord, words, name): a name joins the first group whose first name has all of its
-    words, or only words of it, or shares a word of three letters; else it founds one. Names without words are left out.
-
-    The order counts, so a site's distinct names are one array: equal names are taken together before."""
-    once = first_by(names.filter(F.size("words") > 0), ["site", "name"], ["ord"])
-    listed = once.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "words"))).alias("all"))
-    telling = lambda words: F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
-
-    def alike(a, b):
-        inside = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
-        return inside | F.arrays_overlap(telling(a), telling(b))
-
-    def fold(groups, x):
-        hit = F.array_position(F.transform(groups, lambda g: alike(g["words"], x["words"])), True)
-        joined = F.transform(groups, lambda g, i: F.struct(g["words"].alias("words"), F.when(i == hit - 1, F.concat(g["names"], F.array(x["name"]))).otherwise(g["names"]).alias("names")))
-        return F.when(hit > 0, joined).otherwise(F.concat(groups, F.array(F.struct(x["words"].alias("words"), F.array(x["name"]).alias("names")))))
-
-    start = F.array().cast("array<struct<words:array<string>,names:array<string>>>")
-    groups = listed.select("site", F.posexplode(F.aggregate("all", start, fold)).alias("nth", "g"))
-    return groups.select("site", (F.col("nth") + 1).alias("nth"), F.array_join("g.names", "|").alias("names"))

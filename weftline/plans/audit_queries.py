@@ -1,7 +1,7 @@
 """Checks of the pages themselves, and queries for what the driver's pages do not hold: robots files, probes, headers and
 results, given as small tables.
 
-Both engines read the same inline rows, in which nulls stand for what was not observed."""
+What the pages do not hold is derived from them (observed.py); nulls stand for what was not observed."""
 
 from __future__ import annotations
 
@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as claim_functions
 from ..functions import texts, urls
-from ..operators import checks, robots, runs
+from ..operators import checks, phrase_index, robots, runs
 from ..sources import pages as sources
+from ..sources import snapshots
+from ..sources.derived import Derived, ctes
 from ..sources.inline import Inline
-from ..sources.parse import inflate, parse_pages
+from ..sources.parse import parse_pages
 from . import report
 from .catalog import CATALOG, SURFACES
+from .observed import (FILES, PATHS, RFETCH, HEADS, BOTS, CANON, CHAINS, UA, MAPS, SITEMAP, ALTS, LLMS, ROT, TIMES, PRESENCE, NAMES, MISSING, VARIANTS, DATES, LEVELS, QUESTIONS, TARGETS, BLOCKS, PASSAGES, RESOLVE, RESULTS, IDEAS, VERDICTS, MEASURES, PROBES, PROMPTS, SPACED, TOKENS,)
 from .site_queries import PG, np_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The tables that a query derives from the pages or has in code.
+TABLES: dict[str, tuple] = {}
 
 
-def query(name: str, sql: str | None = None, *tables: Inline):
+def query(name: str, sql: str | None = None, *tables: Inline | Derived):
     def register(f):
         QUERIES[name] = f
         if sql:
-            ctes = ", ".join(t.cte() for t in tables)
-            ORACLES[name] = (f"WITH {ctes}" + (", " if sql.startswith("+") else " ") + sql.lstrip("+")) if tables else sql
+            TABLES[name] = tables
+            ORACLES[name] = (f"WITH RECURSIVE {ctes(tables, PG)}" + (", " if sql.startswith("+") else " ") + sql.lstrip("+")) if tables else sql
         return f
 
     return register
@@ -39,15 +44,6 @@ SHORT = ("site", "gate", "severity", "confidence")
 
 # ---- robots ---------------------------------------------------------------------------------------------------------
 
-_ROBOTS = (
-    ("a", "User-agent: *\nDisallow: /private # no\nAllow: /private/open\n\nUser-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /\nAllow: /docs\n"),
-    ("b", "# all\nUser-agent: *\nDisallow:\nSitemap: https://b/s.xml\nUser-agent: OAI-SearchBot\nDisallow: /pricing\nDisallow: /p\nAllow: /pricing\n"),
-    ("c", "User-agent: GPTBot\nDisallow: /\n"),
-    ("d", "User-agent: Googlebot\nDisallow:\n\nUser-agent: *\nDisallow: /\n"),
-    ("e", "User-agent: *\nDisallow: /*\nAllow: /docs/1$\nAllow: /pri*\nDisallow: /private/open*$\nDisallow: /pro*uct\n"),
-)
-FILES = Inline("files", "site string, body string", tuple((s, b.replace("\n", "|")) for s, b in _ROBOTS))
-PATHS = Inline("paths", "site string, path string", tuple((s, p) for s in "abcde" for p in ("/", "/private/x", "/private/open/y", "/docs/1", "/pricing", "/product")))
 _RULES = r"""li AS (SELECT site, unnest(string_split(body, '|')) AS raw, generate_subscripts(string_split(body, '|'), 1) - 1 AS ord FROM files),
   fv AS (SELECT site, ord, lower(trim(regexp_extract(trim(regexp_replace(raw, '#.*$', '')), '^([^:]*):', 1))) AS field, trim(regexp_extract(trim(regexp_replace(raw, '#.*$', '')), '^[^:]*:(.*)$', 1)) AS value FROM li),
   fl AS (SELECT *, coalesce(lag(field) OVER (PARTITION BY site ORDER BY ord), '') AS was FROM fv WHERE field IN ('user-agent', 'allow', 'disallow')),
@@ -60,56 +56,47 @@ _DECIDE = """ma AS (SELECT p.site, e.token, p.path, e.rule, e.kind, e.named, len
   de AS (SELECT site, token, path, max_by(rule, size) FILTER (WHERE hit) AS rule, coalesce(max_by(kind, size) FILTER (WHERE hit) = 'disallow', FALSE) AS blocked, bool_or(named) AS named FROM ma GROUP BY ALL)"""
 
 
-def robots_rules(spark: SparkSession) -> DataFrame:
-    return robots.parse(FILES.df(spark).withColumn("body", F.translate("body", "|", "\n")))
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robots.parse(FILES.df(spark, sf_dir).withColumn("body", F.translate("body", "|", "\n")))
 
 
-def robots_decisions(spark: SparkSession) -> DataFrame:
-    rules = robots_rules(spark)
+def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = robots_rules(spark, sf_dir)
     named = rules.select("site", "token").distinct().withColumn("named", F.lit(True))
-    decided = robots.decide(PATHS.df(spark), robots.effective(rules, SURFACES.df(spark)))
+    decided = robots.decide(PATHS.df(spark, sf_dir), robots.effective(rules, SURFACES.df(spark)))
     return decided.join(named, ["site", "token"], "left").withColumn("named", F.coalesce("named", F.lit(False)))
 
 
 @query("robots_rules", f"+{_RULES} SELECT site, grp, token, kind, rule, ord::INTEGER AS ord FROM ru", FILES)
 def _(spark, sf_dir):
-    return robots_rules(spark)
+    return robots_rules(spark, sf_dir)
 
 
 @query("robots_longest_match", f"+{_RULES}, {_EFFECTIVE}, {_DECIDE} SELECT site, token, path, rule, blocked FROM de", FILES, PATHS, SURFACES)
 def _(spark, sf_dir):
-    return robots_decisions(spark).select("site", "token", "path", "rule", "blocked")
+    return robots_decisions(spark, sf_dir).select("site", "token", "path", "rule", "blocked")
 
 
-@query("token_roles", "SELECT t.token, coalesce(s.role, CASE WHEN t.token = '*' THEN 'wildcard' ELSE 'unknown' END) AS role FROM (VALUES ('Googlebot'), ('*'), ('SomeBot'), ('GPTBot')) t(token) LEFT JOIN surfaces s USING (token)", SURFACES)
+@query("token_roles", "SELECT t.page_id, t.token, coalesce(s.role, CASE WHEN t.token = '*' THEN 'wildcard' ELSE 'unknown' END) AS role FROM tokens t LEFT JOIN surfaces s USING (token)", TOKENS, SURFACES)
 def _(spark, sf_dir):
-    seen = spark.createDataFrame([("Googlebot",), ("*",), ("SomeBot",), ("GPTBot",)], "token string")
     role = F.coalesce("role", F.when(F.col("token") == "*", "wildcard").otherwise("unknown"))
-    return seen.join(F.broadcast(SURFACES.df(spark)), "token", "left").select("token", role.alias("role"))
+    return TOKENS.df(spark, sf_dir).join(F.broadcast(SURFACES.df(spark)), "token", "left").select("page_id", "token", role.alias("role"))
 
 
 @query("check_robots_role", f"""+{_RULES}, {_EFFECTIVE}, {_DECIDE}, h AS (SELECT d.site, bool_or(blocked AND named) AS hit, bool_or(blocked AND named AND path = '/') AS root FROM de d JOIN tk USING (token) WHERE role = 'search-index' GROUP BY 1)
   SELECT site, CASE WHEN hit THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN hit THEN CASE WHEN root THEN 'critical' ELSE 'high' END END AS severity, CASE WHEN hit THEN 'high' END AS confidence FROM h""", FILES, PATHS, SURFACES)
 def _(spark, sf_dir):
-    return checks.robots_role(robots_decisions(spark), SURFACES.df(spark).filter("role = 'search-index'")).select(*SHORT)
-
-
-RFETCH = Inline("rf", "site string, status int, attempt int", (("a", 200, 1), ("b", 404, 1), ("c", 503, 1), ("c", 503, 2), ("d", 500, 1), ("e", 503, 1), ("e", 200, 2), ("f", None, 1)))
+    return checks.robots_role(robots_decisions(spark, sf_dir), SURFACES.df(spark).filter("role = 'search-index'")).select(*SHORT)
 
 
 @query("check_robots_unavailable", """, l AS (SELECT site, max_by(status, attempt) AS status, max(attempt) AS attempts FROM rf GROUP BY 1), g AS (SELECT *, CASE WHEN status = 404 OR status < 400 THEN 'pass' ELSE 'finding' END AS gate FROM l)
   SELECT site, gate, CASE WHEN gate = 'finding' THEN 'high' END AS severity, CASE WHEN gate = 'finding' THEN CASE WHEN attempts >= 2 THEN 'high' ELSE 'low' END END AS confidence FROM g""".replace(", l AS", "+l AS", 1), RFETCH)
 def _(spark, sf_dir):
-    return checks.robots_unavailable(RFETCH.df(spark)).select(*SHORT)
+    return checks.robots_unavailable(RFETCH.df(spark, sf_dir)).select(*SHORT)
 
 
 # ---- reach ----------------------------------------------------------------------------------------------------------
 
-HEADS = Inline("heads", "site string, url string, path string, page_class string, robots_meta string, x_robots_tag string", (
-    ("a", "http://a/", "/", "homepage", "NoIndex, follow", None), ("a", "http://a/p", "/p", "product", "index", "max-snippet:0"), ("b", "http://b/", "/", "homepage", "all", None),
-    ("b", "http://b/x", "/x", "other", "noindex", None), ("c", "http://c/about", "/about", "about", None, "none; noarchive"), ("d", "http://d/", "/", "homepage", "nocache", None),
-))
-BOTS = Inline("bots", "site string, path string, noindex boolean", (("c", "/about", False), ("a", "/", True)))
 _NAMES = "nm AS (SELECT *, list_transform(list_filter(list_transform(string_split_regex(lower(concat_ws(',', robots_meta, x_robots_tag)), '[,;]'), lambda p: trim(p)), lambda p: p <> ''), lambda p: p) AS names FROM heads WHERE page_class <> 'other')"
 
 
@@ -118,28 +105,22 @@ _NAMES = "nm AS (SELECT *, list_transform(list_filter(list_transform(string_spli
   SELECT site, CASE WHEN o THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN o THEN CASE WHEN root THEN 'critical' ELSE 'high' END END AS severity, CASE WHEN o THEN CASE WHEN doubt THEN 'low' ELSE 'high' END END AS confidence FROM s
   UNION ALL SELECT site, 'finding', 'high', 'high' FROM s WHERE c""", HEADS, BOTS)
 def _(spark, sf_dir):
-    return checks.index_control(HEADS.df(spark), BOTS.df(spark)).select(*SHORT)
+    return checks.index_control(HEADS.df(spark, sf_dir), BOTS.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("check_noarchive", f"""+{_NAMES}, s AS (SELECT site, bool_or(list_contains(names, 'noarchive')) AS a, bool_or(list_contains(names, 'nocache')) AS c FROM nm GROUP BY 1)
   SELECT site, CASE WHEN a OR c THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN a THEN 'high' WHEN c THEN 'medium' END AS severity, CASE WHEN a OR c THEN 'high' END AS confidence FROM s""", HEADS)
 def _(spark, sf_dir):
-    return checks.noarchive(HEADS.df(spark)).select(*SHORT)
+    return checks.noarchive(HEADS.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("directive_entries", """+p AS (SELECT url, unnest(string_split_regex(lower(concat_ws(',', robots_meta, x_robots_tag)), '[,;]')) AS part FROM heads)
   SELECT url, trim(regexp_replace(part, ':.*$', '')) AS name, CASE WHEN contains(part, ':') THEN trim(regexp_extract(part, ':(.*)$', 1)) END AS value FROM p WHERE trim(part) <> ''""", HEADS)
 def _(spark, sf_dir):
-    d = HEADS.df(spark).select("url", F.explode(texts.directives(F.concat_ws(",", "robots_meta", "x_robots_tag"))).alias("d"))
+    d = HEADS.df(spark, sf_dir).select("url", F.explode(texts.directives(F.concat_ws(",", "robots_meta", "x_robots_tag"))).alias("d"))
     return d.select("url", "d.name", "d.value")
 
 
-CANON = Inline("canon", "site string, url string, canonical string, redirected boolean", (
-    ("a", "https://www.a.com/x/", "http://a.com/x", False), ("b", "https://b.com/1", "https://b.com/", False), ("b", "https://b.com/2", "https://b.com", False), ("c", "https://c.com/1", "https://c.com/2", True),
-    ("c", "https://c.com/3", "https://c.com/4", True), ("c", "https://c.com/5", "https://c.com/5", False), ("d", "https://d.com/1", "https://d.com/2", False), ("d", "https://d.com/3", None, False),
-))
-
-
 def _key_sql(c: str) -> str:
     return rf"(regexp_replace(lower(regexp_extract({c}, '^[a-z]*://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_replace(regexp_extract({c}, '^[a-z]*://[^/?#]*([^?#]*)', 1), '/index\.html?$', ''), '/+$', ''))"
 
@@ -149,75 +130,54 @@ def _key_sql(c: str) -> str:
   g AS (SELECT *, CASE WHEN n = 0 OR (n >= 2 AND targets = 1) THEN 'pass' ELSE 'finding' END AS gate FROM s)
   SELECT site, gate, CASE WHEN gate = 'finding' THEN CASE WHEN moved > 0 AND n >= greatest(2, al / 2) THEN 'high' ELSE 'medium' END END AS severity, CASE WHEN gate = 'finding' THEN CASE WHEN moved > 0 THEN 'high' WHEN n <= 2 THEN 'low' ELSE 'medium' END END AS confidence FROM g""", CANON)
 def _(spark, sf_dir):
-    return checks.canonical_conflict(CANON.df(spark)).select(*SHORT)
-
-
-CHAINS = Inline("chains", "site string, url string, redirect_chain array<string>", (
-    ("a", "http://a/1", ["http://a/1"]), ("b", "http://b/1", ["http://b/1", "https://B/1", "http://b/1"]), ("c", "http://c/1", ["http://c/1", "https://c/1", "https://c/2", "https://c/3", "https://c/4"]), ("d", "http://d/1", ["http://d/1", "https://d/1/"]),
-))
+    return checks.canonical_conflict(CANON.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("check_redirect_loop", """+k AS (SELECT site, list_transform(redirect_chain, lambda u: lower(regexp_extract(u, '^([a-z]*://[^/]*)', 1)) || regexp_extract(u, '^[a-z]*://[^/]*(.*)$', 1)) AS ks FROM chains),
   s AS (SELECT site, bool_or(len(list_distinct(ks)) < len(ks)) AS l, max(len(ks) - 1) AS hops FROM k GROUP BY 1)
   SELECT site, CASE WHEN l OR hops >= 4 THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN l THEN 'high' WHEN hops >= 4 THEN 'medium' END AS severity, CASE WHEN l OR hops >= 4 THEN 'high' END AS confidence FROM s""", CHAINS)
 def _(spark, sf_dir):
-    return checks.redirect_loop(CHAINS.df(spark)).select(*SHORT)
-
-
-UA = Inline("ua", "site string, token string, path string, status int, browser_status int", (("a", "GPTBot", "/", 403, 200), ("a", "Googlebot", "/", 200, 200), ("b", "GPTBot", "/", 200, 200), ("c", "GPTBot", "/", None, 200), ("d", "Bingbot", "/", 404, 200), ("e", "Bingbot", "/", 403, 403)))
+    return checks.redirect_loop(CHAINS.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("check_bot_challenge", """+s AS (SELECT site, bool_or(coalesce(status <> browser_status AND status IN (401, 403, 429, 503), FALSE)) AS hit, bool_or(status IS NOT NULL AND browser_status IS NOT NULL) AS seen FROM ua GROUP BY 1)
   SELECT site, CASE WHEN hit THEN 'finding' WHEN seen THEN 'pass' ELSE 'not_evaluated' END AS gate, CASE WHEN hit THEN 'high' END AS severity, CASE WHEN hit THEN 'medium' END AS confidence FROM s""", UA)
 def _(spark, sf_dir):
-    return checks.bot_challenge(UA.df(spark)).select(*SHORT)
-
-
-MAPS = Inline("maps", "site string, declared boolean, status int, parse_ok boolean", (("a", True, 200, True), ("b", True, 404, None), ("c", True, 200, False), ("d", False, 404, None), ("e", True, None, None)))
+    return checks.bot_challenge(UA.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("check_sitemap_invalid", """+s AS (SELECT site, count(*) FILTER (WHERE declared AND (coalesce(status >= 400, TRUE) OR NOT coalesce(parse_ok, FALSE))) AS n FROM maps GROUP BY 1)
   SELECT site, CASE WHEN n > 0 THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN n > 0 THEN 'medium' END AS severity, CASE WHEN n > 0 THEN 'high' END AS confidence FROM s""", MAPS)
 def _(spark, sf_dir):
-    return checks.sitemap_invalid(MAPS.df(spark)).select(*SHORT)
+    return checks.sitemap_invalid(MAPS.df(spark, sf_dir)).select(*SHORT)
 
 
-SITEMAP = Inline("sitemap", "site string, body string", (
-    ("a", "<urlset><url><loc>http://a/1</loc><lastmod>2024-01-01</lastmod></url><url><loc>http://a/2</loc><lastmod>2024-01-01</lastmod></url></urlset>"), ("b", "<urlset><url><loc>http://b/1</loc></url></urlset>"),
-    ("c", "<urlset><url><loc>http://c/1</loc><lastmod>2024-01-01</lastmod></url><url><loc>http://c/2</loc><lastmod>2024-03-01</lastmod></url></urlset>"),
-))
 _ENTRIES = "en AS (SELECT site, regexp_extract(u, '<loc>([^<]*)</loc>', 1) AS url, nullif(regexp_extract(u, '<lastmod>([^<]*)</lastmod>', 1), '') AS lastmod, ord FROM (SELECT site, unnest(regexp_extract_all(body, '<url>.*?</url>')) AS u, generate_subscripts(regexp_extract_all(body, '<url>.*?</url>'), 1) AS ord FROM sitemap))"
 
 
-def sitemap_entries(spark: SparkSession) -> DataFrame:
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(site, url, lastmod, ord) of sitemaps, by the XML functions of SQL."""
     schema = "struct<url: array<struct<loc: string, lastmod: string>>>"
-    rows = SITEMAP.df(spark).select("site", F.posexplode(F.expr(f"from_xml(body, '{schema}').url")).alias("ord", "u"))
+    rows = SITEMAP.df(spark, sf_dir).select("site", F.posexplode(F.expr(f"from_xml(body, '{schema}').url")).alias("ord", "u"))
     return rows.select("site", F.col("u.loc").alias("url"), F.col("u.lastmod").alias("lastmod"), (F.col("ord") + 1).cast("long").alias("ord"))
 
 
 @query("sitemap_entries", f"+{_ENTRIES} SELECT site, url, lastmod, ord FROM en", SITEMAP)
 def _(spark, sf_dir):
-    return sitemap_entries(spark)
+    return sitemap_entries(spark, sf_dir)
 
 
 @query("check_lastmod_uniform", f"""+{_ENTRIES}, s AS (SELECT site, count(lastmod) AS present, count(DISTINCT lastmod) AS d FROM en GROUP BY 1)
   SELECT site, CASE WHEN present = 0 THEN 'not_evaluated' WHEN d <= 1 THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN present > 0 AND d <= 1 THEN 'low' END AS severity, CASE WHEN present > 0 AND d <= 1 THEN 'medium' END AS confidence FROM s""", SITEMAP)
 def _(spark, sf_dir):
-    return checks.lastmod_uniform(sitemap_entries(spark)).select(*SHORT)
+    return checks.lastmod_uniform(sitemap_entries(spark, sf_dir)).select(*SHORT)
 
 
-@query("page_lastmod_join", f"+{_ENTRIES}, p(url) AS (VALUES ('http://a/1/'), ('http://b/1'), ('http://z/1')) SELECT p.url, lastmod FROM p LEFT JOIN en ON regexp_replace(p.url, '/+$', '') = regexp_replace(en.url, '/+$', '')", SITEMAP)
+@query("page_lastmod_join", f"+{_ENTRIES} SELECT p.page_id, p.url, lastmod FROM targets p LEFT JOIN en ON regexp_replace(p.url, '/+$', '') = regexp_replace(en.url, '/+$', '')", SITEMAP, TARGETS)
 def _(spark, sf_dir):
-    p = spark.createDataFrame([("http://a/1/",), ("http://b/1",), ("http://z/1",)], "url string")
     key = lambda c: F.regexp_replace(c, "/+$", "")
-    entries = sitemap_entries(spark).select(key("url").alias("k"), "lastmod")
-    return p.join(entries, key("url") == F.col("k"), "left").select("url", "lastmod")
-
-
-ALTS = Inline("alts", "site string, url string, path string, lang string, alt_lang string, alt_href string", (
-    ("a", "http://a/en", "/en", "en", "de", "http://a/de"), ("a", "http://a/de", "/de", "de", "en", "http://a/en"), ("b", "http://b/en", "/en", "en", "fr", "http://b/fr"), ("b", "http://b/fr", "/fr", "fr", "fr", "http://b/fr"), ("c", "http://c/en", "/en", "en", "english", "http://c/en"),
-))
+    entries = sitemap_entries(spark, sf_dir).select(key("url").alias("k"), "lastmod")
+    return TARGETS.df(spark, sf_dir).join(entries, key("url") == F.col("k"), "left").select("page_id", "url", "lastmod")
 
 
 @query("check_hreflang", r"""+e AS (SELECT site, path, lang, lower(alt_lang) AS alt, regexp_extract(alt_href, '^[a-z]*://[^/]*(.*)$', 1) AS to_path FROM alts), b AS (SELECT site, path AS to_path, list(lower(alt_lang)) AS back FROM alts GROUP BY ALL),
@@ -225,34 +185,25 @@ ALTS = Inline("alts", "site string, url string, path string, lang string, alt_la
   s AS (SELECT site, count(*) FILTER (WHERE bad) AS n FROM j GROUP BY 1)
   SELECT site, CASE WHEN n > 0 THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN n > 0 THEN 'medium' END AS severity, CASE WHEN n > 0 THEN 'high' END AS confidence FROM s""", ALTS)
 def _(spark, sf_dir):
-    rows = ALTS.df(spark).groupBy("site", "url", "path", "lang").agg(F.collect_list(F.struct(F.col("alt_lang").alias("lang"), F.col("alt_href").alias("href"))).alias("alternates"))
+    rows = ALTS.df(spark, sf_dir).groupBy("site", "url", "path", "lang").agg(F.collect_list(F.struct(F.col("alt_lang").alias("lang"), F.col("alt_href").alias("href"))).alias("alternates"))
     return checks.hreflang(rows).select(*SHORT)
 
 
-LLMS = Inline("llms", "site string, site_type string, llms_status int", (("a", "docs-developer", 404), ("b", "docs-developer", 200), ("c", "ecommerce", 404), ("d", "docs-developer", None)))
-
-
 @query("check_llms_txt", "SELECT site, CASE WHEN site_type <> 'docs-developer' OR llms_status IS NULL THEN 'not_evaluated' WHEN llms_status <> 200 THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN site_type = 'docs-developer' AND llms_status <> 200 THEN 'low' END AS severity, CASE WHEN site_type = 'docs-developer' AND llms_status <> 200 THEN 'high' END AS confidence FROM llms", LLMS)
 def _(spark, sf_dir):
-    return checks.llms_txt(LLMS.df(spark)).select(*SHORT)
-
-
-ROT = Inline("rot", "site string, url string, status int", (("a", "http://a/x", 404), ("b", "http://b/x", 410), ("c", "http://c/1", 404), ("c", "http://c/2", 500), ("c", "http://c/3", 404), ("d", "http://d/pricing", 404), ("e", "http://e/1", None), ("f", "http://f/1", 200)))
+    return checks.llms_txt(LLMS.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("check_link_rot", """+s AS (SELECT site, count(*) FILTER (WHERE status >= 400 AND status <> 410) AS n, count(status) AS seen, bool_or(coalesce(status >= 400 AND status <> 410, FALSE) AND regexp_matches(url, 'pricing|plans|buy|contact')) AS d FROM rot GROUP BY 1)
   SELECT site, CASE WHEN n > 0 THEN 'finding' WHEN seen > 0 THEN 'pass' ELSE 'not_evaluated' END AS gate, CASE WHEN n > 0 THEN CASE WHEN n >= 3 OR d THEN 'medium' ELSE 'low' END END AS severity, CASE WHEN n > 0 THEN 'medium' END AS confidence FROM s""", ROT)
 def _(spark, sf_dir):
-    return checks.link_rot(ROT.df(spark)).select(*SHORT)
-
-
-TIMES = Inline("times", "site string, status int, timing_ms long", tuple([("a", 200, t) for t in (300, 320, 340, 9000)] + [("b", 200, t) for t in (3000, 3200, 3400)] + [("c", 200, t) for t in (6000, 6100, 6200)] + [("d", 200, 9000), ("d", 200, 9100), ("d", 503, 9200)] + [("e", 500, 1)]))
+    return checks.link_rot(ROT.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("check_fetch_latency", """+g AS (SELECT site, floor(median(timing_ms))::BIGINT AS m, count(*) AS n FROM times WHERE status < 400 AND timing_ms > 0 GROUP BY 1), s AS (SELECT * FROM (SELECT DISTINCT site FROM times) LEFT JOIN g USING (site))
   SELECT site, CASE WHEN coalesce(n < 3, TRUE) THEN 'not_evaluated' WHEN m >= 2500 THEN 'finding' ELSE 'pass' END AS gate, CASE WHEN n >= 3 AND m >= 5000 THEN 'high' WHEN n >= 3 AND m >= 2500 THEN 'medium' END AS severity, CASE WHEN n >= 3 AND m >= 2500 THEN 'medium' END AS confidence FROM s""", TIMES)
 def _(spark, sf_dir):
-    return checks.fetch_latency(TIMES.df(spark)).select(*SHORT)
+    return checks.fetch_latency(TIMES.df(spark, sf_dir)).select(*SHORT)
 
 
 # ---- read, identify, land -------------------------------------------------------------------------------------------
@@ -356,159 +307,98 @@ def _(spark, sf_dir):
     return checks.collapsed_answers(measured(sources.read_pages(spark, sf_dir)))
 
 
-PRESENCE = Inline("presence", "site string, ownership string, http_status int, brand_name_match boolean", (("a", "independent", 200, True), ("b", "independent", 404, None), ("c", "independent", None, None), ("c", "independent", 404, None), ("d", "owned", 200, True), ("e", "independent", 302, None)))
-
-
 @query("check_corroboration", """+s AS (SELECT site, count(*) FILTER (WHERE ownership = 'independent' AND http_status BETWEEN 200 AND 399) AS r, count(*) FILTER (WHERE ownership = 'independent' AND http_status IS NULL) AS t, count(*) FILTER (WHERE ownership = 'independent' AND http_status >= 400) AS e FROM presence GROUP BY 1),
   g AS (SELECT site, CASE WHEN r > 0 OR t > 0 THEN 'pass' WHEN e > 0 THEN 'finding' ELSE 'pass' END AS gate FROM s) SELECT site, gate, CASE WHEN gate = 'finding' THEN 'medium' END AS severity, CASE WHEN gate = 'finding' THEN 'high' END AS confidence FROM g""", PRESENCE)
 def _(spark, sf_dir):
-    return checks.corroboration(PRESENCE.df(spark)).select(*SHORT)
-
-
-NAMES = Inline("names", "site string, name string", (("a", "Acme Software"), ("a", "Acme"), ("b", "Mercury"), ("c", None), ("d", "Orion Foundation"), ("e", "Delta Inc.")))
+    return checks.corroboration(PRESENCE.df(spark, sf_dir)).select(*SHORT)
 
 
 @query("check_ambiguous_name", """+w AS (SELECT site, name, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM names), s AS (SELECT site, count(name) AS n, bool_or(coalesce(list_has_any(w, ['software','platform','university','school','hospital','clinic','bank','museum','restaurant','hotel','agency','studio','labs','app','foundation','inc','llc','ltd','limited','corp','corporation','gmbh','plc','co','company','sa','ag']), FALSE)) AS q FROM w GROUP BY 1)
   SELECT site, CASE WHEN n = 0 THEN 'not_evaluated' ELSE 'pass' END AS gate, CASE WHEN q THEN 'qualifier present' ELSE 'no qualifier' END AS evidence FROM s""", NAMES)
 def _(spark, sf_dir):
-    return checks.ambiguous_name(NAMES.df(spark)).select("site", "gate", "evidence")
-
-
-@query("name_groups")
-def _(spark, sf_dir):
-    """Names of a site, grouped in order: a name joins the first group whose first name shares a word with it."""
-
-    def fold(acc, x):
-        hit = F.array_position(F.transform(acc, lambda g: F.arrays_overlap(g["words"], x["words"])), True)
-        return F.when(hit > 0, F.transform(acc, lambda g, i: F.when(i == hit.cast("int") - 1, F.struct(g["words"].alias("words"), F.concat(g["names"], F.array(x["name"])).alias("names"))).otherwise(g))).otherwise(
-            F.concat(acc, F.array(F.struct(x["words"].alias("words"), F.array(x["name"]).alias("names"))))
-        )
-
-    rows = NAMES.df(spark).filter("name is not null").withColumn("words", texts.name_tokens(F.col("name")))
-    listed = rows.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("name", "words"))).alias("all"))
-    start = F.array().cast("array<struct<words:array<string>,names:array<string>>>")
-    return listed.select("site", F.explode(F.aggregate("all", start, fold)).alias("g")).select("site", F.array_join("g.names", "|").alias("names"))
-
-
-MISSING = Inline("missing", "site string, status int, has_search boolean, links int, suggests boolean", (("a", 200, False, 9, False), ("b", 404, False, 1, False), ("c", 404, True, 0, False), ("d", None, False, 0, False), ("e", 404, False, 5, False)))
+    return checks.ambiguous_name(NAMES.df(spark, sf_dir)).select("site", "gate", "evidence")
 
 
 @query("check_soft_404", """SELECT site, 'REF-SOFT-404' AS check_id, CASE WHEN status IS NULL THEN 'not_evaluated' WHEN status = 200 THEN 'finding' ELSE 'pass' END AS gate FROM missing
   UNION ALL SELECT site, 'REF-404-DEAD-END', CASE WHEN coalesce(status <> 404, TRUE) THEN 'not_evaluated' WHEN NOT (has_search OR links >= 3 OR suggests) THEN 'finding' ELSE 'pass' END FROM missing""", MISSING)
 def _(spark, sf_dir):
-    return checks.soft_404(MISSING.df(spark)).select("site", "check_id", "gate")
-
-
-VARIANTS = Inline("variants", "site string, variant string, path_preserved boolean, variant_ok boolean", (("a", "http", True, True), ("a", "www", False, True), ("b", "http", True, False), ("b", "www", True, True), ("c", "http", None, None), ("c", "www", None, False)))
+    return checks.soft_404(MISSING.df(spark, sf_dir)).select("site", "check_id", "gate")
 
 
 @query("check_path_drop", """+s AS (SELECT site, count(*) FILTER (WHERE NOT path_preserved) AS lost, count(*) FILTER (WHERE NOT (path_preserved IS NULL OR variant_ok IS NOT DISTINCT FROM FALSE)) AS rd FROM variants GROUP BY 1)
   SELECT site, CASE WHEN lost > 0 THEN 'finding' WHEN rd = 0 THEN 'not_evaluated' ELSE 'pass' END AS gate FROM s""", VARIANTS)
 def _(spark, sf_dir):
-    return checks.path_drop(VARIANTS.df(spark)).select("site", "gate")
-
-
-DATES = Inline("dates", "site string, url string, value string", (("a", "u1", "2024-02-30"), ("b", "u1", "2024-02-29T10:00:00Z"), ("c", "u1", "2099-01-01"), ("d", "u1", "last spring")))
+    return checks.path_drop(VARIANTS.df(spark, sf_dir)).select("site", "gate")
 
 
 @query("check_impossible_dates", """+s AS (SELECT site, count(*) FILTER (WHERE regexp_matches(value, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') AND (try_cast(substring(value, 1, 10) AS DATE) IS NULL OR try_cast(substring(value, 1, 10) AS DATE) > DATE '2026-01-01')) AS n FROM dates GROUP BY 1)
   SELECT site, CASE WHEN n > 0 THEN 'finding' ELSE 'pass' END AS gate FROM s""", DATES)
 def _(spark, sf_dir):
-    return checks.impossible_dates(DATES.df(spark), "2026-01-01").select("site", "gate")
-
-
-LEVELS = Inline("levels", "page_id long, ord int, level int, text string", tuple([(1, i, 2, f"a{i}") for i in range(1, 11)] + [(1, 11, 3, "b")] + [(1, 12 + i, 2, f"c{i}") for i in range(7)] + [(2, 1, 1, "t")]))
+    return checks.impossible_dates(DATES.df(spark, sf_dir), "2026-01-01").select("site", "gate")
 
 
 @query("heading_runs", """+i AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) - row_number() OVER (PARTITION BY page_id, level ORDER BY ord) AS isl FROM levels),
   n AS (SELECT *, row_number() OVER (PARTITION BY page_id, level, isl ORDER BY ord) AS nth, count(*) OVER (PARTITION BY page_id, level, isl) AS n FROM i)
   SELECT page_id, ord, level, CASE WHEN n > 7 AND nth = 7 THEN NULL ELSE text END AS text, CASE WHEN n > 7 AND nth = 7 THEN n - 6 ELSE 0 END AS dropped FROM n WHERE n <= 7 OR nth <= 7""", LEVELS)
 def _(spark, sf_dir):
-    return runs.cap_siblings(LEVELS.df(spark))
-
+    return runs.cap_siblings(LEVELS.df(spark, sf_dir))
 
-QUESTIONS = Inline("questions", "id string, question string, expected_page string", (("1", "What?", "https://www.a.com/x"), ("Q-7", "How?", "http://a.com/X/"), (None, "Why?", "http://b.com"), ("bad", "Who?", "http://zz.com/q")))
-TARGETS = Inline("targets", "page_id long, url string", ((1, "http://a.com/x"), (2, "http://a.com/X/"), (3, "https://b.com/")))
 
-
-@query("question_pages", """+q AS (SELECT *, 'Q-' || CASE WHEN length(num) < 3 THEN lpad(num, 3, '0') ELSE num END AS question_id FROM (SELECT *, coalesce(nullif(regexp_extract(id, '([0-9]+)', 1), ''), pos::VARCHAR) AS num FROM (SELECT *, row_number() OVER () AS pos FROM questions)))
+@query("question_pages", """+q AS (SELECT *, 'Q-' || CASE WHEN length(num) < 3 THEN lpad(num, 3, '0') ELSE num END AS question_id FROM (SELECT *, coalesce(nullif(regexp_extract(id, '([0-9]+)', 1), ''), pos::VARCHAR) AS num FROM questions))
   SELECT question_id, coalesce(e.page_id, n.page_id) AS page_id FROM q LEFT JOIN targets e ON e.url = expected_page LEFT JOIN targets n ON regexp_replace(lower(regexp_extract(n.url, '://([^/]*)', 1)), '^www\\.', '') || coalesce(nullif(regexp_extract(n.url, '://[^/]*(.*)$', 1), ''), '/') = regexp_replace(lower(regexp_extract(expected_page, '://([^/]*)', 1)), '^www\\.', '') || coalesce(nullif(regexp_extract(expected_page, '://[^/]*(.*)$', 1), ''), '/')""", QUESTIONS, TARGETS)
 def _(spark, sf_dir):
-    rows = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(QUESTIONS.rows)], "pos int, id string, question string, expected_page string")
+    rows = QUESTIONS.df(spark, sf_dir)
     number = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("id", F.lit("")), "([0-9]+)", 1), F.lit("")), F.col("pos").cast("string"))
     rows = rows.withColumn("question_id", F.concat(F.lit("Q-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).withColumn("k", urls.passage_key(F.col("expected_page")))
-    t = TARGETS.df(spark)
+    t = TARGETS.df(spark, sf_dir)
     exact = t.select(F.col("url").alias("expected_page"), F.col("page_id").alias("e"))
     near = t.select(urls.passage_key(F.col("url")).alias("k"), F.col("page_id").alias("n"))
     return rows.join(exact, "expected_page", "left").join(near, "k", "left").select("question_id", F.coalesce("e", "n").alias("page_id"))
 
 
-BLOCKS = Inline("blocks", "page_id long, site string, ord int, line string", ((1, "a", 1, "We sell paint."), (1, "a", 2, "Open on Mondays."), (2, "a", 1, "We sell paint."), (2, "a", 2, "Closed.")))
-PASSAGES = Inline("passages", "question_id string, page_id long, passage string", (("Q-001", 1, "sell paint"), ("Q-002", 1, "paint. Open on"), ("Q-003", 2, "Mondays"), ("Q-004", 2, "We sell paint.")))
-
-
 @query("passage_contiguity", """+p AS (SELECT page_id, line || ' ' || lead(line) OVER (PARTITION BY page_id ORDER BY ord) AS pair FROM blocks)
   SELECT question_id, page_id, a AS contiguous, CASE WHEN a THEN 'within a block' WHEN b THEN 'over two blocks' ELSE 'not found' END AS note FROM (SELECT question_id, page_id, EXISTS (SELECT 1 FROM blocks x WHERE x.page_id = passages.page_id AND contains(line, passage)) AS a, EXISTS (SELECT 1 FROM p WHERE p.page_id = passages.page_id AND contains(pair, passage)) AS b FROM passages)""", BLOCKS, PASSAGES)
 def _(spark, sf_dir):
-    return runs.passages_in_blocks(PASSAGES.df(spark), BLOCKS.df(spark))
+    return runs.passages_in_blocks(PASSAGES.df(spark, sf_dir), BLOCKS.df(spark, sf_dir))
 
 
-@query("anchor_ambiguity", "SELECT question_id, count(DISTINCT line) AS runs, count(DISTINCT b.page_id) AS pages FROM passages p LEFT JOIN blocks b ON contains(b.line, p.passage) GROUP BY 1", BLOCKS, PASSAGES)
+@query("anchor_ambiguity", "SELECT question_id, count(DISTINCT line) AS runs, count(DISTINCT b.page_id) AS pages FROM passages p JOIN blocks b ON contains(b.line, p.passage) GROUP BY 1", BLOCKS, PASSAGES)
 def _(spark, sf_dir):
-    b = BLOCKS.df(spark).select(F.col("page_id").alias("on_page"), "line")
-    return PASSAGES.df(spark).join(F.broadcast(b), F.contains("line", F.col("passage")), "left").groupBy("question_id").agg(F.countDistinct("line").alias("runs"), F.countDistinct("on_page").alias("pages"))
+    """In how many different blocks, and on how many pages, each passage stands; passages that stand nowhere are left out."""
+    asked = PASSAGES.df(spark, sf_dir).select(F.col("question_id").alias("phrase_id"), F.col("passage").alias("phrase"))
+    blocks = BLOCKS.df(spark, sf_dir).select(F.struct("page_id", "ord").alias("run"), F.col("line").alias("text"))
+    found = phrase_index.hits(asked, blocks).join(blocks, "run")
+    return found.groupBy(F.col("phrase_id").alias("question_id")).agg(F.countDistinct("text").alias("runs"), F.countDistinct("run.page_id").alias("pages"))
 
 
-LOG = Inline("log", "ord int, line string", tuple(enumerate(("engine: alpha", "timestamp: 2025-01-01T00:00:00Z", "[Q-001] label cited", "https://a/1", "https://a/2", "note: fine", "# comment", "engine: beta", "[Q-002] other absent", "what is this"))))
+_FOLDER = "regexp_extract(base, '^([^?#]*/)', 1)"
 
 
-@query("probe_log", """+c AS (SELECT *, count(*) FILTER (WHERE starts_with(line, '[')) OVER (ORDER BY ord) AS entry, max_by(regexp_extract(line, '^engine: *(.*)$', 1), ord) FILTER (WHERE starts_with(line, 'engine:')) OVER (ORDER BY ord) AS engine FROM log WHERE NOT starts_with(line, '#'))
-  SELECT regexp_extract(any_value(line) FILTER (WHERE starts_with(line, '[')), '^\\[(Q-[0-9]+)\\]', 1) AS question_id, regexp_extract(any_value(line) FILTER (WHERE starts_with(line, '[')), ' ([a-z]+)$', 1) AS outcome, any_value(engine) FILTER (WHERE starts_with(line, '[')) AS engine, count(*) FILTER (WHERE starts_with(line, 'http')) AS cited,
-  count(*) FILTER (WHERE NOT regexp_matches(line, '^(?:engine:|timestamp:|note:|http|\\[)')) AS errors FROM c WHERE entry > 0 GROUP BY entry""", LOG)
+@query("resolved_links", rf"""SELECT page_id, base, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^([a-z]+:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || replace(href, '/./', '/')
+  WHEN starts_with(href, '#') OR href = '' THEN regexp_extract(base, '^([^#]*)', 1) || href WHEN starts_with(href, '?') THEN regexp_extract(base, '^([^?#]*)', 1) || href WHEN href = '../k' THEN regexp_replace({_FOLDER}, '([^/:])/[^/]+/$', '\1/') || 'k' ELSE {_FOLDER} || href END AS target FROM resolve""", RESOLVE)
 def _(spark, sf_dir):
-    from pyspark.sql import Window
+    return RESOLVE.df(spark, sf_dir).select("page_id", "base", "href", urls.resolve(F.col("base"), F.col("href")).alias("target"))
 
-    order = Window.orderBy("ord")  # one log is one short file
-    rows = LOG.df(spark).filter(~F.col("line").startswith("#"))
-    rows = rows.withColumn("entry", F.sum(F.col("line").startswith("[").cast("int")).over(order)).withColumn("engine", F.last(F.when(F.col("line").startswith("engine:"), F.trim(F.substring_index("line", ":", -1))), ignorenulls=True).over(order))
-    head = F.col("line").startswith("[")
-    known = F.col("line").rlike(r"^(?:engine:|timestamp:|note:|http|\[)")
-    g = rows.filter("entry > 0").groupBy("entry").agg(F.max(F.when(head, F.col("line"))).alias("head"), F.max(F.when(head, F.col("engine"))).alias("engine"), F.count_if(F.col("line").startswith("http")).alias("cited"), F.count_if(~known).alias("errors"))
-    return g.select(F.regexp_extract("head", r"^\[(Q-[0-9]+)\]", 1).alias("question_id"), F.regexp_extract("head", " ([a-z]+)$", 1).alias("outcome"), "engine", "cited", "errors")
 
-
-RESOLVE = Inline("resolve", "base string, href string", tuple(("https://a.com/x/y?q=1#f", h) for h in ("http://b/", "//c/d", "/e", "f", "?g=2", "#h", "", "mailto:i@j")) + (("https://a.com", "k"),))
-
-
-@query("resolved_links", r"""SELECT base, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN 'https://a.com' || href
-  WHEN starts_with(href, '#') OR href = '' THEN regexp_extract(base, '^([^#]*)', 1) || href WHEN starts_with(href, '?') THEN regexp_extract(base, '^([^?#]*)', 1) || href WHEN base = 'https://a.com' THEN 'https://a.com/' || href ELSE 'https://a.com/x/' || href END AS target FROM resolve""", RESOLVE)
-def _(spark, sf_dir):
-    return RESOLVE.df(spark).select("base", "href", urls.resolve(F.col("base"), F.col("href")).alias("target"))
-
-
-@query("encoded_urls", "SELECT * FROM (VALUES ('http://a/für sch', 'http://a/f%C3%BCr%20sch'), ('http://a/%c3%bc%', 'http://a/%C3%BC%25'), ('http://a/?q=1&b=[2]', 'http://a/?q=1&b=[2]')) t(url, encoded)")
+@query(
+    "encoded_urls",
+    r"""SELECT page_id, url, replace(replace(array_to_string(list_transform(string_split(replace(replace(url, '%c3%bc', '<C3BC>'), '%', '<25>'), ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9._~:/?#@!$&()*+,;=\[\]<>''-]$') THEN c ELSE url_encode(c) END), ''),
+      '<C3BC>', '%C3%BC'), '<25>', '%25') AS encoded FROM spaced""",
+    SPACED,
+)
 def _(spark, sf_dir):
-    rows = spark.createDataFrame([("http://a/für sch",), ("http://a/%c3%bc%",), ("http://a/?q=1&b=[2]",)], "url string")
-    return rows.select("url", urls.encode_url("url").alias("encoded"))
+    return SPACED.df(spark, sf_dir).select("page_id", "url", urls.encode_url("url").alias("encoded"))
 
 
-@query("inflated_bodies", "SELECT * FROM (VALUES (1, 'plain'), (2, 'hello hello hello')) t(id, body)")
+@query("inflated_bodies", "SELECT page_id AS id, html AS body FROM pages")
 def _(spark, sf_dir):
-    import gzip
-
-    rows = spark.createDataFrame([(1, b"plain"), (2, gzip.compress(b"hello hello hello")[:-4])], "id int, body binary")
-    opened = F.udf(inflate, "binary")
-    return rows.select("id", F.decode(opened("body"), "UTF-8").alias("body"))
+    """Pages as gzip bodies, every second one, and inflated again."""
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.col("html").cast("binary").alias("body"), (F.col("page_id") % 2 == 0).alias("zip"))
+    return snapshots.inflated(raw.mapInArrow(snapshots.zipped, raw.schema), "body", "body").select("id", F.decode("body", "UTF-8").alias("body"))
 
 
 # ---- report ---------------------------------------------------------------------------------------------------------
 
-RESULTS = Inline("results", "site string, check_id string, gate string, severity string, confidence string, evidence string, evidence_quality string, urls array<string>", (
-    ("a", "REP-KEY-FACT-LOSS", "finding", "high", "medium", "shell", "direct-measurement", ["u1", "u2"]), ("a", "REP-EXTRACTION-LOSS", "finding", "medium", "medium", "late", "direct-measurement", ["u2"]), ("a", "REP-LINKS-SCRIPT-ONLY", "finding", "medium", "medium", "js", "direct-measurement", ["u9"]),
-    ("a", "ACC-ROBOTS-ROLE", "finding", "critical", "medium", "blocked", "direct-measurement", ["u1"]), ("a", "ACC-LINK-ROT", "finding", "low", "low", "maybe", "direct-measurement", ["u3"]), ("a", "REF-SOFT-404", "finding", "high", "high", "no code", "direct-measurement", ["u4"]),
-    ("b", "REF-SOFT-404", "finding", "high", "high", "answers 200", "direct-measurement", ["u4"]), ("b", "REF-SOFT-404", "finding", "high", "high", "answers 200", "direct-measurement", ["u4"]), ("b", "ACC-FETCH-LATENCY", "pass", None, None, "fast", "hypothesis", []), ("b", "ACC-LINK-ROT", "pass", None, None, "ok", "direct-measurement", []),
-    ("b", "NO-SUCH-CHECK", "finding", "high", "high", "x", "direct-measurement", []), ("b", "ENT-JSONLD-INVALID", "finding", "low", "high", "bad; guaranteed", "direct-measurement", ["u5"]), ("b", "ACC-LINK-ROT", "not_evaluated", None, None, None, "direct-measurement", []),
-))
 _RANK = "CASE {c} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
 _ROUTED = """ro AS (SELECT r.*, CASE WHEN c.check_id IS NULL THEN 'unknown' WHEN gate = 'pass' AND r.evidence_quality = 'hypothesis' THEN 'not_evaluated' WHEN gate = 'pass' THEN 'passed'
   WHEN gate = 'finding' AND r.check_id IN ('REF-SOFT-404', 'ACC-BOT-CHALLENGE') AND NOT regexp_matches(coalesce(evidence, ''), '(^|[^0-9])[0-9]{3}($|[^0-9])') THEN 'not_evaluated'
@@ -520,81 +410,70 @@ _FOUND = f"""ky AS (SELECT *, array_to_string(list_sort(urls), '|') AS key FROM
     CASE WHEN check_id = 'REP-KEY-FACT-LOSS' AND also IS NOT NULL THEN evidence || '; explains ' || also ELSE evidence END AS evidence, key AS urls FROM ab LEFT JOIN tk USING (site) WHERE NOT inside)"""
 
 
-def routed(spark: SparkSession) -> DataFrame:
-    return report.route(RESULTS.df(spark), CATALOG.df(spark))
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.route(RESULTS.df(spark, sf_dir), CATALOG.df(spark))
 
 
 @query("report_routes", f"+{_ROUTED} SELECT site, check_id, gate, route FROM ro", RESULTS, CATALOG)
 def _(spark, sf_dir):
-    return routed(spark).select("site", "check_id", "gate", "route")
+    return routed(spark, sf_dir).select("site", "check_id", "gate", "route")
 
 
 @query("report_findings", f"+{_ROUTED}, {_FOUND} SELECT * FROM fi", RESULTS, CATALOG)
 def _(spark, sf_dir):
-    return report.findings(routed(spark))
+    return report.findings(routed(spark, sf_dir))
 
 
 @query("report_not_evaluated", f"""+{_ROUTED}, d AS (SELECT DISTINCT site, check_id FROM ro WHERE route IN ('finding', 'verify', 'passed')) SELECT DISTINCT site, check_id FROM ro WHERE route = 'not_evaluated' AND (site, check_id) NOT IN (SELECT * FROM d)
   UNION ALL SELECT s.site, c.check_id FROM (SELECT DISTINCT site FROM results) s, catalog c WHERE (s.site, c.check_id) NOT IN (SELECT site, check_id FROM ro WHERE route <> 'unknown')""", RESULTS, CATALOG)
 def _(spark, sf_dir):
-    return report.not_evaluated(routed(spark), CATALOG.df(spark), RESULTS.df(spark).select("site").distinct())
+    return report.not_evaluated(routed(spark, sf_dir), CATALOG.df(spark), RESULTS.df(spark, sf_dir).select("site").distinct())
 
 
 @query("report_summary", f"""+{_ROUTED}, {_FOUND}, a AS (SELECT site, count(*) FILTER (WHERE route = 'verify') AS verify, count(*) FILTER (WHERE route = 'passed') AS passed FROM ro GROUP BY 1),
   b AS (SELECT site, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM fi GROUP BY 1)
   SELECT site, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, verify, passed FROM a LEFT JOIN b USING (site)""", RESULTS, CATALOG)
 def _(spark, sf_dir):
-    r = routed(spark)
+    r = routed(spark, sf_dir)
     return report.summary(r, report.findings(r))
 
 
 @query("report_band_warnings", f"+{_ROUTED}, {_FOUND} SELECT site, id, check_id FROM fi JOIN catalog USING (check_id) WHERE NOT list_contains(string_split(band, ' '), severity)", RESULTS, CATALOG)
 def _(spark, sf_dir):
-    return report.out_of_band(report.findings(routed(spark)), CATALOG.df(spark))
+    return report.out_of_band(report.findings(routed(spark, sf_dir)), CATALOG.df(spark))
 
 
 @query("report_forbidden_claims", f"+{_ROUTED}, {_FOUND} SELECT site, id FROM fi WHERE regexp_matches(evidence, '{report.FORBIDDEN}')", RESULTS, CATALOG)
 def _(spark, sf_dir):
-    return report.forbidden(report.findings(routed(spark)))
+    return report.forbidden(report.findings(routed(spark, sf_dir)))
 
 
 @query("report_markdown", f"+{_ROUTED}, {_FOUND} SELECT site, '# ' || site || chr(10) || string_agg('- **' || id || '** (' || severity || ') ' || check_id || ': ' || coalesce(evidence, ''), chr(10) ORDER BY id) AS report FROM fi GROUP BY site", RESULTS, CATALOG)
 def _(spark, sf_dir):
-    return report.markdown(report.findings(routed(spark)))
-
-
-IDEAS = Inline("ideas", "site string, title string, priority int", (("a", "Add prices", 2), ("a", "add Prices", 1), ("a", "Fix menu", 1), ("b", "Fix menu", 3)))
+    return report.markdown(report.findings(routed(spark, sf_dir)))
 
 
 @query("report_opportunities", "+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, lower(title) ORDER BY priority, title) AS nth FROM ideas) WHERE nth = 1) SELECT site, row_number() OVER (PARTITION BY site ORDER BY priority, title) AS rank, title, priority FROM o", IDEAS)
 def _(spark, sf_dir):
-    return report.opportunities(IDEAS.df(spark))
-
-
-VERDICTS = Inline("verdicts", "site string, ord int, check_id string, gate string, severity string, evidence string", (("a", 1, "ANS-QUESTION-UNANSWERED", "finding", None, None), ("a", 2, "ANS-QUESTION-UNANSWERED", "pass", None, "later"), ("a", 3, "OFF-BRAND-ABSENT", "perhaps", None, "odd"), ("a", 4, "FRS-STALE-VERSION", "pass", None, "fine")))
-MEASURES = Inline("measures", "site string, check_id string, measure string", (("a", "ANS-QUESTION-UNANSWERED", "3 of 8 open"), ("a", "REF-PERF-RISK", "2 scripts")))
+    return report.opportunities(IDEAS.df(spark, sf_dir))
 
 
 @query("verdict_assembly", """+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, check_id ORDER BY ord) AS nth FROM verdicts) WHERE nth = 1), j AS (SELECT s.site, c.check_id, CASE WHEN gate IN ('finding', 'pass', 'not_evaluated') THEN gate ELSE 'not_evaluated' END AS gate, severity, coalesce(evidence, measure) AS evidence, band, c.evidence_quality
   FROM (SELECT DISTINCT site FROM verdicts) s CROSS JOIN catalog c LEFT JOIN f ON f.site = s.site AND f.check_id = c.check_id LEFT JOIN measures m ON m.site = s.site AND m.check_id = c.check_id)
   SELECT site, check_id, gate, CASE WHEN gate = 'finding' THEN coalesce(severity, string_split(band, ' ')[-1]) END AS severity, evidence, evidence_quality FROM j""", VERDICTS, MEASURES, CATALOG)
 def _(spark, sf_dir):
-    v = VERDICTS.df(spark)
-    return report.assemble(v, MEASURES.df(spark), CATALOG.df(spark), v.select("site").distinct())
-
-
-PROBES = Inline("probes", "question_id string, outcome string", (("Q-001", "cited"), ("Q-002", "absent"), ("Q-003", "absent"), ("Q-009", "cited")))
-PROMPTS = Inline("prompts", "question_id string, query string", (("Q-001", "what is a"), ("Q-002", "who is b"), ("Q-003", "how is c")))
+    v = VERDICTS.df(spark, sf_dir)
+    return report.assemble(v, MEASURES.df(spark, sf_dir), CATALOG.df(spark), v.select("site").distinct())
 
 
 @query("probe_outcomes", "SELECT outcome, count(*) AS probes FROM probes JOIN prompts USING (question_id) GROUP BY 1", PROBES, PROMPTS)
 def _(spark, sf_dir):
-    return PROBES.df(spark).join(PROMPTS.df(spark), "question_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("probes"))
+    return PROBES.df(spark, sf_dir).join(PROMPTS.df(spark, sf_dir), "question_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("probes"))
 
 
 @query("probe_unknown_questions", "SELECT question_id FROM probes WHERE question_id NOT IN (SELECT question_id FROM prompts)", PROBES, PROMPTS)
 def _(spark, sf_dir):
-    return PROBES.df(spark).join(PROMPTS.df(spark), "question_id", "left_anti").select("question_id")
+    return PROBES.df(spark, sf_dir).join(PROMPTS.df(spark, sf_dir), "question_id", "left_anti").select("question_id")
 
 
 @query("site_report_summary", f"""WITH {PG} SELECT site, count(*) AS pages, count(DISTINCT {np_sql('path')}) AS paths, count(*) FILTER (WHERE NOT contains(html, '</html>')) AS truncated FROM pg GROUP BY 1""")

@@ -35,8 +35,8 @@ def budgeted_excerpts(spark, sf_dir):
 @query(
     "cited_runs",
     f"""WITH RECURSIVE {PG}, {BL}, once AS MATERIALIZED (SELECT site, page_id, line, length(line)::BIGINT AS chars, min(ord) AS ord FROM bl WHERE length(line) BETWEEN {budgets.LEAST_RUN} AND {budgets.MOST_RUN} GROUP BY ALL),
-    carried AS MATERIALIZED (SELECT site, line, chars, count(*) AS pages, min(page_id) AS example FROM once GROUP BY ALL),
-    several AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pages DESC, chars DESC, example, line) AS n FROM carried WHERE pages > 1),
+    carried AS MATERIALIZED (SELECT site, line, chars, count(*) AS pages, min((page_id, ord)) AS example FROM once GROUP BY ALL),
+    several AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pages DESC, chars DESC, example) AS n FROM carried WHERE pages > 1),
     hoist AS (
       SELECT site, 0::BIGINT AS n, 0::BIGINT AS spent, 0 AS rank, FALSE AS taken FROM (SELECT DISTINCT site FROM once)
       UNION ALL

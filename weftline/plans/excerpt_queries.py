@@ -8,24 +8,20 @@ from ..functions import claims as claim_functions
 from ..functions import texts, urls
 from ..operators import excerpts
 from ..sources import pages as sources
-from ..sources.inline import Inline
 from . import audit, budget_queries, fragment_queries, index_queries, schema_queries, source_queries  # noqa: F401  (they register their queries)
-from .audit_queries import BLOCKS, ORACLES, PASSAGES, PRESENCE, QUERIES, RESULTS, query
+from .audit_queries import ORACLES, QUERIES, query
+from .observed import ASKED, BLOCKS, FETCHES, PASSAGES, PRESENCE, RESULTS, RUNS, TEXTS
 from .site_queries import BL, LK, LP, PG
 
 __all__ = ["ORACLES", "QUERIES"]
 
-FETCHES = Inline("fetches", "site string, url string, status int, content_type string, chain array<string>", (
-    ("a", "http://a/1", 200, "text/html; charset=utf-8", ["u"]), ("a", "http://a/2", 200, "application/pdf", ["u"]), ("a", "http://a/3", 404, "text/html", ["u"]), ("a", "http://a/4", None, None, ["u", "v", "u"]), ("a", "http://a/5", 200, "application/xhtml+xml", ["u"]), ("a", "http://a/6", 500, None, ["u", "v"]),
-))
-
 
 @query("fetch_policy", """SELECT url, CASE WHEN status IS NULL OR status >= 400 THEN CASE WHEN len(chain) >= 3 THEN 'blank' ELSE 'dropped' END WHEN contains(lower(content_type), 'html') OR contains(lower(content_type), 'xml') THEN 'parsed' ELSE 'blank' END AS policy FROM fetches""", FETCHES)
 def _(spark, sf_dir):
     failed = F.coalesce(F.col("status") >= 400, F.lit(True))
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     policy = F.when(failed & (F.size("chain") >= 3), "blank").when(failed, "dropped").when(kind.contains("html") | kind.contains("xml"), "parsed").otherwise("blank")
-    return FETCHES.df(spark).select("url", policy.alias("policy"))
+    return FETCHES.df(spark, sf_dir).select("url", policy.alias("policy"))
 
 
 @query("link_rot_candidates", f"""WITH {PG}, {LK}, {LP}, c AS (SELECT site, target, min(page_id) AS p FROM lp WHERE (tsite = site OR ends_with(tsite, '.' || site)) AND regexp_matches(target, '^https?:') AND target NOT IN (SELECT url FROM pages) GROUP BY ALL)
@@ -52,33 +48,32 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", excerpts.footer_name(F.col("html")).alias("name"))
 
 
-PRICES = Inline("prices", "id int, t string", ((1, "from $1,299.50 a year"), (2, "free"), (3, "v2 and 3"), (4, ""), (5, "12")))
-
-
-@query("first_numbers", r"SELECT id, try_cast(replace(nullif(regexp_extract(t, '([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ''), ',', '') AS DOUBLE) AS n FROM prices", PRICES)
+@query("first_numbers", r"SELECT id, try_cast(replace(nullif(regexp_extract(t, '([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ''), ',', '') AS DOUBLE) AS n FROM prices", TEXTS["prices"])
 def _(spark, sf_dir):
-    return PRICES.df(spark).select("id", texts.first_number(F.col("t")).alias("n"))
+    return TEXTS["prices"].df(spark, sf_dir).select("id", texts.first_number(F.col("t")).alias("n"))
 
 
-CONFUSED = Inline("confused", "id int, t string", ((1, "it’s a — test…"), (2, "“quoted” text"), (3, "plain"), (4, "a‑b")))
+_FOLDED = texts.FOLDED.replace("'", "''")  # a quote in SQL
 
 
-@query("folded_confusables", "SELECT id, trim(regexp_replace(translate(t, '‐‑‒–—−‘’‚‛“”„‟', '------''''''''\"\"\"\"'), ' +', ' ', 'g')) AS folded FROM confused", CONFUSED)
+@query("folded_confusables", rf"SELECT id, trim(regexp_replace(translate(t, '{texts.CONFUSABLE}', '{_FOLDED}'), '[ \t\n\r\x0B\f\x{{A0}}]+', ' ', 'g')) AS folded FROM confused", TEXTS["confused"])
 def _(spark, sf_dir):
-    return CONFUSED.df(spark).select("id", texts.fold_confusables(F.col("t")).alias("folded"))
+    return TEXTS["confused"].df(spark, sf_dir).select("id", texts.fold_confusables(F.col("t")).alias("folded"))
+
+
+_FACT = r"[$€£₹] ?[0-9][0-9,.]*|[0-9]+(?:\.[0-9]+)?%|[vV][0-9]+\.[0-9]+|(?:Free|Basic|Starter|Pro|Premium|Enterprise) [Pp]lan"
 
 
-@query("fact_tokens", r"""+d(id, t) AS (VALUES (1, 'Pro plan from $49, save 20% in v2.1'), (2, 'nothing here'), (3, '$5 and $5')) SELECT id, array_to_string(list_distinct(regexp_extract_all(t, '[$€£₹] ?[0-9][0-9,.]*|[0-9]+(?:\.[0-9]+)?%|[vV][0-9]+\.[0-9]+|(?:Free|Basic|Starter|Pro|Premium|Enterprise) [Pp]lan')), '') <> '' AS has_tokens, len(list_distinct(regexp_extract_all(t, '[$€£₹] ?[0-9][0-9,.]*|[0-9]+(?:\.[0-9]+)?%|[vV][0-9]+\.[0-9]+|(?:Free|Basic|Starter|Pro|Premium|Enterprise) [Pp]lan'))) AS n FROM d""", PRICES)
+@query("fact_tokens", f"SELECT id, len(regexp_extract_all(t, '{_FACT}')) > 0 AS has_tokens, len(list_distinct(regexp_extract_all(t, '{_FACT}'))) AS n FROM worded_facts", TEXTS["worded_facts"])
 def _(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Pro plan from $49, save 20% in v2.1"), (2, "nothing here"), (3, "$5 and $5")], "id int, t string")
     tokens = claim_functions.fact_tokens(F.col("t"))
-    return rows.select("id", (F.size(tokens) > 0).alias("has_tokens"), F.size(tokens).cast("long").alias("n"))
+    return TEXTS["worded_facts"].df(spark, sf_dir).select("id", (F.size(tokens) > 0).alias("has_tokens"), F.size(tokens).cast("long").alias("n"))
 
 
 @query("presence_counts", "SELECT ownership, count(*) AS links, count(*) FILTER (WHERE http_status BETWEEN 200 AND 399) AS resolved, count(*) FILTER (WHERE http_status >= 400) AS failed, count(*) FILTER (WHERE http_status IS NULL) AS unanswered FROM presence GROUP BY 1", PRESENCE)
 def _(spark, sf_dir):
     s = F.col("http_status")
-    return PRESENCE.df(spark).groupBy("ownership").agg(F.count(F.lit(1)).alias("links"), F.count_if(s.between(200, 399)).alias("resolved"), F.count_if(s >= 400).alias("failed"), F.count_if(s.isNull()).alias("unanswered"))
+    return PRESENCE.df(spark, sf_dir).groupBy("ownership").agg(F.count(F.lit(1)).alias("links"), F.count_if(s.between(200, 399)).alias("resolved"), F.count_if(s >= 400).alias("failed"), F.count_if(s.isNull()).alias("unanswered"))
 
 
 @query("boilerplate_share", f"""WITH {PG}, {BL}, n AS (SELECT site, line, count(DISTINCT page_id) AS pages FROM bl GROUP BY ALL) SELECT page_id, sum(length(line))::BIGINT AS chars, sum(CASE WHEN pages > 1 THEN length(line) ELSE 0 END)::BIGINT AS shared FROM bl JOIN n USING (site, line) GROUP BY 1""")
@@ -98,30 +93,31 @@ def _(spark, sf_dir):
     return excerpts.shared_prefix(joined, 50)
 
 
-ASKED = Inline("asked", "question_id string, page_id long, anchor string", (("Q-001", 1, "sell paint"), ("Q-002", 1, None), ("Q-003", 2, "Mondays"), ("Q-004", 1, "e")))
-
-
-@query("built_passages", """SELECT * FROM (VALUES ('Q-001', 'resolved', 'We sell paint.'), ('Q-002', 'unanswered', NULL), ('Q-003', 'unresolved', NULL), ('Q-004', 'ambiguous', NULL)) t(question_id, status, passage)""")
+@query("built_passages")
 def _(spark, sf_dir):
-    return excerpts.build_passages(ASKED.df(spark), BLOCKS.df(spark))
+    """Passages around anchors of the pages. No SQL: a test holds them to a plain version."""
+    return excerpts.build_passages(ASKED.df(spark, sf_dir), BLOCKS.df(spark, sf_dir))
 
 
 @query("first_windows", """+t AS (SELECT page_id, string_agg(line, chr(10) ORDER BY ord) AS text FROM blocks GROUP BY 1) SELECT question_id, CASE WHEN contains(text, passage) THEN (strpos(text, passage) - 1)::INTEGER END AS "offset", CASE WHEN contains(text, passage) THEN (strpos(text, passage) <= 600)::INTEGER END AS in_window FROM passages JOIN t USING (page_id)""", BLOCKS, PASSAGES)
 def _(spark, sf_dir):
-    return excerpts.first_window(PASSAGES.df(spark), BLOCKS.df(spark)).withColumn("in_window", F.col("in_window").cast("int"))
-
-
-RUNS = Inline("probe_runs", "run int, question_id string, kind string, outcome string, timestamp string", tuple([(1, f"Q-00{i}", "informational", "cited", "2025-01-01T00:00:00Z") for i in range(7)] + [(2, "Q-001", "navigational", "cited", "2025-01-01T00:00:00Z"), (2, "Q-001", "navigational", "seen", "yesterday"), (3, "Q-001", "informational", "absent", "2025-01-01T00:00:00Z")]))
+    return excerpts.first_window(PASSAGES.df(spark, sf_dir), BLOCKS.df(spark, sf_dir)).withColumn("in_window", F.col("in_window").cast("int"))
 
 
-@query("probe_log_violations", "SELECT * FROM (VALUES (1, 'too many rows'), (2, 'several navigational'), (2, 'repeated question'), (2, 'unknown outcome'), (2, 'time not in UTC')) t(run, problem)")
+@query(
+    "probe_log_violations",
+    """+p AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE kind = 'navigational') AS nav, count(DISTINCT question_id) AS ids, count(*) FILTER (WHERE outcome NOT IN ('cited', 'mentioned', 'absent', 'third-party', 'wrong-entity', 'wrong-fact', 'error')) AS odd,
+    count(*) FILTER (WHERE NOT regexp_matches(timestamp, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z$')) AS late FROM probe_runs GROUP BY run)
+    SELECT run, unnest(list_filter([CASE WHEN n > 6 THEN 'too many rows' END, CASE WHEN nav > 1 THEN 'several navigational' END, CASE WHEN ids < n THEN 'repeated question' END, CASE WHEN odd > 0 THEN 'unknown outcome' END, CASE WHEN late > 0 THEN 'time not in UTC' END], lambda x: x IS NOT NULL)) AS problem FROM p""",
+    RUNS,
+)
 def _(spark, sf_dir):
-    return excerpts.probe_violations(RUNS.df(spark))
+    return excerpts.probe_violations(RUNS.df(spark, sf_dir))
 
 
 @query("safe_fixes", "+n AS (SELECT *, row_number() OVER (PARTITION BY site, check_id ORDER BY coalesce(evidence, '')) AS nth FROM results) SELECT site, check_id, gate, CASE WHEN gate = 'finding' THEN urls ELSE [] END AS urls FROM n WHERE nth = 1", RESULTS)
 def _(spark, sf_dir):
-    rows = RESULTS.df(spark).withColumn("o", F.coalesce("evidence", F.lit("")))
+    rows = RESULTS.df(spark, sf_dir).withColumn("o", F.coalesce("evidence", F.lit("")))
     return excerpts.safe_fixes(rows, "o").select("site", "check_id", "gate", "urls")
 
 
@@ -133,4 +129,4 @@ def _(spark, sf_dir):
         (F.col("evidence").isNull(), "evidence"), (~F.col("check_id").rlike("^(ACC|REP|ANS|ENT|FRS|OFF|REF)-[A-Z0-9-]+$"), "check_id"),
     )
     found = F.filter(F.array(*[F.when(test, F.lit(name)) for test, name in tests]), lambda x: x.isNotNull())
-    return RESULTS.df(spark).select("site", "check_id", F.explode(found).alias("problem"))
+    return RESULTS.df(spark, sf_dir).select("site", "check_id", F.explode(found).alias("problem"))

@@ -6,26 +6,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import texts
 from ..operators import crawl, fragments
 from ..sources import sitemaps
-from ..sources.inline import Inline
-from .audit_queries import PRESENCE, query
-
-_LIST = "<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>{}</urlset>"
-MAP_FILES = Inline("map_files", "site string, ord int, url string, http_status int, body string", (
-    ("a", 1, "http://a/s.xml", 200, _LIST.format("<url><loc> http://a/1 </loc><lastmod>2024-01-01</lastmod></url><url><loc>http://a/2?x=1&amp;y=2</loc><lastmod>2024-02-01</lastmod></url><url><lastmod>2024-01-01</lastmod></url>")),
-    ("b", 1, "http://b/i.xml", 200, "<sitemapindex><sitemap><loc>http://b/c1.xml</loc></sitemap><sitemap><loc>http://b/c2.xml</loc></sitemap></sitemapindex>"),
-    ("b", 3, "http://b/c1.xml", 200, "<sm:urlset xmlns:sm='http://www.sitemaps.org/schemas/sitemap/0.9' xmlns:image='http://i'><sm:url><image:loc>http://b/x.png</image:loc><sm:loc>http://b/1</sm:loc></sm:url><sm:url><sm:loc>http://b/2</sm:loc><sm:lastmod></sm:lastmod></sm:url></sm:urlset>"),
-    ("b", 4, "http://b/c2.xml", 200, _LIST.format("<url><loc>http://b/3</loc></url>")),
-    ("c", 1, "http://c/s.xml", 200, "<urlset><url><loc>http://c/1</loc></url>"),
-    ("c", 2, "http://c/t.xml", 200, _LIST.format("<!-- <url><loc>http://c/0</loc></url> --><url><loc>http://c/1</loc></url>")),
-    ("d", 1, "http://d/i.xml", 200, "<sitemapindex><sitemap><loc>http://d/none.xml</loc></sitemap></sitemapindex>"),
-    ("e", 1, "http://e/s.xml", 404, "<urlset></urlset>"),
-    ("f", 1, "http://f/s.xml", 200, None),
-    ("g", 1, "http://g/i.xml", 200, "<sitemapindex><sitemap><loc>http://g/c.xml</loc></sitemap></sitemapindex>"),
-    ("g", 3, "http://g/c.xml", 200, "<urlset><url></urlset>"),
-))
+from .audit_queries import query
+from .observed import MAP_FILES, MAP_LINKS, FRAGMENTS, GIVEN, COMPLETED, SPOKEN, WORDED, ANSWERED
+
 # A body is whole where each element that opens also closes; "<x:" is read as "<" for the prefix of the root.
 _MAPS = r"""fl AS (SELECT *, replace(replace(regexp_replace(body, '<!--.*?-->', '', 'gs'), '</sm:', '</'), '<sm:', '<') AS flat FROM map_files WHERE http_status < 400),
   pa AS (SELECT *, coalesce(len(regexp_extract_all(body, '<[a-z]')) = len(regexp_extract_all(body, '</[a-z]')), FALSE) AS ok, coalesce(contains(flat, '<sitemapindex'), FALSE) AS idx,
@@ -36,14 +21,11 @@ _MAPS = r"""fl AS (SELECT *, replace(replace(regexp_replace(body, '<!--.*?-->',
 
 @query("sitemap_states", f"+{_MAPS} SELECT site, ord, url, http_status, parse_ok, CASE WHEN parse_ok THEN len(entries)::INTEGER END AS entries_count, CASE WHEN parse_ok THEN len(list_filter(entries, lambda e: e.lastmod IS NOT NULL))::INTEGER END AS lastmod_present, CASE WHEN parse_ok THEN len(list_distinct(list_filter(list_transform(entries, lambda e: e.lastmod), lambda d: d IS NOT NULL)))::INTEGER END AS lastmod_distinct FROM fo", MAP_FILES)
 def _(spark, sf_dir):
-    return sitemaps.counted(MAP_FILES.df(spark))
+    return sitemaps.counted(MAP_FILES.df(spark, sf_dir))
 
 
 _FIRST = """us AS (SELECT site, arg_min(entries, ord) AS entries FROM fo WHERE parse_ok AND ord <= 2 AND len(entries) > 0 GROUP BY 1),
   sa AS (SELECT site, generate_subscripts(entries, 1) AS ord, unnest(entries).url AS url FROM us)"""
-MAP_LINKS = Inline("map_links", "site string, page_id long, ord int, target string", (
-    ("a", 1, 1, "http://a/3"), ("a", 1, 2, "http://a/"), ("a", 1, 3, "http://z/4"), ("a", 2, 1, "http://a/3#x"), ("a", 2, 2, "http://a/feed/5"), ("a", 2, 3, "http://a/4?q"), ("h", 3, 1, "https://h/1"), ("h", 3, 2, "https://h/x.PNG"),
-))
 
 
 @query("sitemap_candidates", f"""+{_MAPS}, {_FIRST}, li AS (SELECT site, page_id, ord, regexp_extract(target, '^https?://([^/]*)', 1) AS host, regexp_extract(target, '^https?://[^/]*([^?#]*)', 1) AS path FROM map_links),
@@ -51,14 +33,9 @@ MAP_LINKS = Inline("map_links", "site string, page_id long, ord int, target stri
   SELECT site, 'sitemap' AS origin, ord::BIGINT AS ord, coalesce(nullif(rtrim(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/'), ''), '/') AS path FROM sa
   UNION ALL SELECT site, 'link', row_number() OVER (PARTITION BY site ORDER BY seen), path FROM ow""", MAP_FILES, MAP_LINKS)
 def _(spark, sf_dir):
-    return crawl.discovered(MAP_FILES.df(spark), MAP_LINKS.df(spark))
+    return crawl.discovered(MAP_FILES.df(spark, sf_dir), MAP_LINKS.df(spark, sf_dir))
 
 
-FRAGMENTS = Inline("fragments", "site string, name string, line string", (
-    ("a", "entity", '{"results": [{"check_id": "ENT-NAME-INCONSISTENT", "gate": "finding", "severity": "low", "evidence": "x"}, {"check_id": "ENT-AMBIGUOUS-NAME", "gate": "pass"}]}'),
-    ("a", "freshness", '{"results": ['), ("b", "entity", '{"results": [{"check_id": "ENT-AMBIGUOUS-NAME", "gate": "maybe"}]}'), ("b", "answers", '{"other": 1}'),
-    ("b", "freshness", '{"results": []}'), ("c", "entity", '{"results": [{"gate": "pass"}]}'), ("c", "answers", None), ("c", "freshness", '{"results": [{"check_id": "FRS-CLAIM-CONFLICT", "gate": "not_evaluated"}]}'),
-))
 _NOTED = """no AS (SELECT *, CASE WHEN line IS NULL OR NOT json_valid(line) THEN 'unreadable' WHEN json_extract(line, '$.results') IS NULL
     OR len(list_filter(json_extract_string(line, '$.results[*].gate'), lambda g: g NOT IN ('finding', 'pass', 'not_evaluated'))) > 0
     OR len(json_extract(line, '$.results[*].check_id')) < json_array_length(line, '$.results') OR len(json_extract(line, '$.results[*].gate')) < json_array_length(line, '$.results') THEN 'invalid' END AS note FROM fragments)"""
@@ -66,76 +43,46 @@ _NOTED = """no AS (SELECT *, CASE WHEN line IS NULL OR NOT json_valid(line) THEN
 
 @query("fragment_notes", f"+{_NOTED} SELECT site, name, note FROM no WHERE note IS NOT NULL", FRAGMENTS)
 def _(spark, sf_dir):
-    return fragments.read_fragments(FRAGMENTS.df(spark)).filter("note is not null").select("site", "name", "note")
+    return fragments.read_fragments(FRAGMENTS.df(spark, sf_dir)).filter("note is not null").select("site", "name", "note")
 
 
 @query("fragment_results", f"""+{_NOTED}, r AS (SELECT site, name, unnest(json_extract(line, '$.results[*]')) AS r FROM no WHERE note IS NULL)
   SELECT site, name, r->>'check_id' AS check_id, r->>'gate' AS gate, r->>'severity' AS severity, r->>'evidence' AS evidence FROM r""", FRAGMENTS)
 def _(spark, sf_dir):
-    return fragments.fragment_results(fragments.read_fragments(FRAGMENTS.df(spark)))
-
-
-GIVEN = Inline("given", "site string, check_id string, gate string, severity string", (
-    ("a", "FRS-CLAIM-CONFLICT", "not_evaluated", None), ("a", "ENT-AMBIGUOUS-NAME", "not_evaluated", "low"), ("a", "FRS-LASTMOD-UNIFORM", "finding", "low"), ("b", "ENT-AMBIGUOUS-NAME", "finding", "medium"), ("b", "FRS-STALE-VERSION", "not_evaluated", "low"), ("b", "ANS-QUESTION-UNANSWERED", "finding", "high"),
-    ("c", "ANS-QUESTION-UNANSWERED", "finding", "high"), ("c", "ENT-JSONLD-INVALID", "finding", "high"), ("c", "ACC-LLMS-TXT-ABSENT", "pass", None),
-))
-COMPLETED = Inline("completed", "site string, check_id string, ord int, gate string, reason string", (
-    ("a", "FRS-CLAIM-CONFLICT", 1, "finding", "no candidate"), ("a", "ENT-AMBIGUOUS-NAME", 2, "pass", "second"), ("a", "ENT-AMBIGUOUS-NAME", 1, "finding", "first"), ("b", "ENT-AMBIGUOUS-NAME", 1, "pass", "clear"), ("b", "FRS-STALE-VERSION", 1, "pass", None), ("b", "ANS-QUESTION-UNANSWERED", 1, "perhaps", "odd"), ("z", "ENT-AMBIGUOUS-NAME", 1, "pass", "nobody"),
-))
+    return fragments.fragment_results(fragments.read_fragments(FRAGMENTS.df(spark, sf_dir)))
 
 
 @query("completed_gates", """+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, check_id ORDER BY ord) AS nth FROM completed) WHERE nth = 1),
   j AS (SELECT g.*, f.gate AS new_gate, f.reason AS why, CASE WHEN f.site IS NULL THEN 'kept' WHEN f.gate IN ('finding', 'pass', 'not_evaluated') AND f.reason <> '' AND NOT (f.gate = 'finding' AND g.severity IS NULL) THEN 'completed' ELSE 'refused' END AS outcome FROM given g LEFT JOIN f USING (site, check_id))
   SELECT site, check_id, CASE WHEN outcome = 'completed' THEN new_gate ELSE gate END AS gate, CASE WHEN outcome <> 'completed' OR new_gate = 'finding' THEN severity END AS severity, CASE WHEN outcome = 'completed' THEN why END AS reason, outcome FROM j""", GIVEN, COMPLETED)
 def _(spark, sf_dir):
-    return fragments.complete_gates(GIVEN.df(spark), COMPLETED.df(spark))
+    return fragments.complete_gates(GIVEN.df(spark, sf_dir), COMPLETED.df(spark, sf_dir))
 
 
 @query("unknown_completions", "SELECT site, check_id FROM completed EXCEPT SELECT site, check_id FROM given", GIVEN, COMPLETED)
 def _(spark, sf_dir):
-    return fragments.unknown_completions(GIVEN.df(spark), COMPLETED.df(spark))
-
-
-SPOKEN = Inline("spoken", PRESENCE.schema, tuple(("a", "independent", 200, True) for _ in range(3)) + tuple(("b", o, s, m) for o, s, m in (("independent", 200, True), ("independent", 301, True), ("independent", 404, True), ("owned", 200, True), ("independent", 200, None))) + tuple(("c", "independent", s, True) for s in (200, 302, 200, 500)))
+    return fragments.unknown_completions(GIVEN.df(spark, sf_dir), COMPLETED.df(spark, sf_dir))
 
 
 @query("damped_severities", """+n AS (SELECT site, count(*) AS anchors FROM spoken WHERE ownership = 'independent' AND http_status >= 200 AND http_status < 400 AND brand_name_match GROUP BY 1)
   SELECT g.site, check_id, gate, CASE WHEN gate = 'finding' AND coalesce(anchors, 0) >= 3 AND check_id IN ('ANS-QUESTION-UNANSWERED', 'FRS-LASTMOD-UNIFORM', 'ACC-LLMS-TXT-ABSENT') THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' ELSE 'low' END ELSE severity END AS severity, coalesce(anchors, 0) AS anchors FROM given g LEFT JOIN n USING (site)""", GIVEN, SPOKEN)
 def _(spark, sf_dir):
-    return fragments.damped(GIVEN.df(spark), SPOKEN.df(spark))
+    return fragments.damped(GIVEN.df(spark, sf_dir), SPOKEN.df(spark, sf_dir))
 
 
-WORDED = Inline("worded", "site string, field string, text string", (
-    ("a", "title", "Add FAQPage markup"), ("a", "action", "This will rank and is guaranteed"), ("a", "summary", "llms.txt helps visibility; LCP is 2.5 s"), ("a", "evidence", "snapshot.pages[0] says FAQPage"), ("b", "evidence", "is_soft_404 was true"),
-    ("b", "title", "Plain words"), ("b", "action", None), ("b", "summary", "indexnow and howto"),
-))
 _RULES = ", ".join(f"({e}, '{p}', '{w}')" for e, rules in (("FALSE", fragments.SAID), ("TRUE", fragments.SHOWN)) for p, w in rules)
 
 
 @query("wording_warnings", f"+ru(shown, pattern, warning) AS (VALUES {_RULES}) SELECT site, field, warning FROM worded JOIN ru ON shown = (field = 'evidence') AND regexp_matches(text, CASE WHEN shown THEN '' ELSE '(?i)' END || pattern)", WORDED)
 def _(spark, sf_dir):
-    return fragments.warnings(WORDED.df(spark))
-
-
-ANSWERED = Inline("answered", "url string, raw string", (("http://a/", "Server: nginx|CF-RAY: 1-x|Set-Cookie: s=1"), ("http://b/", "cache-control: max-age=60, public|Link: </x>; rel=y|last-modified: Mon"), ("http://c/", "x: y")))
+    return fragments.warnings(WORDED.df(spark, sf_dir))
 
 
 @query("kept_headers", "+h AS (SELECT url, string_split(raw, '|') AS l FROM answered) SELECT url, " + ", ".join(f"list_transform(list_filter(l, lambda x: lower(split_part(x, ': ', 1)) = '{h}'), lambda x: split_part(x, ': ', 2))[1] AS {h.replace('-', '_')}" for h in fragments.HEADERS) + " FROM h", ANSWERED)
 def _(spark, sf_dir):
-    return ANSWERED.df(spark).select("url", *fragments.kept_headers(F.expr(r"str_to_map(raw, '\\|', ': ')")))
+    return ANSWERED.df(spark, sf_dir).select("url", *fragments.kept_headers(F.expr(r"str_to_map(raw, '\\|', ': ')")))
 
 
 @query("handed_findings", "SELECT site, check_id, consumer FROM given, (VALUES ('entity'), ('freshness'), ('answers')) c(consumer) WHERE gate = 'finding'", GIVEN)
 def _(spark, sf_dir):
-    return fragments.handed(GIVEN.df(spark).filter("gate = 'finding'")).select("site", "check_id", "consumer")
-
-
-VARIANTS = Inline("variants_of_names", "site string, ord int, name string", (
-    ("a", 1, "Acme Software"), ("a", 2, "Mercury"), ("a", 3, "Acme"), ("a", 4, "Inc."), ("a", 5, "Software Museum"), ("a", 6, "Acme"), ("b", 1, "3 14 Python"), ("b", 2, "14 Docs"), ("b", 3, "Python Docs"), ("b", 4, "14"), ("c", 1, None),
-))
-
-
-@query("name_variants")
-def _(spark, sf_dir):
-    """No SQL: each name is compared with the groups that those before it made."""
-    return fragments.name_groups(VARIANTS.df(spark).withColumn("words", texts.name_tokens(F.col("name"))))
+    return fragments.handed(GIVEN.df(spark, sf_dir).filter("gate = 'finding'")).select("site", "check_id", "consumer")

@@ -8,6 +8,7 @@ from ..functions import texts
 from ..operators import excerpts, names, phrase_index, prefixes
 from ..sources import pages as sources
 from .audit_queries import query
+from .observed import VARIANTS_OF_NAMES
 from .site_queries import BL, PG, table
 
 
@@ -82,20 +83,44 @@ _ALIKE = """(list_has_all(l.words, n.words) OR list_has_all(n.words, l.words)
   OR list_has_any(list_filter(l.words, lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+')), list_filter(n.words, lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+'))))"""
 
 
+_WORDS = f"list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: w NOT IN ({_LISTED})))"
+#: Groups of the names in the table `worded` (site, page_id, nth, name, words), one after another.
+_GROUPED = f"""once AS (SELECT site, name, arg_min(words, (page_id, nth)) AS words, min((page_id, nth)) AS first FROM worded WHERE len(words) > 0 GROUP BY ALL),
+  queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first) AS n FROM once),
+  walk AS (
+    SELECT site, 0::BIGINT AS n, NULL::VARCHAR AS name, NULL::VARCHAR AS leader, []::STRUCT(name VARCHAR, words VARCHAR[])[] AS led FROM (SELECT DISTINCT site FROM queue)
+    UNION ALL
+    SELECT site, n, name, coalesce(hit.name, name), CASE WHEN hit IS NULL THEN list_append(led, {{'name': name, 'words': words}}) ELSE led END
+    FROM (SELECT n.site, n.n, n.name, n.words, w.led, list_filter(w.led, lambda l: {_ALIKE})[1] AS hit FROM walk w JOIN queue n ON n.site = w.site AND n.n = w.n + 1)
+  )"""
+
+
 @query(
     "page_name_groups",
     rf"""WITH RECURSIVE {PG}, parts AS (SELECT site, page_id, list_filter(list_transform(string_split_regex({_TITLE}, '\s+[|–—:·-]\s+'), lambda s: trim(s)), lambda s: s <> '')
         || list_filter([nullif(trim(regexp_replace(regexp_replace(regexp_extract_all(html, '(?:©|&copy;|\(c\)) *((?:[0-9]{{4}}(?:[-–][0-9]{{4}})? *)?[^<&|]*)', 1)[-1], '^[0-9]{{4}}(?:[-–][0-9]{{4}})? *', ''), '(?i)[ .,]*(?:all rights reserved|privacy|terms).*$', '')), '')], lambda s: s IS NOT NULL) AS names FROM pg),
     flat AS (SELECT site, page_id, unnest(names) AS name, generate_subscripts(names, 1) AS nth FROM parts),
-    worded AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: w NOT IN ({_LISTED}))) AS words FROM flat),
-    once AS (SELECT site, name, arg_min(words, (page_id, nth)) AS words, min((page_id, nth)) AS first FROM worded WHERE len(words) > 0 GROUP BY ALL),
-    queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first) AS n FROM once),
-    walk AS (
-      SELECT site, 0::BIGINT AS n, NULL::VARCHAR AS name, NULL::VARCHAR AS leader, []::STRUCT(name VARCHAR, words VARCHAR[])[] AS led FROM (SELECT DISTINCT site FROM queue)
-      UNION ALL
-      SELECT site, n, name, coalesce(hit.name, name), CASE WHEN hit IS NULL THEN list_append(led, {{'name': name, 'words': words}}) ELSE led END
-      FROM (SELECT n.site, n.n, n.name, n.words, w.led, list_filter(w.led, lambda l: {_ALIKE})[1] AS hit FROM walk w JOIN queue n ON n.site = w.site AND n.n = w.n + 1)
-    ) SELECT site, name, leader FROM walk WHERE n > 0""",
+    worded AS (SELECT *, {_WORDS} AS words FROM flat), {_GROUPED} SELECT site, name, leader FROM walk WHERE n > 0""",
 )
 def page_name_groups(spark, sf_dir):
     return names.name_groups(page_names(spark, sf_dir))
+
+
+_VARIANTS = f"worded AS (SELECT site, ord AS page_id, 1 AS nth, name, {_WORDS} AS words FROM variants_of_names), {_GROUPED}"
+
+
+def _variants(spark, sf_dir):
+    rows = VARIANTS_OF_NAMES.df(spark, sf_dir).withColumn("words", texts.name_tokens(F.col("name")))
+    return names.name_groups(rows)
+
+
+@query("name_variants", f"+{_VARIANTS} SELECT site, name, leader FROM walk WHERE n > 0", VARIANTS_OF_NAMES)
+def name_variants(spark, sf_dir):
+    """Each distinct title of a site and the one that leads its group."""
+    return _variants(spark, sf_dir)
+
+
+@query("name_groups", f"+{_VARIANTS} SELECT site, leader, count(*) AS names FROM walk WHERE n > 0 GROUP BY ALL", VARIANTS_OF_NAMES)
+def name_groups(spark, sf_dir):
+    """How many distinct titles each group of a site has."""
+    return _variants(spark, sf_dir).groupBy("site", "leader").agg(F.count(F.lit(1)).alias("names"))

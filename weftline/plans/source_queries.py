@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -19,13 +16,6 @@ from .site_queries import ORACLES, PG, table
 _CAP = 3_000  # of this query, so that pages of a few thousand bytes are cut too
 
 
-def _zipped(batches):
-    for batch in batches:
-        bodies = [gzip.compress(b, mtime=0) if z else b for b, z in zip(batch.column("body").to_pylist(), batch.column("zip").to_pylist())]
-        at = batch.column_names.index("body")
-        yield batch.set_column(at, "body", pa.array(bodies, pa.binary()))
-
-
 @query(
     "snapshot_bodies",
     rf"""WITH {PG} SELECT page_id AS ord, site, url AS requested_url, CASE WHEN page_id % 3 = 0 THEN 'tiny' ELSE 'page' END AS purpose, CASE WHEN page_id % 2 = 0 THEN 'gzip' ELSE 'identity' END AS encoding,
@@ -43,7 +33,7 @@ def snapshot_bodies(spark, sf_dir):
         F.lit(None).cast("string").alias("error"), (i % 2 == 0).alias("zip"),
     )
     folder = new_folder(spark, "snapshot")
-    snapshots.write_snapshot(fetches.mapInArrow(_zipped, fetches.schema).drop("zip"), folder)
+    snapshots.write_snapshot(fetches.mapInArrow(snapshots.zipped, fetches.schema).drop("zip"), folder)
     read = snapshots.read_snapshot(spark, folder, caps=snapshots.CAPS | {"tiny": _CAP})
     both = read.join(pages.select(i.alias("ord"), F.col("html").cast("binary").alias("html")), "ord")
     encoding = F.col("headers")["content-encoding"]
@@ -129,3 +119,15 @@ def streamed_viewport_absent(spark, sf_dir):
 
     site_audit_stream(pages, audit, f"{folder}/out", f"{folder}/store", f"{folder}/state").awaitTermination()
     return current(spark, f"{folder}/out").select("site", "check_id", "gate", "severity", "evidence")
+
+
+@query(
+    "probe_log",
+    f"""WITH {_LINES_SQL} SELECT file, any_value(engine) AS engine, max(entry) AS entries, count(*) FILTER (WHERE kind = 'url' AND entry > 0) AS cited, count(*) FILTER (WHERE kind = 'odd') AS errors FROM k JOIN f USING (file) GROUP BY file""",
+)
+def probe_log(spark, sf_dir):
+    """What each log holds: its engine, entries, links, and lines that cannot be read."""
+    lines = _logs(spark, sf_dir)
+    found = probe_logs.entries(lines).groupBy("file").agg(F.max("engine").alias("engine"), F.max("entry").alias("entries"), F.sum(F.size("cited_urls")).cast("long").alias("cited"))
+    odd = probe_logs.errors(lines).filter(F.startswith("problem", F.lit("cannot read"))).groupBy("file").agg(F.count(F.lit(1)).alias("errors"))
+    return found.join(odd, "file", "left").select("file", "engine", "entries", "cited", F.coalesce("errors", F.lit(0)).alias("errors"))
