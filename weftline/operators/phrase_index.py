@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..sources.pages import first_by
+from ..sources.scratch import written
 
 GRAM = 3
+FEW = 100_000  # rows that are broadcast; more are joined by shuffles
 _ESCAPED = r"([\\^$.|?*+()\[\]{}])"
 
 
@@ -28,33 +30,47 @@ def find_offset(text: Column, phrase: Column) -> Column:
     return F.when(exact > 0, exact - 1).when(there, F.length(before))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, written; to be broadcast if there are FEW at most."""
+    rows = written(rows, "phrases")
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def hits(phrases: DataFrame, runs: DataFrame, key: str = "run") -> DataFrame:
     """(phrase_id, key, offset) for each run (key, text) that holds a phrase (phrase_id, phrase), once for each pair; phrases and
-    texts that are null or blank hold nothing. Keys of runs and ids of phrases tell rows apart."""
+    texts that are null or blank hold nothing. Keys of runs and ids of phrases tell rows apart.
+
+    Runs are split into words twice: to count the runs of the words that phrases ask for, and to find those of the words looked
+    up. As long as FEW slots, words or pairs are at hand, nothing of the runs is shuffled but these counts."""
     asked = phrases.select("phrase_id", F.col("phrase"), F.split(texts.fold_spaces(F.col("phrase")), " ").alias("ws")).filter("phrase IS NOT NULL AND ws[0] <> ''")
     words = runs.select(key, F.explode(F.array_distinct(F.split(texts.fold_spaces(F.col("text")), " "))).alias("word")).filter("word <> ''")
-    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("runs"))
+    counted = [F.count(F.lit(1)).alias("runs")]
 
     inner = asked.filter(F.size("ws") >= 3).select("phrase_id", F.posexplode(F.slice("ws", F.lit(2), F.size("ws") - 2)).alias("slot", "word"))
-    inner = inner.join(vocabulary, "word")
+    wanted = words.join(_small(inner.select("word").distinct()), "word").groupBy("word").agg(*counted)
+    found = inner.join(wanted, "word").select("phrase_id", "slot", "word", "runs")
 
-    n = F.size("ws")
-    slot = lambda i, word, gram: F.struct(F.lit(i).alias("slot"), word.alias("part"), gram.alias("gram"))
-    head, tail = F.get("ws", F.lit(0)), F.get("ws", n - 1)
-    ends = F.when(n == 1, F.array(slot(0, head, F.left(head, F.lit(GRAM))))).otherwise(F.array(slot(0, head, F.right(head, F.lit(GRAM))), slot(1, tail, F.left(tail, F.lit(GRAM)))))
-    outer = asked.filter(n <= 2).select("phrase_id", n.alias("n"), F.explode(ends).alias("s")).select("phrase_id", "n", "s.*")
-    at = F.sequence(F.lit(1), F.length("word"))
+    short = asked.filter(F.size("ws") <= 2)
+    if not short.isEmpty():
+        n = F.size("ws")
+        slot = lambda i, word, gram: F.struct(F.lit(i).alias("slot"), word.alias("part"), gram.alias("gram"))
+        head, tail = F.get("ws", F.lit(0)), F.get("ws", n - 1)
+        ends = F.when(n == 1, F.array(slot(0, head, F.left(head, F.lit(GRAM))))).otherwise(F.array(slot(0, head, F.right(head, F.lit(GRAM))), slot(1, tail, F.left(tail, F.lit(GRAM)))))
+        outer = _small(short.select("phrase_id", n.alias("n"), F.explode(ends).alias("s")).select("phrase_id", "n", "s.*"))
+        at = F.sequence(F.lit(1), F.length("word"))
 
-    def parts(size):
-        return F.transform(at, lambda i: F.substring(F.col("word"), i, F.lit(size)))
+        def parts(size):
+            return F.transform(at, lambda i: F.substring(F.col("word"), i, F.lit(size)))
 
-    grams = vocabulary.select("word", "runs", F.explode(F.array_distinct(F.concat(*map(parts, range(1, GRAM + 1))))).alias("gram"))
-    fits = F.when(F.col("n") == 1, F.contains("word", F.col("part"))).when(F.col("slot") == 0, F.endswith("word", F.col("part"))).otherwise(F.startswith("word", F.col("part")))
-    outer = outer.join(grams, "gram").filter(fits).select("phrase_id", "slot", "word", "runs")
+        vocabulary = words.groupBy("word").agg(*counted)
+        grams = vocabulary.select("word", "runs", F.explode(F.array_distinct(F.concat(*map(parts, range(1, GRAM + 1))))).alias("gram"))
+        fits = F.when(F.col("n") == 1, F.contains("word", F.col("part"))).when(F.col("slot") == 0, F.endswith("word", F.col("part"))).otherwise(F.startswith("word", F.col("part")))
+        found = found.unionByName(grams.join(outer, "gram").filter(fits).select("phrase_id", "slot", "word", "runs"))
 
-    found = inner.select("phrase_id", "slot", "word", "runs").unionByName(outer)
+    found = written(found, "phrase_words")
     rarest = first_by(found.groupBy("phrase_id", "slot").agg(F.sum("runs").alias("cost")), ["phrase_id"], ["cost", "slot"]).select("phrase_id", "slot")
-    looked = found.join(rarest, ["phrase_id", "slot"]).select("phrase_id", "word")
-    pairs = looked.join(words, "word").select("phrase_id", key).distinct()
-    read = pairs.join(asked.select("phrase_id", "phrase"), "phrase_id").join(runs.select(key, "text"), key)
+    looked = _small(found.join(rarest, ["phrase_id", "slot"]).select("phrase_id", "word"))
+    pairs = words.join(looked, "word").select("phrase_id", key).distinct()
+    pairs = _small(pairs.join(asked.select("phrase_id", "phrase"), "phrase_id"))
+    read = runs.select(key, "text").join(pairs, key)
     return read.select("phrase_id", key, find_offset(F.col("text"), F.col("phrase")).alias("offset")).filter("offset IS NOT NULL")

@@ -127,7 +127,11 @@ class Report:
     text: DataFrame
 
     def written(self, folder: str) -> None:
-        """Each table as JSON lines in a folder of its name."""
+        """Each table as JSON lines in a folder of its name. Counts that do not agree with the findings are an error, and nothing
+        is written."""
+        wrong = report.invariants(self.findings, self.summary).limit(5).collect()
+        if wrong:
+            raise ValueError("; ".join(f"{r['site']}: {r['problem']}" for r in wrong))
         for f in fields(self):
             getattr(self, f.name).write.mode("overwrite").json(f"{folder}/{f.name}")
 

@@ -8,7 +8,7 @@ from ..functions import claims as claim_functions
 from ..functions import texts, urls
 from ..operators import excerpts
 from ..sources import pages as sources
-from . import audit, budget_queries, fragment_queries, index_queries, schema_queries, source_queries  # noqa: F401  (they register their queries)
+from . import audit, budget_queries, fragment_queries, index_queries, report_queries, schema_queries, source_queries  # noqa: F401  (they register their queries)
 from .audit_queries import ORACLES, QUERIES, query
 from .observed import ASKED, BLOCKS, FETCHES, PASSAGES, PRESENCE, RESULTS, RUNS, TEXTS
 from .site_queries import BL, LK, LP, PG

@@ -105,7 +105,7 @@ _CHECK = "CASE page_id % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enum
 RESULTS = Derived(
     "results",
     f"""SELECT site, {_CHECK} AS check_id, CASE page_id % 7 WHEN 5 THEN 'pass' WHEN 6 THEN 'not_evaluated' ELSE 'finding' END AS gate, CASE page_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
-      CASE page_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, CASE page_id % 6 WHEN 0 THEN 'answers 200, page ' WHEN 1 THEN 'guaranteed; page ' ELSE 'page ' END || page_id AS evidence,
+      CASE page_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, CASE page_id % 6 WHEN 0 THEN 'answers 200, page ' WHEN 1 THEN 'guaranteed; page ' WHEN 2 THEN 'see ZZZ-NOTREAL, ACC-LINK-ROT and UTF-8; page ' ELSE 'page ' END || page_id AS evidence,
       CASE WHEN page_id % 10 = 5 THEN 'hypothesis' ELSE 'direct-measurement' END AS evidence_quality, ARR({URL}, {HEAD} || '/') AS urls FROM pg""",
 )
 IDEAS = Derived("ideas", f"SELECT site, CASE page_id % 4 WHEN 0 THEN 'Add prices' WHEN 1 THEN 'add Prices' WHEN 2 THEN 'Fix menu' ELSE {TITLE} END AS title, page_id % 5 AS priority FROM pg")

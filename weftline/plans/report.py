@@ -91,6 +91,63 @@ def opportunities(rows: DataFrame) -> DataFrame:
     return once.select("site", rank.alias("rank"), "title", "priority")
 
 
+#: A token that looks like the id of a check: three letters and a tail of three characters or more, so that UTF-8 is none.
+CITED = r"\b[A-Z]{3}-[A-Z0-9][A-Z0-9-]{2,}\b"
+
+
+def citations(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(site, id, check_id, cited): ids that the evidence of a finding names and that no check has; warnings only."""
+    named = F.array_distinct(F.regexp_extract_all(F.coalesce("evidence", F.lit("")), F.lit(CITED), F.lit(0)))
+    rows = found.select("site", "id", "check_id", F.explode(named).alias("cited")).filter("cited <> check_id")
+    return rows.join(F.broadcast(catalog.select(F.col("check_id").alias("cited"))), "cited", "left_anti").select("site", "id", "check_id", "cited")
+
+
+def invariants(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """(site, problem): where a summary (site, critical, high, medium, low) does not agree with the findings (site, id, severity),
+    a site has findings without a summary, a severity is unknown, or numbers have gaps."""
+    number = F.regexp_extract("id", "^F-([0-9]+)$", 1).try_cast("long")
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    per = found.groupBy("site").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES], F.count_if(F.coalesce(rank, F.lit(0)) == 0).alias("odd"),
+        F.max(number).alias("last"), F.count_distinct(number).alias("numbers"),
+    )
+    rows = counts.join(per, "site", "full")
+    none = F.lit(0)
+    tests = [(F.coalesce(s, none) != F.coalesce(f"n_{s}", none), f"{s} findings miscounted") for s in SEVERITIES]
+    tests += [(F.col("n").isNotNull() & F.col(SEVERITIES[0]).isNull(), "findings without a summary"), (F.col("odd") > 0, "unknown severity"), ((F.col("last") != F.col("n")) | (F.col("numbers") != F.col("n")), "numbers with gaps")]
+    problems = F.filter(F.array(*[F.when(test, F.lit(text)) for test, text in tests]), lambda x: x.isNotNull())
+    return rows.select("site", F.explode(problems).alias("problem"))
+
+
+def sections(found: DataFrame, routed: DataFrame, open_: DataFrame, warnings: DataFrame, sites: DataFrame) -> DataFrame:
+    """(site, report): what was found, what passed, what needs a look, what was not evaluated, and warnings (site, id, warning),
+    each under its heading if there is any of it; sites without results have their counts only."""
+
+    def listed(rows, order, line, name):
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))), lambda x: x["line"])
+        return rows.groupBy("site").agg(F.array_join(lines, "\n").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    text = F.coalesce("evidence", F.lit(""))
+    head = F.concat(F.lit("- **"), F.col("id"), F.lit("** ("), F.col("severity"), F.lit(", "), F.col("confidence"), F.lit(") "), F.col("check_id"), F.lit(": "), text)
+    urls = F.when(F.col("urls") != "", F.concat(F.lit("\n  "), F.col("urls"))).otherwise("")
+    passed = routed.filter("route = 'passed'").select("site", "check_id").distinct()
+    check = F.concat(F.lit("- "), F.col("check_id"))
+    parts = [
+        ("Findings", listed(found, number, F.concat(head, urls), "findings")),
+        ("Passed", listed(passed, F.col("check_id"), check, "passed")),
+        ("To verify", listed(routed.filter("route = 'verify'"), F.struct("check_id", text), F.concat(check, F.lit(": "), text), "verify")),
+        ("Not evaluated", listed(open_, F.col("check_id"), check, "open")),
+        ("Warnings", listed(warnings, F.struct("id", "warning"), F.concat(F.lit("- "), F.col("id"), F.lit(": "), F.col("warning")), "warnings")),
+    ]
+    rows = sites.select("site").distinct()
+    for _, part in parts:
+        rows = rows.join(part, "site", "left")
+    bodies = [F.concat(F.lit(f"## {title}\n"), F.col(part.columns[1])) for title, part in parts]
+    counts = [F.concat(F.coalesce(f"n_{part.columns[1]}", F.lit(0)).cast("string"), F.lit(f" {title.lower()}")) for title, part in parts[:4]]
+    return rows.select("site", F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("site"), F.lit("\n"), F.concat_ws(", ", *counts)), *bodies).alias("report"))
+
+
 def markdown(found: DataFrame) -> DataFrame:
     """(site, report): a line for each finding, in order."""
     line = F.concat(F.lit("- **"), F.col("id"), F.lit("** ("), F.col("severity"), F.lit(") "), F.col("check_id"), F.lit(": "), F.coalesce("evidence", F.lit("")))
