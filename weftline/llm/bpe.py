@@ -73,7 +73,11 @@ class BytePairEncoder:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.bytes = [ranks.get(bytes([i]), NONE) for i in range(256)]
+        self.bytes = np.array([ranks.get(bytes([i]), NONE) for i in range(256)], np.int64)
+        self.first = np.full((256, 256), NONE, np.int64)  # ranks of pairs of bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = rank
         self.pairs: dict[int, int] = {}  # two ids to the rank of their pair, as far as met
         self.pattern, self.spaces = regex.compile(pattern), spaces
         # A space that has white space before it and none or an end after it can join a longer run.
@@ -83,37 +87,26 @@ class BytePairEncoder:
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each of several pre-tokens."""
-        ids: list[int] = []
-        ends: list[int] = []
-        for piece in pieces:
-            whole = self.ranks.get(piece)
-            ids += [self.bytes[b] for b in piece] if whole is None else [whole]
-            ends.append(len(ids))
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for end in ends:  # breaks
-            if end:
-                after[end - 1] = NONE
-            if end < n:
-                before[end] = NONE
-        rank_at = [NONE] * n  # rank of the pair that begins at a position
-        buckets: dict[int, list[int]] = {}
+        wholes = [self.ranks.get(piece) for piece in pieces]  # these are tokens as they are
+        raw = np.frombuffer(b"".join(p for p, whole in zip(pieces, wholes) if whole is None), np.uint8)
+        ends = np.cumsum([len(p) for p, whole in zip(pieces, wholes) if whole is None], dtype=np.int64)
+        n = len(raw)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        # Ranks of the pairs that begin at each place, as they are before any merge; no pair spans a break.
+        first = np.full(n, NONE, np.int64)
+        first[: max(n - 1, 0)] = self.first[raw[:-1], raw[1:]]
+        breaks = ends[ends > 0] - 1
+        after[breaks] = first[breaks] = NONE
+        before[ends[ends < n]] = NONE
+        there = np.flatnonzero(first >= 0)
+        there = there[np.argsort(first[there], kind="stable")]
+        at = first[there]
+        edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+        buckets = {int(at[i]): there[i:j].tolist() for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(at)])}
         queue, pairs, ranks, tokens = RankBitmap(), self.pairs, self.ranks, self.tokens
-        for i in range(n):
-            j = after[i]
-            if j < 0:
-                continue
-            pair = ids[i] << SHIFT | ids[j]
-            rank = pairs.get(pair)
-            if rank is None:
-                rank = pairs[pair] = ranks.get(tokens[ids[i]] + tokens[ids[j]], NONE)
-            if rank >= 0:
-                rank_at[i] = rank
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
-                    queue.add(rank)
+        for rank in buckets:
+            queue.add(rank)
+        ids, after, before, rank_at = self.bytes[raw].tolist(), after.tolist(), before.tolist(), first.tolist()
         while (rank := queue.pop()) >= 0:
             held = buckets.pop(rank)
             held.sort()  # the leftmost pair of a rank goes first
@@ -152,10 +145,14 @@ class BytePairEncoder:
                     break
         if len(pairs) > 4_000_000:
             pairs.clear()
-        out, start = [], 0
-        for end in ends:
-            out.append([x for x in ids[start:end] if x >= 0])
-            start = end
+        out, start, bounds = [], 0, iter(ends.tolist())
+        for whole in wholes:
+            if whole is None:
+                end = next(bounds)
+                out.append([x for x in ids[start:end] if x >= 0])
+                start = end
+            else:
+                out.append([whole])
         return out
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
