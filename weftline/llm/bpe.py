@@ -188,8 +188,8 @@ class BytePairEncoder:
             else:
                 head, *words = text.split(" ")
                 split.append((find(head), words))
-                for word in set(words):
-                    if word not in spaced and word not in unknown:
+                for word in set(words).difference(spaced):
+                    if word not in unknown:
                         unknown[word] = find(" " + word)
             pieces.update(p for p in split[-1][0] if p not in bare)
         for word, parts in unknown.items():
@@ -202,13 +202,11 @@ class BytePairEncoder:
                 packed = bare.get(piece)
             return spaced[piece[1:]] if packed is None else packed
 
-        fresh = {word: b"".join(map(known, parts)) for word, parts in unknown.items()}
-        out = []
-        for heads, words in split:
-            packed = [known(p) for p in heads]
-            packed += [spaced[w] if w in spaced else fresh[w] for w in words]
-            out.append(b"".join(packed))
-        spaced.update((w, b) for w, b in fresh.items() if len(w) < self.LONGEST_CACHED)
+        spaced.update([(word, b"".join(map(known, parts))) for word, parts in unknown.items()])
+        out = [b"".join([*map(known, heads), *map(spaced.__getitem__, words)]) for heads, words in split]
+        for word in unknown:
+            if len(word) >= self.LONGEST_CACHED:
+                del spaced[word]
         bare.update((p, b) for p, b in learned.items() if p[0] != " " and len(p) < self.LONGEST_CACHED)
         spaced.update((p[1:], b) for p, b in learned.items() if p[0] == " " and len(p) < self.LONGEST_CACHED)
         return out
