@@ -1,6 +1,7 @@
 """Observations of a few sites, each written to bring out one case."""
 
 from weftline.operators import fragments  # noqa: F401
+from weftline.plans.audit_queries import HTML  # noqa: F401
 from weftline.sources.inline import Inline
 
 _ROBOTS = (

@@ -165,7 +165,8 @@ def test_cited_runs_equal_a_plain_version(spark):
     lines = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 160))) for _ in range(60)]
     blocks = [(p, o, rng.choice(lines) if rng.random() < 0.7 else f"own  {p} {o} " + rng.choice(lines)) for p in range(40) for o in range(1, 8)]
     df = spark.createDataFrame([("s", *b) for b in blocks] + [("t", 1, 1, "a lonely run of text"), ("t", 2, 1, None)], "site string, page_id long, ord long, line string").repartition(4)
-    shared, own = budgets.cited_runs(df)
+    found = budgets.cited_runs(df).cache()
+    shared, own = found.filter("page_id IS NULL"), found.filter("page_id IS NOT NULL")
     expected = plain_cited(blocks)
     assert [r.line for r in shared.filter("site = 's'").orderBy("rank").collect()] == expected[0] and len(expected[0]) > 3
     assert sorted((r.page_id, r["rank"], r.line) for r in own.filter("site = 's'").collect()) == expected[1] and len(expected[1]) > 10
@@ -334,3 +335,26 @@ def test_stream_audits_whole_sites(spark, tmp_path):
     last = {0: "z"}
     whole = spark.createDataFrame([(i, u, last.get(i, h), s) for i, u, h, s in rows], schema)
     assert sorted(map(tuple, current(spark, args[0]).select("site", "pages", "html").collect())) == sorted(map(tuple, audit(whole).collect()))
+
+
+# ---- names of sites -------------------------------------------------------------------------------------------------
+
+
+def test_names_of_sites(spark):
+    from weftline.plans import audit
+
+    org = '<script type="application/ld+json">{"@type": "Organization", "name": "%s"}</script>'
+    pages = [
+        (1, "a", "http://a/", "/", '<title>Acme - Home</title><meta content="Acme Ltd" property="og:site_name">' + org % "Acme"),
+        (2, "a", "http://a/x", "/x", "<title>Something else</title><footer>&copy; 2024 Acme Inc.</footer>"),
+        (3, "b", "http://b/", "", "<title>Orion Paint</title>" + org % "Delta Works"),
+        (4, "c", "http://c/", "/", None),
+    ]
+    rows = spark.createDataFrame(pages, "page_id long, site string, url string, path string, html string")
+    got = {(r.site, r.check_id): (r.gate, r.severity, r.evidence) for r in audit.named(rows).collect()}
+    assert got == {
+        ("a", "ENT-NAME-INCONSISTENT"): ("pass", None, "1 variants of the name, 1 stated as such"),
+        ("b", "ENT-NAME-INCONSISTENT"): ("pass", None, "2 variants of the name, 1 stated as such"),
+        ("c", "ENT-NAME-INCONSISTENT"): ("pass", None, "0 variants of the name, 0 stated as such"),
+        ("b", "ENT-STRUCTURED-VISIBLE-CONFLICT"): ("finding", "high", "JSON-LD says Delta Works, the page Orion Paint"),
+    }

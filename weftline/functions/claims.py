@@ -10,17 +10,18 @@ _MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Au
 PATTERNS = (
     ("price", r"[$€£₹] ?[0-9][0-9,]*(?:\.[0-9]{1,2})?|[0-9][0-9,]*(?:\.[0-9]{1,2})? ?(?:USD|EUR|GBP|INR)"),
     ("date", rf"(?i:{_MONTH} [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|(?:updated|published|copyright)[^0-9\n]{{0,40}}(?:19|20)[0-9]{{2}})"),
-    ("count", r"(?i:[0-9][0-9,.]*\+? (?:users|customers|employees|countries|locations|products|students|members|reviews|downloads|stores|offices))"),
-    ("plan", r"(?:Free|Basic|Starter|Standard|Pro|Professional|Premium|Business|Team|Enterprise)(?: [Pp]lan)"),
+    ("count", r"(?i:[0-9][0-9,.]*\+?\s+(?:customers|users|teams|companies|developers|downloads|installs|packages|modules|plugins|extensions|themes|pages|articles|posts|members|countries|enterprises|stars|reviews|questions|students|patients|locations|stores|recipes|episodes|issues|projects|skills|employees|products|offices))"),
+    # Of the plan names only those with the word after them: alone, "Pro" begins many other words in other languages.
+    ("plan", r"(?:Free|Starter|Basic|Standard|Pro|Professional|Premium|Team|Business|Enterprise|Growth|Scale|Plus|Advanced)(?: [Pp]lan)"),
     ("version", r"[vV][0-9]+\.[0-9]+(?:\.[0-9]+)?|[0-9]+\.[0-9]+\.[0-9]+"),
     ("hours", r"(?i:[0-9]{1,2}(?::[0-9]{2})? ?[ap]\.?m\.?(?: ?[-–] ?[0-9]{1,2}(?::[0-9]{2})? ?[ap]\.?m\.?)?)"),
-    ("phone", r"(?:\+?1[-. ])?\(?[2-9][0-9]{2}\)?[-. ][0-9]{3}[-. ][0-9]{4}"),
+    ("phone", r"(?:\+[0-9]{1,2} ?)?(?:\([0-9]{3}\)|[0-9]{3})[-. ][0-9]{3}[-. ][0-9]{4}"),
     ("address", r"[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Way)"),
     ("eligibility", r"(?i:eligib[a-z]*[^.\n]{0,120})"),
-    ("deadline", r"(?i:(?:deadline|apply by|due by|due date)[^.\n]{0,80})"),
-    ("stock", r"(?i:(?:in stock|out of stock|pre-?order|sold out|back ?order)[^.\n]{0,60})"),
-    ("shipping", r"(?i:(?:free shipping|ships in|ships within)[^.\n]{0,60})"),
-    ("credential", r"(?:ISO ?[0-9]{4,5}|SOC ?2|HIPAA|GDPR|PCI[ -]DSS)[^.\n]{0,60}"),
+    ("deadline", r"(?i:(?:deadline|apply by|applies by|applies until|apply until|closes? on|ends? on|due by|due on|due date|registration closes)[^.\n]{0,80})"),
+    ("stock", r"(?i:(?:in stock|out of stock|sold out|back-?order|pre-?order|discontinued|no longer available|available again)[^.\n]{0,60})"),
+    ("shipping", r"(?i:(?:free shipping|ships? in|ships? within|delivery in|delivery within|same-day delivery)[^.\n]{0,60})"),
+    ("credential", r"(?i:(?:ISO ?[0-9]{4,5}|SOC ?2|HIPAA|GDPR|FedRAMP|PCI[ -]DSS)[^.\n]{0,60})"),
 )
 MOST = 30  # claims of a page, as the report takes them
 QUOTE = 160

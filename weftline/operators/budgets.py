@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from ..sources.scratch import written
 
 #: Of runs by which pages can be cited, and of the table of claims.
 LEAST_RUN, MOST_RUN, RUN_BUDGET, MOST_SHARED, RUNS_OF_PAGE = 12, 600, 9_000, 14, 10
@@ -70,21 +71,22 @@ def spend(rows: DataFrame, budgets: tuple[tuple[str, int], ...]) -> DataFrame:
     return rows.mapInPandas(run, f"site {kind}, page_id long, ord long, chars long, consumer string")
 
 
-def cited_runs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shared, own) of blocks (site, page_id, ord, line): runs of LEAST_RUN to MOST_RUN characters, white space folded.
+def cited_runs(blocks: DataFrame) -> DataFrame:
+    """(site, page_id, rank, line, chars, pages, example) of blocks (site, page_id, ord, line): runs of LEAST_RUN to MOST_RUN
+    characters, white space folded, by which pages can be cited.
 
-    shared (site, rank, line, chars, pages, example): runs of several pages, of most pages first and then the longest, ties by
-    their first place; each that fits a third of RUN_BUDGET, MOST_SHARED at most. own (site, page_id, rank, line, chars,
-    pages): of each page the RUNS_OF_PAGE that fewest pages carry, then the longest, without shared ones; in page order, as
+    Rows without page_id are the site's: runs of several pages, of most pages first and then the longest, ties by their first
+    place; each that fits a third of RUN_BUDGET, MOST_SHARED at most; example is their first page. The others are the pages'
+    own: of each page the RUNS_OF_PAGE that fewest pages carry, then the longest, without shared ones; in page order, as
     long as what is left of the budget holds, a page up to its first run that does not fit.
 
-    Runs are counted and chosen by 128 bits of hash; only the places of what is chosen fetch their text."""
+    Runs are counted and chosen by 128 bits of hash, which are written once; what is chosen then fetches its text."""
     keys = ["site", "h1", "h2"]
     line = texts.fold_spaces(F.col("line"))
     runs = blocks.select("site", F.col("page_id").cast("long").alias("page_id"), F.col("ord").cast("long").alias("ord"), line.alias("line"))
     runs = runs.withColumn("chars", F.length("line").cast("long")).filter(F.col("chars").between(LEAST_RUN, MOST_RUN))
     hashed = runs.select("site", "page_id", "ord", "chars", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    once = hashed.groupBy(*keys, "page_id", "chars").agg(F.min("ord").alias("ord"))
+    once = written(hashed.groupBy(*keys, "page_id", "chars").agg(F.min("ord").alias("ord")), "runs")
     carried = once.groupBy(*keys, "chars").agg(F.count(F.lit(1)).alias("pages"), F.min(F.struct("page_id", "ord")).alias("example"))
 
     third = RUN_BUDGET // 3
@@ -113,10 +115,11 @@ def cited_runs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = spend(priced, (("", RUN_BUDGET),)).select("site", "page_id", F.col("ord").cast("int").alias("rank"))
     own = own.join(kept, ["site", "page_id", "rank"], "left_semi")
 
-    text = runs.select("site", "page_id", "ord", "line")
-    shared = hoisted.select("site", "rank", "chars", "pages", "example.page_id", "example.ord").join(text, ["site", "page_id", "ord"])
-    shared = shared.select("site", "rank", "line", "chars", "pages", F.col("page_id").alias("example"))
-    return shared, own.join(text, ["site", "page_id", "ord"]).select("site", "page_id", "rank", "line", "chars", "pages")
+    shared = hoisted.select("site", "example.page_id", "example.ord", "rank", "chars", "pages", F.lit(True).alias("shared"))
+    chosen_all = own.select("site", "page_id", "ord", "rank", "chars", "pages", F.lit(False).alias("shared")).unionByName(shared)
+    found = chosen_all.join(runs.select("site", "page_id", "ord", "line"), ["site", "page_id", "ord"])
+    page = F.col("page_id")
+    return found.select("site", F.when(~F.col("shared"), page).alias("page_id"), "rank", "line", "chars", "pages", F.when(F.col("shared"), page).alias("example"))
 
 
 def claim_matrix(claims: DataFrame, site: str, page: str) -> DataFrame:

@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..sources.pages import first_by
 from ..sources.scratch import written
+from . import checks
 
 
 def telling(words: Column) -> Column:
@@ -74,3 +76,57 @@ def name_groups(names: DataFrame) -> DataFrame:
     first = met.groupBy("site", "ord").agg(F.min("led").alias("led"))
     named = once.join(first, ["site", "ord"]).select("site", "name", "led")
     return named.join(once.select("site", F.col("ord").alias("led"), F.col("name").alias("leader")), ["site", "led"]).select("site", "name", "leader")
+
+
+# ---- what names say of a site ---------------------------------------------------------------------------------------
+
+ANCHORED = ("og", "schema", "footer")  # surfaces that state a name, not a topic
+_OG = r"(?is)<meta(?=[^>]*\sproperty\s*=\s*[\"']og:site_name[\"'])[^>]*\scontent\s*=\s*[\"']([^\"']*)"
+
+
+def site_names(pages: DataFrame, footer: Column, schema: DataFrame | None = None) -> DataFrame:
+    """(site, ord, surface, name, words) of pages (site, page_id, url, path, html): what the Open Graph site name, JSON-LD, the
+    footer and, on home pages, the parts of the title call the site, in this order on each page and in order of pages.
+
+    footer: the name in a page's footer; schema (site, url, nth, name): names of its JSON-LD."""
+    title = texts.title_segments(F.regexp_extract("html", "(?is)<title[^>]*>([^<]*)</title>", 1))
+    home = F.regexp_replace("path", "/+$", "") == ""
+    one = lambda surface, name: F.transform(F.filter(F.array(F.nullif(F.trim(name), F.lit(""))), lambda n: n.isNotNull()), lambda n: F.struct(F.lit(surface).alias("surface"), n.alias("name")))
+    titles = F.transform(F.when(home, title).otherwise(F.array().cast("array<string>")), lambda n: F.struct(F.lit("title").alias("surface"), n.alias("name")))
+    own = F.concat(one("og", F.regexp_extract("html", _OG, 1)), one("footer", footer), titles)
+    rows = pages.select("site", "page_id", F.posexplode(own).alias("nth", "n"))
+    rows = rows.select("site", F.struct("page_id", F.when(F.col("n.surface") == "og", 0).otherwise(2).alias("kind"), F.col("nth").cast("long").alias("nth")).alias("ord"), "n.surface", "n.name")
+    if schema is not None:
+        named = schema.join(pages.select("site", "url", "page_id"), ["site", "url"])
+        said = named.select("site", F.struct("page_id", F.lit(1).alias("kind"), F.col("nth").cast("long").alias("nth")).alias("ord"), F.lit("schema").alias("surface"), "name")
+        rows = rows.unionByName(said)
+    return rows.withColumn("words", texts.name_tokens(F.col("name")))
+
+
+def variants(names: DataFrame) -> DataFrame:
+    """(site, leader, first, mentions, anchored, schema) of names (site, ord, surface, name, words): a row for each group; first
+    is the place of its first name; anchored and schema tell whether a surface that states a name, or JSON-LD, names it so."""
+    once = names.filter(F.size("words") > 0).select("site", "ord", "surface", "name")
+    rows = once.join(name_groups(names), ["site", "name"])
+    return rows.groupBy("site", "leader").agg(
+        F.min("ord").alias("first"), F.count(F.lit(1)).alias("mentions"), F.bool_or(F.col("surface").isin(*ANCHORED)).alias("anchored"), F.bool_or(F.col("surface") == "schema").alias("schema")
+    )
+
+
+def inconsistent(sites: DataFrame, groups: DataFrame) -> DataFrame:
+    """ENT-NAME-INCONSISTENT: what a judgment starts from; the gate passes. sites: (site); groups: of variants()."""
+    per = groups.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count_if("anchored").alias("anchored"))
+    rows = sites.select("site").distinct().join(per, "site", "left").fillna(0, ["n", "anchored"])
+    return checks.result(rows, "ENT-NAME-INCONSISTENT", F.lit(checks.PASSED), "low", "low", F.format_string("%d variants of the name, %d stated as such", "n", "anchored"))
+
+
+def schema_conflict(names: DataFrame, groups: DataFrame) -> DataFrame:
+    """(site, schema_name, visible_name) of sites with two groups of names at most, whose first name in JSON-LD shares no group of
+    words with any title or Open Graph name: neither has all words of the other."""
+    few = groups.groupBy("site").agg(F.count(F.lit(1)).alias("n")).filter("n <= 2").select("site")
+    worded = names.filter(F.size("words") > 0).join(few, "site")
+    said = first_by(worded.filter("surface = 'schema'"), ["site"], ["ord"]).select("site", F.col("name").alias("schema_name"), F.col("words").alias("w"))
+    seen = worded.filter(F.col("surface").isin("title", "og")).join(said, "site")
+    like = (F.size(F.array_except("w", "words")) == 0) | (F.size(F.array_except("words", "w")) == 0)
+    per = seen.groupBy("site", "schema_name").agg(F.bool_or(like).alias("like"), F.min_by("name", "ord").alias("visible_name"))
+    return per.filter(~F.col("like")).select("site", "schema_name", "visible_name")

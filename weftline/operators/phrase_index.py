@@ -74,3 +74,12 @@ def hits(phrases: DataFrame, runs: DataFrame, key: str = "run") -> DataFrame:
     pairs = _small(pairs.join(asked.select("phrase_id", "phrase"), "phrase_id"))
     read = runs.select(key, "text").join(pairs, key)
     return read.select("phrase_id", key, find_offset(F.col("text"), F.col("phrase")).alias("offset")).filter("offset IS NOT NULL")
+
+
+def stands(phrases: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(phrase_id, runs, pages) of phrases (phrase_id, phrase) that stand in blocks (page_id, ord, line): in how many different
+    lines, by hash, and on how many pages. Equal phrases are looked up once, so copies of pages don't make pairs."""
+    once = phrases.select(F.col("phrase").alias("phrase_id"), "phrase").distinct()
+    runs = blocks.select(F.struct("page_id", "ord", F.xxhash64("line").alias("h")).alias("run"), F.col("line").alias("text"))
+    found = hits(once, runs).groupBy(F.col("phrase_id").alias("phrase")).agg(F.count_distinct("run.h").alias("runs"), F.count_distinct("run.page_id").alias("pages"))
+    return phrases.join(found, "phrase").select("phrase_id", "runs", "pages")

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as claim_functions
 from ..functions import urls
-from ..operators import checks, crawl, robots, runs
+from ..operators import checks, crawl, excerpts, names, robots, runs
 from ..sources import pages as sources
 from ..sources.parse import parse_pages
 from . import audit_queries, report
 from .audit_queries import query
 from .catalog import CATALOG, SURFACES
 
+NAMED = ("Organization", "LocalBusiness", "Corporation", "Brand", "WebSite")  # types whose name is the site's
 SAID_BY = ("FRS-CLAIM-CONFLICT", "FRS-DATE-CONFLICT", "ENT-NAME-INCONSISTENT")  # checks that only prepare a judgment
 
 
@@ -66,9 +67,10 @@ def late_content(blocks: DataFrame) -> DataFrame:
 
 
 def boilerplate(blocks: DataFrame) -> DataFrame:
-    """ANS-BOILERPLATE-DROWNING: half of a site's pages or more begin with text that they share."""
-    rows = crawl.extraction_loss(blocks).withColumn("verdict", F.when(F.col("gate") == "finding", "finding").otherwise(F.col("gate")))
-    return checks.result(rows, "ANS-BOILERPLATE-DROWNING", F.col("verdict"), "medium", "medium", F.format_string("%d pages share their beginning", "sharers"))
+    """ANS-BOILERPLATE-DROWNING, which goes by the same measure as REP-EXTRACTION-LOSS (crawl.extraction_loss): pages begin with
+    text that they share, at such length that it fills what is read of them first."""
+    rows = crawl.extraction_loss(blocks)
+    return checks.result(rows, "ANS-BOILERPLATE-DROWNING", F.col("gate"), "medium", "medium", F.format_string("%d pages share their beginning", "sharers"))
 
 
 def prepared(pages: DataFrame) -> DataFrame:
@@ -87,13 +89,27 @@ def prepared(pages: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def named(pages: DataFrame) -> DataFrame:
+    """ENT-NAME-INCONSISTENT of every site, and ENT-STRUCTURED-VISIBLE-CONFLICT of those whose JSON-LD has another name."""
+    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",), whole=True)
+    blocks = parsed.select("site", "url", F.explode("jsonld").alias("b")).select("site", "url", F.col("b.raw").alias("raw"))
+    nodes = checks.jsonld_nodes(blocks).filter(F.col("type").isin(*NAMED) & (F.coalesce("name", F.lit("")) != ""))
+    schema = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("site", "url").orderBy("name"))).select("site", "url", "nth", "name")
+    found = names.site_names(pages, excerpts.footer_name(F.col("html")), schema)
+    groups = names.variants(found)
+    other = names.schema_conflict(found, groups)
+    evidence = F.concat(F.lit("JSON-LD says "), "schema_name", F.lit(", the page "), "visible_name")
+    conflict = checks.result(other, "ENT-STRUCTURED-VISIBLE-CONFLICT", F.lit(checks.FOUND), "high", "high", evidence)
+    return names.inconsistent(pages, groups).unionByName(conflict)
+
+
 def audit(pages: DataFrame, seen: Observed | None = None) -> DataFrame:
     """Results (site, check_id, gate, severity, confidence, evidence, urls, evidence_quality) of every check that pages
     (page_id, site, url, path, html) and what was seen of their sites allow. Sites are handled at once."""
     seen = seen or Observed()
     spark = pages.sparkSession
     blocks = sources.blocks(pages)
-    results = [audit_queries.page_checks(pages), late_content(blocks), boilerplate(blocks), prepared(pages)]
+    results = [audit_queries.page_checks(pages), late_content(blocks), boilerplate(blocks), prepared(pages), named(pages)]
     if seen.robots_files is not None:
         important = pages.select("site", urls.norm_path(F.col("path")).alias("path")).filter(crawl.page_class(F.col("path")).isin(*crawl.IMPORTANT)).distinct()
         searching = SURFACES.df(spark).filter("role = 'search-index'")
@@ -125,6 +141,12 @@ class Report:
     summary: DataFrame
     warnings: DataFrame
     text: DataFrame
+    results: DataFrame | None = None  # what is persisted for the tables
+
+    def release(self) -> None:
+        """Give back what is persisted; the tables may be read after it, at the cost of the audit."""
+        if self.results is not None:
+            self.results.unpersist()
 
     def written(self, folder: str) -> None:
         """Each table as JSON lines in a folder of its name. Counts that do not agree with the findings are an error, and nothing
@@ -132,7 +154,7 @@ class Report:
         wrong = report.invariants(self.findings, self.summary).limit(5).collect()
         if wrong:
             raise ValueError("; ".join(f"{r['site']}: {r['problem']}" for r in wrong))
-        for f in fields(self):
+        for f in fields(self)[:-1]:
             getattr(self, f.name).write.mode("overwrite").json(f"{folder}/{f.name}")
 
 
@@ -145,7 +167,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 def report_of(results: DataFrame, sites: DataFrame) -> Report:
     """The report of results; sites (site) are all that were audited, also those without results.
 
-    The results, a row for each check of a site, are persisted, as all tables of the report read them."""
+    The results, a row for each check of a site, are persisted until release(), as all tables of the report read them."""
     catalog = CATALOG.df(results.sparkSession)
     results = results.persist()
     routed = report.route(results, catalog)
@@ -157,7 +179,7 @@ def report_of(results: DataFrame, sites: DataFrame) -> Report:
     counts = sites.select("site").distinct().join(counts, "site", "left").join(partial, "site", "left").fillna(0)
     counts = counts.withColumn("partial", F.col("open") > 0)
     warnings = report.out_of_band(found, catalog).select("site", "id", F.lit("severity out of band").alias("warning")).unionByName(report.forbidden(found).select("site", "id", F.lit("forbidden claim").alias("warning")))
-    return Report(found, numbered(routed.filter("route = 'verify'")), open_, counts, warnings, report.markdown(found))
+    return Report(found, numbered(routed.filter("route = 'verify'")), open_, counts, warnings, report.markdown(found), results)
 
 
 def audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

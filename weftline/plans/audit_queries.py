@@ -20,7 +20,7 @@ from ..sources.inline import Inline
 from ..sources.parse import parse_pages
 from . import report
 from .catalog import CATALOG, SURFACES
-from .observed import (FILES, PATHS, RFETCH, HEADS, BOTS, CANON, CHAINS, UA, MAPS, SITEMAP, ALTS, LLMS, ROT, TIMES, PRESENCE, NAMES, MISSING, VARIANTS, DATES, LEVELS, QUESTIONS, TARGETS, BLOCKS, PASSAGES, RESOLVE, RESULTS, IDEAS, VERDICTS, MEASURES, PROBES, PROMPTS, SPACED, TOKENS,)
+from .observed import (FILES, PATHS, RFETCH, HEADS, BOTS, CANON, CHAINS, UA, MAPS, SITEMAP, ALTS, LLMS, ROT, TIMES, PRESENCE, NAMES, MISSING, VARIANTS, DATES, LEVELS, QUESTIONS, TARGETS, BLOCKS, PASSAGES, RESOLVE, RESULTS, IDEAS, VERDICTS, MEASURES, PROBES, PROMPTS, SPACED, TOKENS, HTML_MADE,)
 from .site_queries import PG, np_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,9 +283,9 @@ def _(spark, sf_dir):
     return page_checks(sources.read_pages(spark, sf_dir)).select("site", "check_id", "gate", "severity", "confidence", "evidence")
 
 
-@query("jsonld_blocks", """+b AS (SELECT page_id, unnest(regexp_extract_all(html, '<script type="application/ld\\+json">(.*?)</script>', 1)) AS raw FROM html_pages) SELECT page_id, raw, json_valid(raw) AS parse_ok FROM b""", HTML)
+@query("jsonld_blocks", """+b AS (SELECT page_id, unnest(regexp_extract_all(html, '<script type="application/ld\\+json">(.*?)</script>', 1)) AS raw FROM html_pages) SELECT page_id, raw, json_valid(raw) AS parse_ok FROM b""", HTML_MADE)
 def _(spark, sf_dir):
-    rows = parse_pages(HTML.df(spark)).select("page_id", F.explode("jsonld").alias("b"))
+    rows = parse_pages(HTML_MADE.df(spark, sf_dir)).select("page_id", F.explode("jsonld").alias("b"))
     return rows.select("page_id", F.col("b.raw").alias("raw"), F.col("b.parse_ok").alias("parse_ok"))
 
 
@@ -296,9 +296,9 @@ def _(spark, sf_dir):
 
 
 @query("page_measures", """SELECT site, sum(greatest(0, len(regexp_extract_all(html, '<details')) - len(regexp_extract_all(html, '<details open'))))::BIGINT AS collapsed, sum(len(regexp_extract_all(html, '<img')))::BIGINT AS images_unsized,
-  max(len(regexp_extract_all(html, '<script src=')))::INTEGER AS render_blocking FROM (SELECT site, coalesce(html, '') AS html FROM html_pages) GROUP BY 1""", HTML)
+  max(len(regexp_extract_all(html, '<script src=')))::INTEGER AS render_blocking FROM (SELECT site, coalesce(html, '') AS html FROM html_pages) GROUP BY 1""", HTML_MADE)
 def _(spark, sf_dir):
-    return checks.collapsed_answers(measured(HTML.df(spark)))
+    return checks.collapsed_answers(measured(HTML_MADE.df(spark, sf_dir)))
 
 
 @query("site_page_measures", f"""WITH {PG} SELECT site, sum(greatest(0, len(regexp_extract_all(html, '<details')) - len(regexp_extract_all(html, '<details open'))))::BIGINT AS collapsed, sum(len(regexp_extract_all(html, '<img')))::BIGINT AS images_unsized,
@@ -366,9 +366,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """In how many different blocks, and on how many pages, each passage stands; passages that stand nowhere are left out."""
     asked = PASSAGES.df(spark, sf_dir).select(F.col("question_id").alias("phrase_id"), F.col("passage").alias("phrase"))
-    blocks = BLOCKS.df(spark, sf_dir).select(F.struct("page_id", "ord").alias("run"), F.col("line").alias("text"))
-    found = phrase_index.hits(asked, blocks).join(blocks, "run")
-    return found.groupBy(F.col("phrase_id").alias("question_id")).agg(F.countDistinct("text").alias("runs"), F.countDistinct("run.page_id").alias("pages"))
+    return phrase_index.stands(asked, BLOCKS.df(spark, sf_dir)).withColumnRenamed("phrase_id", "question_id")
 
 
 _FOLDER = "regexp_extract(base, '^([^?#]*/)', 1)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import budgets, excerpts
 from ..sources import pages as sources
 from .audit_queries import query
@@ -53,9 +51,7 @@ def budgeted_excerpts(spark, sf_dir):
 )
 def cited_runs(spark, sf_dir):
     """Runs of the site that several pages carry (without a page), and those of each page."""
-    shared, own = budgets.cited_runs(sources.blocks(sources.read_pages(spark, sf_dir)))
-    columns = ["site", "page_id", "rank", "line", "chars", "pages"]
-    return shared.withColumn("page_id", F.lit(None).cast("long")).select(columns).unionByName(own.select(columns))
+    return budgets.cited_runs(sources.blocks(sources.read_pages(spark, sf_dir))).drop("example")
 
 
 @query(

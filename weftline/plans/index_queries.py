@@ -53,20 +53,16 @@ _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 @query(
     "heading_anchors",
-    f"""WITH {PG}, {BL}, asked AS (SELECT page_id AS phrase_id, array_to_string(list_filter(string_split_regex({_TITLE}, '[ \\t\\n\\r]+'), lambda w: w <> '')[1:1 + page_id % 4], ' ') AS phrase FROM pg),
+    f"""WITH {PG}, {BL}, asked AS (SELECT page_id AS phrase_id, array_to_string(list_filter(string_split_regex({_TITLE}, '[ \\t\\n\\r]+'), lambda w: w <> '')[1:3 + page_id % 4], ' ') AS phrase FROM pg),
     h AS (SELECT phrase_id, page_id, line FROM asked JOIN bl ON contains(line, phrase) WHERE phrase <> '')
-    SELECT phrase_id, count(DISTINCT line) AS runs, count(DISTINCT page_id) AS pages, count(*) FILTER (WHERE page_id = phrase_id) > 0 AS on_own_page FROM h GROUP BY 1""",
+    SELECT phrase_id, count(DISTINCT line) AS runs, count(DISTINCT page_id) AS pages FROM h GROUP BY 1""",
 )
 def heading_anchors(spark, sf_dir):
-    """The first one to four words of each title as an anchor: in how many different blocks, and on how many pages, it stands."""
+    """The first three to six words of each title as an anchor: in how many different blocks, and on how many pages, it stands."""
     pages = sources.read_pages(spark, sf_dir)
     words = F.filter(F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[ \\t\\n\\r]+"), lambda w: w != "")
-    asked = pages.select(F.col("page_id").alias("phrase_id"), F.array_join(F.slice(words, F.lit(1), 1 + (F.col("page_id") % 4).cast("int")), " ").alias("phrase"))
-    blocks = sources.blocks(pages).select(F.struct("page_id", "ord").alias("run"), F.col("line").alias("text"))
-    found = phrase_index.hits(asked, blocks).join(blocks, "run")
-    return found.groupBy("phrase_id").agg(
-        F.count_distinct("text").alias("runs"), F.count_distinct("run.page_id").alias("pages"), F.bool_or(F.col("run.page_id") == F.col("phrase_id")).alias("on_own_page")
-    )
+    asked = pages.select(F.col("page_id").alias("phrase_id"), F.array_join(F.slice(words, F.lit(1), 3 + (F.col("page_id") % 4).cast("int")), " ").alias("phrase"))
+    return phrase_index.stands(asked, sources.blocks(pages))
 
 
 def page_names(spark, sf_dir):
@@ -124,3 +120,23 @@ def name_variants(spark, sf_dir):
 def name_groups(spark, sf_dir):
     """How many distinct titles each group of a site has."""
     return _variants(spark, sf_dir).groupBy("site", "leader").agg(F.count(F.lit(1)).alias("names"))
+
+
+_OG_SQL = r"regexp_extract(html, '(?is)<meta[^>]*property=.og:site_name.[^>]*content=.([^\"]*)', 1)"
+
+
+@query(
+    "name_evidence",
+    rf"""WITH RECURSIVE {PG}, foot AS (SELECT *, coalesce(trim(regexp_replace(regexp_replace(regexp_extract_all(html, '(?:©|&copy;|\(c\)) *((?:[0-9]{{4}}(?:[-–][0-9]{{4}})? *)?[^<&|]*)', 1)[-1], '^[0-9]{{4}}(?:[-–][0-9]{{4}})? *', ''), '(?i)[ .,]*(?:all rights reserved|privacy|terms).*$', '')), '') AS footer FROM pg),
+    flat AS (SELECT site, page_id, 1 AS nth, 'og' AS surface, {_OG_SQL} AS name FROM pg UNION ALL SELECT site, page_id, 2, 'footer', footer FROM foot
+      UNION ALL SELECT site, page_id, 2 + generate_subscripts(t, 1), 'title', unnest(t) FROM (SELECT site, page_id, list_filter(list_transform(string_split_regex({_TITLE}, '\s+[|–—:·-]\s+'), lambda s: trim(s)), lambda s: s <> '') AS t FROM pg WHERE regexp_replace(path, '/+$', '') = '')),
+    worded AS (SELECT *, {_WORDS} AS words FROM flat WHERE name <> ''), {_GROUPED},
+    grouped AS (SELECT w.site, leader, bool_or(surface IN ('og', 'footer')) AS anchored FROM worded w JOIN walk USING (site, name) WHERE len(w.words) > 0 GROUP BY ALL),
+    per AS (SELECT site, count(*) AS n, count(*) FILTER (WHERE anchored) AS a FROM grouped GROUP BY site)
+    SELECT site, 'pass' AS gate, coalesce(n, 0) || ' variants of the name, ' || coalesce(a, 0) || ' stated as such' AS evidence FROM (SELECT DISTINCT site FROM pg) LEFT JOIN per USING (site)""",
+)
+def name_evidence(spark, sf_dir):
+    """ENT-NAME-INCONSISTENT of every site, from Open Graph, footers and the titles of home pages."""
+    pages = sources.read_pages(spark, sf_dir)
+    found = names.site_names(pages, excerpts.footer_name(F.col("html")))
+    return names.inconsistent(pages, names.variants(found)).select("site", "gate", "evidence")

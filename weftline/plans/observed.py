@@ -166,3 +166,11 @@ RUNS = Derived(
 )
 TOKENS = Derived("tokens", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Googlebot' WHEN 1 THEN '*' WHEN 2 THEN 'GPTBot' ELSE 'Bot' || page_id END AS token FROM pg")
 SPACED = Derived("spaced", f"SELECT page_id, {HEAD} || '/' || translate({TITLE}, '%', ' ') || CASE page_id % 3 WHEN 0 THEN '/%c3%bc%' WHEN 1 THEN '?q=[1]&b=é ü' ELSE '' END AS url FROM pg")
+_NODE = """'<script type="application/ld+json">{"@type": "Product", "name": "P' || page_id || '"}</script></head>'"""
+#: The pages with parts that they lack: JSON-LD, a broken one too, closed details, images without sizes, scripts in the head.
+HTML_MADE = Derived(
+    "html_pages",
+    f"""SELECT page_id, site, url, CASE page_id % 5 WHEN 0 THEN replace(html, '</head>', {_NODE}) WHEN 1 THEN replace(html, '</head>', '<script type="application/ld+json">{{broken</script></head>')
+      WHEN 2 THEN replace(html, '</article>', '<details><summary>More</summary>text</details><details open>x</details><img src="a.png"></article>')
+      WHEN 3 THEN replace(html, '</head>', '<script src="/a.js"></script><script src="/b.js"></script></head>') ELSE html END AS html FROM pg""",
+)
