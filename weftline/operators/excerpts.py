@@ -86,7 +86,7 @@ def shared_prefix(excerpts: DataFrame, least: int = 400) -> DataFrame:
 
 def footer_name(html: Column) -> Column:
     """The legal name of a page's footer: what follows its last copyright sign, without years and closing phrases."""
-    last = F.element_at(F.regexp_extract_all(html, F.lit(r"(?:©|&copy;|\(c\)) *((?:[0-9]{4}(?:[-–][0-9]{4})? *)?[^<&|]*)"), F.lit(1)), -1)
+    last = F.try_element_at(F.regexp_extract_all(html, F.lit(r"(?:©|&copy;|\(c\)) *((?:[0-9]{4}(?:[-–][0-9]{4})? *)?[^<&|]*)"), F.lit(1)), F.lit(-1))
     bare = F.regexp_replace(F.regexp_replace(last, "^[0-9]{4}(?:[-–][0-9]{4})? *", ""), r"(?i)[ .,]*(?:all rights reserved|privacy|terms).*$", "")
     return F.nullif(F.trim(bare), F.lit(""))
 
