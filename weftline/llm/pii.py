@@ -3,7 +3,7 @@
 Base spans follow fixed patterns and checks (BASE) and always stay. Beyond them, high-recall generators (GENERATORS) propose
 spans that may overlap. Each has features of its format and context, small whole numbers, and boosted trees score it. They
 learn from the texts themselves: a candidate that is about a base span is personal data, one that meets none is not, and
-from each base span variants in other forms are made, with a label each (VARIANTS). Texts of one half, by hash, teach the
+from each base span variants in other forms are made, with a label each (_variants). Texts of one half, by hash, teach the
 trees; the other half sets for each family of spans the least score from which PRECISION of the candidates are right.
 Chosen candidates that overlap are one span; those that meet a base span add nothing.
 
