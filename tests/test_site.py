@@ -251,3 +251,17 @@ def test_discovered_lists_every_candidate(spark):
     got = [(r.origin, r.ord, r.path) for r in crawl.discovered(files, links).orderBy("ord").collect()]
     assert got == [("link", i, f"/p{i}") for i in range(1, 451)]
     assert crawl.candidates(links).count() == crawl.MOST_CANDIDATES
+
+
+def test_parsed_rows_are_passed_on_in_portions(spark, monkeypatch):
+    pages = spark.range(3).selectExpr("id AS page_id", "'http://a/' AS url", "cast(null as string) AS html")
+    taken, plain = [], type(pages).mapInPandas
+    monkeypatch.setattr(type(pages), "mapInPandas", lambda self, run, schema: taken.append(run) or plain(self, run, schema))
+    parse_pages(pages)
+    html = ["<p>" + "x" * 1000, None, "", "<p>" + "y" * 2_000_000] * 500
+    pdf = pd.DataFrame({"page_id": [str(i) for i in range(2000)], "url": "http://a/", "html": html})
+    sizes, ids = [], []
+    for part, _ in zip(taken[0](iter([pdf.iloc[:0], pdf])), range(40)):
+        sizes.append(len(part))
+        ids += list(part["page_id"])
+    assert len(sizes) == 40 and max(sizes) <= 256 and ids == [str(i) for i in range(len(ids))]
