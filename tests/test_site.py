@@ -265,3 +265,22 @@ def test_parsed_rows_are_passed_on_in_portions(spark, monkeypatch):
         sizes.append(len(part))
         ids += list(part["page_id"])
     assert len(sizes) == 40 and max(sizes) <= 256 and ids == [str(i) for i in range(len(ids))]
+
+
+def test_claims_need_what_their_patterns_hold(spark, monkeypatch):
+    from weftline.functions import claims
+
+    texts = [
+        "Pro plan, Enterprise Plan; Proplan", "Updated 2024-01-02 and MAY 3 2021, 4/5/2022, copyright by us 1999, 12/1/99", "+1 (555) 123-4567 or 555.123.4567",
+        "APPLY BY May", "applies until noon\nClose on Monday", "End on time, due DATE", "registration CLOSES", "Deadline", "back-order and BACKORDER, preorder, Pre-Order", "Out of Stock", "in stock",
+        "sold out; discontinued; no longer available, available again", "Free Shipping, ship in 2, ships within 3, Delivery in 4, delivery within 5, same-day delivery, ship within", "iso 9001, SOC2, soc 2, hipaa GDPR fedramp PCI-DSS pci dss",
+        "closes on, ends on, due by, due on, apply until, applies by", "nothing here", "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(t if i % 2 else t and f"É {t}" for i, t in enumerate(texts))), "k int, text string")
+    got = sorted(map(tuple, claims.claims(rows, "k", "text").collect()))
+    assert {t for _, _, t, *_ in got} >= {*claims.WORDS, *claims.SHAPES}
+    for name in claims.WORDS:
+        assert all(any(w in value.lower() for w in claims.WORDS[name]) for _, _, t, value, _ in got if t == name)
+    monkeypatch.setattr(claims, "WORDS", {})
+    monkeypatch.setattr(claims, "SHAPES", {})
+    assert got == sorted(map(tuple, claims.claims(rows, "k", "text").collect()))
