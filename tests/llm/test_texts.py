@@ -291,6 +291,15 @@ def test_frequent_lines_go(spark):
     assert line_dedup.drop_frequent_lines(docs(spark, *texts).limit(0)).count() == 0
 
 
+def test_full_levels_are_compacted_before_frequent_keys_are_read(spark, monkeypatch):
+    read = []
+    plain = line_dedup.LineRuns.frequent
+    monkeypatch.setattr(line_dedup.LineRuns, "frequent", lambda self: read.append([len(level) for level in self.levels]) or plain(self))
+    table = docs(spark, *["common\nrare %d" % i for i in range(12)])
+    assert sorted(r["text"] for r in line_dedup.drop_frequent_lines(table).collect()) == sorted("rare %d" % i for i in range(12))
+    assert read == [[0, 1]]
+
+
 def test_runs_are_compacted_and_find_seen_lines(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     batches = [docs(spark, "a\nb\nb"), docs(spark, "b\nc"), docs(spark, "c\nd\n"), docs(spark, "a\nd\ne")]

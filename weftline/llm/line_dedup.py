@@ -138,6 +138,7 @@ def drop_frequent_lines(docs: DataFrame, least: int = 10, batches: int = 4, key:
     runs = LineRuns(docs.sparkSession, least)
     for i in range(batches):
         runs.add(table.filter(F.col("batch") == i).select("k", "t", *HASH).distinct().select(*HASH))
+    runs.compact()  # no batch comes that would do so
     found = _in_frequent(table, materialize(runs.frequent(), "frequent"))
     drops = found.groupBy(F.col("k").alias("dk"), F.col("t").alias("dt")).agg(F.collect_set("at").alias("drop"))
     rows = rows.withColumn("t", F.xxhash64("text"))
