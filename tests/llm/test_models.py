@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -370,6 +371,40 @@ def test_codes_leave_few_vectors_to_rerank(spark):
     assert pairs <= 0.2 * total / 20 * len(ids) and hits >= 0.99 * total
 
 
+def test_blocks_in_parts_equal_sums_bit_by_bit(monkeypatch):
+    rng, dim = np.random.default_rng(12), 50
+    vectors, asked, turn = rng.normal(size=(300, dim)), rng.normal(size=(150, dim)), ann.rotation(dim)
+    codes, size, fit = ann.encode(vectors, turn)
+    turned = asked @ turn
+    low = turned.min(axis=1, keepdims=True)
+    unit = (turned.max(axis=1, keepdims=True) - low) / 63
+    coordinates = low + unit * np.rint((turned - low) / unit)
+    bits = np.unpackbits(codes, axis=1)
+    plain = np.array([[np.where(b == 1, c, -c).sum() for b in bits] for c in coordinates]) * size / (fit * np.sqrt(turn.shape[1]))
+    monkeypatch.setattr(ann, "_SIGNS", 7 * ann.code_bits(dim))
+    left = pa.table({"id": np.arange(150), "v": list(asked)})
+    right = pa.table({"id": np.arange(100, 400), "code": [c.tobytes() for c in codes], "size": size, "fit": fit})
+    got, parts = np.full(plain.shape, np.nan), set()
+    for places, start, estimate, half, others in ann._block(left, right, 2.0):
+        got[places[0] : places[-1] + 1, start : start + estimate.shape[1]] = estimate
+        assert (np.argwhere(~others) @ [1, -1] == 100 + start - places[0]).all() and half.shape == estimate.shape
+        parts.add(start)
+    assert np.allclose(got, plain, rtol=1e-11, atol=1e-11) and parts == set(range(0, 300, 7))
+
+
+def test_codes_are_copied_once_for_thousands_of_queries(spark):
+    table = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    rows, asking, codes = ann._parts(table, F.col("id") >= 0, "vec_id", "embedding")
+    assert rows.count() == asking.count() == codes.count() == 2000
+
+
+def test_repeated_rows_are_separate_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.4, 0.0]), (3, [0.1, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[1:] for r in ann.nearest(table, F.col("id") == 0, 4).orderBy("rank").collect()]
+    assert got == [(1, 1, 1.0), (2, 1, 1.0), (3, 1, 0.5), (4, 2, 0.4)]
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (20, [1.0, 1.0], 1), (7, [1.0, 1.0], 1), (8, [], 1), (9, [-1.0, 0.0], 1), (9, [-1.0, 0.0], 1), (None, [1.0, 1.0], 1)]

@@ -2,8 +2,9 @@
 
 A vector, over its length, padded with zeros to BITS coordinates for each of its own and rotated, is coded by the signs
 of its coordinates: packed bits, with correction scalars, its length and the inner product of the vector with its code.
-From the bits alone, by counting those that agree with the bit planes of a rounded query, the inner product is estimated
-without bias, and its error is bounded but for a chance that EPSILON sets.
+From the bits alone, as signs that meet the steps of a rounded query, the inner product is estimated without bias, and its
+error is bounded but for a chance that EPSILON sets. Steps and signs are small whole numbers, so that one product of
+matrices of floats is exact for all pairs of a block.
 
 Queries meet codes in blocks, twice: first for the best estimates, whose exact inner products give each query a value
 that its k-th neighbour reaches at least; then for all codes whose upper bounds reach that value. The vectors of those,
@@ -13,6 +14,8 @@ size, which keeps its k best per query; the best of those over all blocks are th
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,9 +24,10 @@ from pyspark.sql import functions as F
 EPSILON = 2.0  # with BITS, by recall measured on the tables: 1.000 at 4 to 9 % of the vectors reranked
 BITS = 8  # of a code for each coordinate of a vector
 PLANES = 6  # bits of a query's rounded coordinates
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096  # codes are copied for each block of queries; their places have 16 bits
 CANDIDATE_BLOCK = 8192
-_STEP = 32  # queries that are held against a block's codes at once
+_STEP = 128  # queries that are held against a block's codes at once
+_SIGNS = 1 << 23  # signs of codes that are unpacked at once
 
 
 def code_bits(dim: int) -> int:
@@ -31,6 +35,7 @@ def code_bits(dim: int) -> int:
     return -(-BITS * dim // 64) * 64
 
 
+@lru_cache(maxsize=1)
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
     """The first rows of a random orthogonal matrix, which pad and rotate; the same in every task."""
     bits = code_bits(dim)
@@ -48,25 +53,32 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def bounds(queries: np.ndarray, codes: np.ndarray, lengths: np.ndarray, fit: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON):
     """Estimates of all inner products (queries x codes) and the half widths of their bounds, from packed bits."""
+    return _bounds(queries, *_signs(codes), lengths, fit, turn, epsilon)
+
+
+def _signs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bits as 1 and -1, and their sums."""
+    signs = np.unpackbits(np.ascontiguousarray(codes), axis=1).astype(np.float32)
+    signs *= 2
+    signs -= 1
+    return signs, signs.sum(axis=1, dtype=np.float64)
+
+
+def _bounds(queries: np.ndarray, signs: np.ndarray, sums: np.ndarray, lengths: np.ndarray, fit: np.ndarray, turn: np.ndarray, epsilon: float):
     bits = turn.shape[1]
-    words = np.ascontiguousarray(codes).view(np.uint64)
     turned = queries @ turn
     low = turned.min(axis=1, keepdims=True)
     unit = np.maximum(turned.max(axis=1, keepdims=True) - low, 1e-300) / ((1 << PLANES) - 1)
-    rounded = np.rint((turned - low) / unit).astype(np.uint8)
-    agree = np.zeros((len(queries), len(words)), np.int64)
-    for plane in range(PLANES):
-        mask = np.packbits(rounded >> plane & 1, axis=1).view(np.uint64)
-        for w in range(words.shape[1]):
-            agree += np.bitwise_count(mask[:, w, None] & words[None, :, w]).astype(np.int64) << plane
-    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-    on = unit * agree + low * ones[None, :]  # sum of the query's coordinates where the code has a 1
-    whole = unit[:, 0] * rounded.sum(axis=1, dtype=np.int64) + low[:, 0] * bits
-    estimate = (2 * on - whole[:, None]) * (lengths / (fit * np.sqrt(bits)))
+    steps = np.rint((turned - low) / unit).astype(np.float32)
+    estimate = unit * (steps @ signs.T)
+    estimate += low * sums  # the sum of the query's coordinates, each with the code's sign
+    estimate *= lengths / (fit * np.sqrt(bits))
+    if not epsilon:
+        return estimate, np.zeros((1, 1))
     size = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
     spread = np.sqrt(np.maximum(1 - fit * fit, 0)) / fit / np.sqrt(bits - 1)
     rounding = unit * np.sqrt(bits / 12) / np.sqrt(bits)  # of the query's coordinates, against a unit code
-    return estimate, epsilon * lengths * (size * spread + rounding / fit)
+    return estimate, np.hstack([size, rounding]) @ (epsilon * lengths * np.stack([spread, 1 / fit]))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -104,16 +116,21 @@ def _codes(rows: DataFrame) -> DataFrame:
 
 
 def _block(left: pa.Table, right: pa.Table, epsilon: float):
-    """For groups of a block's queries: (their places, their ids, estimates, half widths, which candidates are others)."""
+    """For groups of a block's queries and of its candidates: (places of the queries, the first candidate's place,
+    estimates, half widths, which candidates are others)."""
     queries, ids = _matrix(left["v"]), left["id"].to_numpy()
     bits = code_bits(queries.shape[1])
     codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(-1, bits // 8)
     size, fit, other = right["size"].to_numpy(), right["fit"].to_numpy(), right["id"].to_numpy()
     turn = rotation(queries.shape[1])
-    for at in range(0, len(queries), _STEP):
-        part = slice(at, at + _STEP)
-        estimate, half = bounds(queries[part], codes, size, fit, turn, epsilon)
-        yield np.arange(len(queries))[part], ids[part], estimate, half, other[None, :] != ids[part][:, None]
+    wide = max(1, _SIGNS // bits)
+    for start in range(0, len(codes), wide):
+        near = slice(start, start + wide)
+        signs, sums = _signs(codes[near])
+        for at in range(0, len(queries), _STEP):
+            part = slice(at, at + _STEP)
+            estimate, half = _bounds(queries[part], signs, sums, size[near], fit[near], turn, epsilon)
+            yield np.arange(len(queries))[part], start, estimate, half, other[None, near] != ids[part][:, None]
 
 
 _FIRST = "query_id long, id long, h long, estimate double"
@@ -127,34 +144,50 @@ def _first(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
     kinds = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("estimate", pa.float64())])
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            for _, ids, estimate, _, others in _block(left, right, 0.0):
-                estimate = np.where(others, estimate, -np.inf)
-                top = np.argpartition(-estimate, k - 1, axis=1)[:, :k] if estimate.shape[1] > k else np.tile(np.arange(estimate.shape[1]), (len(ids), 1))
-                best = np.take_along_axis(estimate, top, 1)
-                out.append((np.repeat(ids, top.shape[1])[best.ravel() > -np.inf], top.ravel()[best.ravel() > -np.inf], best.ravel()[best.ravel() > -np.inf]))
-        if not out:
+        if not left.num_rows or not right.num_rows:
             return kinds.empty_table()
-        q, at, best = (np.concatenate(x) for x in zip(*out))
-        return pa.Table.from_arrays([pa.array(q), pa.array(right["id"].to_numpy()[at]), pa.array(right["h"].to_numpy()[at]), pa.array(best)], schema=kinds)
+        best = np.full((left.num_rows, k), -np.inf)
+        at = np.zeros((left.num_rows, k), np.int64)
+        for places, start, estimate, _, others in _block(left, right, 0.0):
+            estimate[~others] = -np.inf
+            top = np.argpartition(-estimate, k - 1, axis=1)[:, :k] if estimate.shape[1] > k else np.tile(np.arange(estimate.shape[1]), (len(places), 1))
+            both = np.hstack([best[places], np.take_along_axis(estimate, top, 1)])
+            of = np.hstack([at[places], start + top])
+            top = np.argsort(-both, axis=1)[:, :k]
+            best[places], at[places] = np.take_along_axis(both, top, 1), np.take_along_axis(of, top, 1)
+        found = best.ravel() > -np.inf
+        at = at.ravel()[found]
+        q = np.repeat(left["id"].to_numpy(), k)[found]
+        return pa.Table.from_arrays([pa.array(q), pa.array(right["id"].to_numpy()[at]), pa.array(right["h"].to_numpy()[at]), pa.array(best.ravel()[found])], schema=kinds)
 
     return queries.groupBy(*BLOCK).cogroup(codes.groupBy(*BLOCK)).applyInArrow(task, _FIRST)
 
 
+def _once(rows: pa.Table) -> pa.Table:
+    """One row of each id and h."""
+    ids, h = rows["id"].to_numpy(), rows["h"].to_numpy()
+    order = np.lexsort((h, ids))
+    first = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(h[order]) != 0))
+    return rows if first.all() else rows.take(pa.array(order[first]))
+
+
 def _kept(queries: DataFrame, codes: DataFrame, epsilon: float) -> DataFrame:
     """(dim, qb, cb, id, h, places): candidates whose upper bounds reach the least score of some of the block's queries,
-    and the numbers of those queries by ascending id, as 16-bit numbers."""
+    and the numbers of those queries by ascending id, as 16-bit numbers. A candidate that is repeated with its key and
+    vector has a code for each row, all in one block; one of them is enough."""
     kinds = pa.schema([("dim", pa.int32()), *[(c, pa.int64()) for c in ("qb", "cb", "id", "h")], ("places", pa.binary())])
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return kinds.empty_table()
-        left = left.sort_by("id")
+        left, right = left.sort_by("id"), _once(right)
         least, near = left["least"].to_numpy(), []
-        for places, _, estimate, half, others in _block(left, right, epsilon):
-            near.append(others & (estimate + half >= least[places][:, None]))
-        at, place = np.nonzero(np.concatenate(near).T)
+        for places, start, estimate, half, others in _block(left, right, epsilon):
+            at, place = np.nonzero((others & (estimate + half >= least[places][:, None])).T)
+            near.append((start + at, places[place]))
+        at, place = (np.concatenate(x) for x in zip(*near))
+        order = np.argsort(at, kind="stable")  # the places of a candidate's queries ascend
+        at, place = at[order], place[order]
         rows, first = np.unique(at, return_index=True)
         packed = [x.astype("<u2").tobytes() for x in np.split(place, first[1:])] if len(rows) else []
         fixed = [pa.array(np.repeat(left[c][0].as_py(), len(rows)), kinds.field(c).type) for c in BLOCK]
@@ -230,5 +263,4 @@ def kept_candidates(rows: DataFrame, queries: DataFrame, codes: DataFrame, is_qu
     # Rounding can differ from that of the reranking in the last digits.
     least = exact.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - 1e-9 * F.max(F.abs("score"))).otherwise(float("-inf")).alias("least"))
     limited = queries.join(least.withColumnRenamed("query_id", "id"), "id").select(*BLOCK, "id", "v", "least")
-    # A candidate that is repeated with its key and vector has a code for each row: one of them is enough.
-    return _kept(limited, codes.dropDuplicates([*BLOCK, "id", "h"]), epsilon)
+    return _kept(limited, codes, epsilon)
