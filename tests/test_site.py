@@ -284,3 +284,20 @@ def test_claims_need_what_their_patterns_hold(spark, monkeypatch):
     monkeypatch.setattr(claims, "WORDS", {})
     monkeypatch.setattr(claims, "SHAPES", {})
     assert got == sorted(map(tuple, claims.claims(rows, "k", "text").collect()))
+
+
+def sql_rows(name, folder):
+    """Rows of a query's SQL over the tables in a folder."""
+    connection = duckdb.connect()
+    for file in os.listdir(folder):
+        connection.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{file}/*.parquet'")
+    return rows_of(connection.execute(ORACLES[name]).fetchdf())
+
+
+def test_conflicts_of_claims_after_the_thirtieth(spark, tmp_path):
+    days = ", ".join(f"2024-{m:02}-{d:02}" for m in (1, 2, 3) for d in range(1, 21))
+    rows = [(1, f"{days}; v1.2.3", "s"), (2, f"{days}; v2.0.0 and v2.0.0", "s"), (3, None, "s"), (4, "v1.2.3", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["claim_conflicts"](spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == sql_rows("claim_conflicts", tmp_path)
+    assert sorted(got.itertuples(index=False, name=None)) == [("s", "date", 60, 2), ("s", "version", 2, 2)]
