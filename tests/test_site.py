@@ -301,3 +301,23 @@ def test_conflicts_of_claims_after_the_thirtieth(spark, tmp_path):
     got = QUERIES["claim_conflicts"](spark, str(tmp_path)).toPandas()
     assert rows_of(got) == sql_rows("claim_conflicts", tmp_path)
     assert sorted(got.itertuples(index=False, name=None)) == [("s", "date", 60, 2), ("s", "version", 2, 2)]
+
+
+def test_all_json_ld_of_a_page(spark, tmp_path):
+    block = '<script type="application/ld+json">{"@type": "Product", "name": "%s"}</script>'
+    many = "".join(block % f"p{i}" for i in range(25)) + block % ("x" * 30_000) + '<script type="application/ld+json">{broken</script>'
+    rows = [(4, "http://s/", f"<html><head>{many}</head><body><p>x</p></body></html>"), (9, "http://s/2", None), (5, "http://s/3", f"<html><head>{many}</head></html>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("jsonld_blocks", "site_jsonld_blocks"):
+        got = QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert rows_of(got) == sql_rows(name, tmp_path) and (got["page_id"] == 4).sum() == 27 and got["raw"].str.len().max() > 30_000
+
+
+def test_parsed_parts_are_whole(spark, tmp_path):
+    body = "".join(f"<h2>h{i}</h2><p>{'y' * 900}</p><a href='/p{i}'>x</a><img src=i{i}><time datetime=d{i}>t</time><b itemscope itemtype='http://x/T{i}'>b</b>" for i in range(450))
+    page = parse_page(1, "http://s/", f"<html lang=en><body>{body}<h2>last</h2><p>{'z' * 5_000}</p></body></html>")
+    assert [len(page[k]) for k in ("headings", "links", "images", "structured_dates", "microdata")] == [451, 450, 450, 450, 450]
+    assert len(page["visible_text"]) > 400_000 and page["visible_text"].endswith("z" * 5_000) and page["sections"][-1]["text"] == "z" * 5_000
+    plain = '<html lang="en"><body>' + "".join(f'<h2 id="q">h{i}</h2><a href="/p{i}">x</a>' for i in range(450)) + "</body></html>"
+    spark.createDataFrame([(1, "http://s/", plain)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert rows_of(QUERIES["parsed_titles_and_headings"](spark, str(tmp_path)).toPandas()) == sql_rows("parsed_titles_and_headings", tmp_path)

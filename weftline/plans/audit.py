@@ -75,7 +75,7 @@ def boilerplate(blocks: DataFrame) -> DataFrame:
 
 def prepared(pages: DataFrame) -> DataFrame:
     """FRS-CLAIM-CONFLICT and FRS-DATE-CONFLICT: what a judgment starts from. The gate passes; evidence has the counts."""
-    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",), whole=True)
+    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",))
     parsed = parsed.select("site", "page_id", "claim_text", F.size("structured_dates").alias("dates"))
     claims = claim_functions.claims(parsed.select(F.struct("site", "page_id").alias("key"), "claim_text"), "key", "claim_text").select("key.*", "type", "value", "ord")
     sizes = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("dates") > 0).alias("structured"))
@@ -91,7 +91,7 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 def named(pages: DataFrame) -> DataFrame:
     """ENT-NAME-INCONSISTENT of every site, and ENT-STRUCTURED-VISIBLE-CONFLICT of those whose JSON-LD has another name."""
-    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",), whole=True)
+    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",))
     blocks = parsed.select("site", "url", F.explode("jsonld").alias("b")).select("site", "url", F.col("b.raw").alias("raw"))
     nodes = checks.jsonld_nodes(blocks).filter(F.col("type").isin(*NAMED) & (F.coalesce("name", F.lit("")) != ""))
     schema = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("site", "url").orderBy("name"))).select("site", "url", "nth", "name")

@@ -224,8 +224,8 @@ HTML = Inline("html_pages", "page_id long, site string, url string, html string"
 
 
 def measured(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, site, url, html), parsed whole, with what the checks ask for: a small row for each page."""
-    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site", "html"), whole=True)
+    """Pages (page_id, site, url, html), parsed, with what the checks ask for: a small row for each page."""
+    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site", "html"))
     prices = F.regexp_extract_all("visible_text", F.lit(claim_functions.PATTERNS[0][1]), F.lit(0))
     shown = F.lower("visible_text")
     tokens = claim_functions.fact_tokens(F.coalesce("meta_description", F.lit("")))
@@ -291,7 +291,7 @@ def _(spark, sf_dir):
 
 @query("site_jsonld_blocks", """WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '<script type="application/ld\\+json">(.*?)</script>', 1)) AS raw FROM pages) SELECT page_id, raw, json_valid(raw) AS parse_ok FROM b""")
 def _(spark, sf_dir):
-    rows = parse_pages(sources.read_pages(spark, sf_dir), whole=True).select("page_id", F.explode("jsonld").alias("b"))
+    rows = parse_pages(sources.read_pages(spark, sf_dir)).select("page_id", F.explode("jsonld").alias("b"))
     return rows.select("page_id", F.col("b.raw").alias("raw"), F.col("b.parse_ok").alias("parse_ok"))
 
 
