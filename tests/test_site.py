@@ -321,3 +321,31 @@ def test_parsed_parts_are_whole(spark, tmp_path):
     plain = '<html lang="en"><body>' + "".join(f'<h2 id="q">h{i}</h2><a href="/p{i}">x</a>' for i in range(450)) + "</body></html>"
     spark.createDataFrame([(1, "http://s/", plain)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert rows_of(QUERIES["parsed_titles_and_headings"](spark, str(tmp_path)).toPandas()) == sql_rows("parsed_titles_and_headings", tmp_path)
+
+
+FACT = "The plan covers five users in all of Europe"
+
+
+def pages_with_states(spark, folder):
+    """Pages whose state has a fact late in a list, deep down, after many other strings, and deeper than C code reads."""
+    deep = lambda n: '{"a":[' * n + f'"{FACT}"' + "]}" * n
+    late = ", ".join([*(["1"] * 60), f'"{FACT}"'])
+    few = lambda n: ", ".join(f'"other words {i}"' for i in range(n, n + 40))
+    states = {"late": f"[{late}]", "deep": deep(6), "after": f'[[{few(0)}], [{few(40)}], "{FACT}"]', "deeper": deep(30_000), "shown": f'["{FACT}"]', "none": "[1]"}
+    html = lambda site, state: f'<html><body><p>{FACT if site == "shown" else "x"}</p><script id="__NEXT_DATA__">{state}</script></body></html>'
+    rows = [(i, f"http://{site}/", html(site, state)) for i, (site, state) in enumerate(states.items())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return {"late", "deep", "after", "deeper"}
+
+
+def test_gates_see_all_of_a_state(spark, tmp_path):
+    expected = pages_with_states(spark, tmp_path)
+    gates = {r.site: r.gate for r in QUERIES["page_check_gates"](spark, str(tmp_path)).filter("check_id = 'REP-STATE-ONLY-FACT'").collect()}
+    assert {s for s, g in gates.items() if g == "finding"} == expected and gates["shown"] == gates["none"] == "pass"
+
+
+def test_state_strings_are_all_that_the_page_does_not_show():
+    said = [f"sentence {i} of the state" for i in range(500)]
+    state = '{"a": ' + str(said).replace("'", '"') + ', "b": ["' + said[7] + '", "short", "https://x.example/path"]}'
+    html = f'<p>{said[3]}</p><p>x{said[9]} and {said[12][:-1]}</p><script id="app-state">{state}</script>'
+    assert parse_page(1, "http://a/", html)["state_strings"] == [s for s in said if s not in (said[3], said[9])]
