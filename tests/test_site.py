@@ -349,3 +349,9 @@ def test_state_strings_are_all_that_the_page_does_not_show():
     state = '{"a": ' + str(said).replace("'", '"') + ', "b": ["' + said[7] + '", "short", "https://x.example/path"]}'
     html = f'<p>{said[3]}</p><p>x{said[9]} and {said[12][:-1]}</p><script id="app-state">{state}</script>'
     assert parse_page(1, "http://a/", html)["state_strings"] == [s for s in said if s not in (said[3], said[9])]
+
+
+def test_findings_of_all_of_a_state(spark, tmp_path):
+    expected = pages_with_states(spark, tmp_path)
+    found = QUERIES["site_check_findings"](spark, str(tmp_path)).filter("check_id = 'REP-STATE-ONLY-FACT'").collect()
+    assert {tuple(r) for r in found} == {(site, "REP-STATE-ONLY-FACT", "medium") for site in expected}
