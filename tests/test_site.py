@@ -355,3 +355,17 @@ def test_findings_of_all_of_a_state(spark, tmp_path):
     expected = pages_with_states(spark, tmp_path)
     found = QUERIES["site_check_findings"](spark, str(tmp_path)).filter("check_id = 'REP-STATE-ONLY-FACT'").collect()
     assert {tuple(r) for r in found} == {(site, "REP-STATE-ONLY-FACT", "medium") for site in expected}
+
+
+def test_discovered_lists_every_entry_of_every_sitemap(spark):
+    from weftline.operators import crawl
+
+    entries = lambda name, n: "<urlset>" + "".join(f"<url><loc>http://a/{name}{i}</loc></url>" for i in range(n)) + "</urlset>"
+    index = "<sitemapindex><sitemap><loc>http://a/c.xml</loc></sitemap><sitemap><loc>http://a/d.xml</loc></sitemap></sitemapindex>"
+    rows = [("i", 1, "http://a/s.xml", 200, index), ("i", 3, "http://a/c.xml", 200, entries("c", 120)), ("i", 4, "http://a/d.xml", 200, entries("d", 3)), ("i", 2, "http://a/t.xml", 200, "<urlset>"),
+            ("i", 5, "http://a/e.xml", 404, entries("e", 3)), ("m", 1, "http://a/1.xml", 200, entries("x", 0)), ("m", 2, "http://a/2.xml", 200, entries("y", 60)), ("m", 3, "http://a/3.xml", 200, entries("z", 60)), ("n", 1, "http://a/n.xml", 200, None)]
+    files = spark.createDataFrame(rows, "site string, ord int, url string, http_status int, body string")
+    links = spark.createDataFrame([], "site string, page_id long, ord int, target string")
+    got = [tuple(r) for r in crawl.discovered(files.repartition(3), links).orderBy("site", "ord").collect()]
+    paths = {"i": [f"/c{i}" for i in range(120)] + ["/d0", "/d1", "/d2"], "m": [f"/{f}{i}" for f in "yz" for i in range(60)]}
+    assert got == [(site, "sitemap", i, path) for site in "im" for i, path in enumerate(paths[site], 1)]

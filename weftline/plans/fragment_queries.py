@@ -24,11 +24,11 @@ def _(spark, sf_dir):
     return sitemaps.counted(MAP_FILES.df(spark, sf_dir))
 
 
-_FIRST = """us AS (SELECT site, arg_min(entries, ord) AS entries FROM fo WHERE parse_ok AND ord <= 2 AND len(entries) > 0 GROUP BY 1),
-  sa AS (SELECT site, generate_subscripts(entries, 1) AS ord, unnest(entries).url AS url FROM us)"""
+_LISTED = """sa AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY file_ord, file, place) AS ord, url
+    FROM (SELECT site, ord AS file_ord, url AS file, generate_subscripts(own, 1) AS place, unnest(own).url AS url FROM pa WHERE ok AND NOT idx))"""
 
 
-@query("sitemap_candidates", f"""+{_MAPS}, {_FIRST}, li AS (SELECT site, page_id, ord, regexp_extract(target, '^https?://([^/]*)', 1) AS host, regexp_extract(target, '^https?://[^/]*([^?#]*)', 1) AS path FROM map_links),
+@query("sitemap_candidates", f"""+{_MAPS}, {_LISTED}, li AS (SELECT site, page_id, ord, regexp_extract(target, '^https?://([^/]*)', 1) AS host, regexp_extract(target, '^https?://[^/]*([^?#]*)', 1) AS path FROM map_links),
   ow AS (SELECT site, path, min(page_id * 1000 + ord) AS seen FROM li WHERE host = site AND path NOT IN ('', '/') AND NOT regexp_matches(lower(path), '\\.png$|feed') GROUP BY 1, 2)
   SELECT site, 'sitemap' AS origin, ord::BIGINT AS ord, coalesce(nullif(rtrim(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/'), ''), '/') AS path FROM sa
   UNION ALL SELECT site, 'link', row_number() OVER (PARTITION BY site ORDER BY seen), path FROM ow""", MAP_FILES, MAP_LINKS)

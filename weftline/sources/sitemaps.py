@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, TRIED = 50, 2  # entries that a crawl starts from; sitemaps of a site that it looks at
@@ -68,3 +68,13 @@ def sampled(files: DataFrame) -> DataFrame:
     usable = followed(files).filter((F.col("ord") <= TRIED) & (F.size("entries") > 0))
     first = usable.groupBy("site").agg(F.min_by("entries", "ord").alias("entries"))
     return first.select("site", F.posexplode(F.slice("entries", 1, SAMPLE)).alias("at", "e")).select("site", (F.col("at") + 1).alias("ord"), F.col("e.url").alias("url"))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """(site, ord, url): all entries of all of a site's sitemaps, in order of the files and of their lines. The children of an
+    index are files of their own."""
+    lists = parsed(files).filter(F.size("entries") > 0).select("site", F.col("ord").alias("nth"), F.col("url").alias("file"), "entries")
+    order = Window.partitionBy("site").orderBy("nth", "file")  # a row for each file: entries need no sorting
+    before = F.coalesce(F.sum(F.size("entries").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = lists.withColumn("before", before).select("site", "before", F.posexplode("entries").alias("at", "e"))
+    return rows.select("site", (F.col("before") + F.col("at") + 1).alias("ord"), F.col("e.url").alias("url"))
