@@ -77,7 +77,7 @@ def prepared(pages: DataFrame) -> DataFrame:
     """FRS-CLAIM-CONFLICT and FRS-DATE-CONFLICT: what a judgment starts from. The gate passes; evidence has the counts."""
     parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",))
     parsed = parsed.select("site", "page_id", "claim_text", F.size("structured_dates").alias("dates"))
-    claims = claim_functions.claims(parsed.select(F.struct("site", "page_id").alias("key"), "claim_text"), "key", "claim_text").select("key.*", "type", "value", "ord")
+    claims = claim_functions.every(parsed.select(F.struct("site", "page_id").alias("key"), "claim_text"), "key", "claim_text").select("key.*", "type", "value")
     sizes = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("dates") > 0).alias("structured"))
     shown = claims.filter("type = 'date'").groupBy("site").agg(F.countDistinct("page_id").alias("visible"))
     groups = runs.conflicts(claims, "site", "page_id").groupBy("site").agg(F.count(F.lit(1)).alias("groups"))
