@@ -379,7 +379,7 @@ def test_audit_counts_all_claims_of_a_page(spark, tmp_path):
     html = lambda version: f"<html><body>{prices}<p>Updated 2024-01-02</p><p>Release {version}</p></body></html>"
     rows = [(1, "http://a/1", html("v1.2.3")), (2, "http://a/2", html("v2.0.0")), (3, "http://b/1", "<p>v1.0.0</p>"), (4, "http://b/2", None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {(r.site, r.check_id): r.evidence for r in audit.prepared(sources.read_pages(spark, str(tmp_path))).collect()}
+    got = {(r.site, r.check_id): r.evidence for r in audit.prepared(audit.facts(sources.read_pages(spark, str(tmp_path)))).collect()}
     assert got["a", "FRS-CLAIM-CONFLICT"] == "2 types of claims differ between 2 pages"
     assert got["a", "FRS-DATE-CONFLICT"] == "0 of 2 pages have structured dates, 2 visible ones"
     assert got["b", "FRS-CLAIM-CONFLICT"] == "0 types of claims differ between 2 pages"

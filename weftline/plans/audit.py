@@ -8,11 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import claims as claim_functions
 from ..functions import urls
 from ..operators import checks, crawl, excerpts, names, robots, runs
 from ..sources import pages as sources
-from ..sources.parse import parse_pages
+from ..sources.scratch import written
 from . import audit_queries, report
 from .audit_queries import query
 from .catalog import CATALOG, SURFACES
@@ -73,11 +72,15 @@ def boilerplate(blocks: DataFrame) -> DataFrame:
     return checks.result(rows, "ANS-BOILERPLATE-DROWNING", F.col("gate"), "medium", "medium", F.format_string("%d pages share their beginning", "sharers"))
 
 
-def prepared(pages: DataFrame) -> DataFrame:
-    """FRS-CLAIM-CONFLICT and FRS-DATE-CONFLICT: what a judgment starts from. The gate passes; evidence has the counts."""
-    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",))
-    parsed = parsed.select("site", "page_id", "claim_text", F.size("structured_dates").alias("dates"))
-    claims = claim_functions.every(parsed.select(F.struct("site", "page_id").alias("key"), "claim_text"), "key", "claim_text").select("key.*", "type", "value")
+def facts(pages: DataFrame) -> DataFrame:
+    """What measured() and the claims of pages give, written: all that is read of them by parsing, so they are parsed once."""
+    return written(audit_queries.measured(pages, claimed=True), "facts")
+
+
+def prepared(parsed: DataFrame) -> DataFrame:
+    """FRS-CLAIM-CONFLICT and FRS-DATE-CONFLICT, from facts(): what a judgment starts from. The gate passes; evidence has the
+    counts."""
+    claims = parsed.select("site", "page_id", F.inline("claims"))
     sizes = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("dates") > 0).alias("structured"))
     shown = claims.filter("type = 'date'").groupBy("site").agg(F.countDistinct("page_id").alias("visible"))
     groups = runs.conflicts(claims, "site", "page_id").groupBy("site").agg(F.count(F.lit(1)).alias("groups"))
@@ -89,13 +92,13 @@ def prepared(pages: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-def named(pages: DataFrame) -> DataFrame:
-    """ENT-NAME-INCONSISTENT of every site, and ENT-STRUCTURED-VISIBLE-CONFLICT of those whose JSON-LD has another name."""
-    parsed = parse_pages(pages.select("page_id", "site", "url", "html"), ("site",))
-    blocks = parsed.select("site", "url", F.explode("jsonld").alias("b")).select("site", "url", F.col("b.raw").alias("raw"))
+def named(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """ENT-NAME-INCONSISTENT of every site, and ENT-STRUCTURED-VISIBLE-CONFLICT of those whose JSON-LD has another name; parsed:
+    facts() of the pages, if they are there."""
+    blocks = (facts(pages) if parsed is None else parsed).select("site", "url", F.explode("jsonld").alias("b")).select("site", "url", F.col("b.raw").alias("raw"))
     nodes = checks.jsonld_nodes(blocks).filter(F.col("type").isin(*NAMED) & (F.coalesce("name", F.lit("")) != ""))
     schema = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("site", "url").orderBy("name"))).select("site", "url", "nth", "name")
-    found = names.site_names(pages, excerpts.footer_name(F.col("html")), schema)
+    found = written(names.site_names(pages, excerpts.footer_name(F.col("html")), schema), "site_names")
     groups = names.variants(found)
     other = names.schema_conflict(found, groups)
     evidence = F.concat(F.lit("JSON-LD says "), "schema_name", F.lit(", the page "), "visible_name")
@@ -109,7 +112,8 @@ def audit(pages: DataFrame, seen: Observed | None = None) -> DataFrame:
     seen = seen or Observed()
     spark = pages.sparkSession
     blocks = sources.blocks(pages)
-    results = [audit_queries.page_checks(pages), late_content(blocks), boilerplate(blocks), prepared(pages), named(pages)]
+    parsed = facts(pages)
+    results = [audit_queries.checks_of(parsed.drop("claims", "dates")), late_content(blocks), boilerplate(blocks), prepared(parsed), named(pages, parsed)]
     if seen.robots_files is not None:
         important = pages.select("site", urls.norm_path(F.col("path")).alias("path")).filter(crawl.page_class(F.col("path")).isin(*crawl.IMPORTANT)).distinct()
         searching = SURFACES.df(spark).filter("role = 'search-index'")
